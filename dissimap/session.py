@@ -63,3 +63,21 @@ def drop(df: DataFrame) -> None:
 
 def input_partitions(df: DataFrame) -> int:
     return df.rdd.getNumPartitions()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python, once for each application."""
+    import shutil
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as t:
+        shutil.copytree(root, Path(t, "in", root.name), ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(str(Path(tempfile.mkdtemp(), root.name)), "zip", Path(t, "in")))
