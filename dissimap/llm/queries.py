@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dissimap.llm import cooccurrence, encoding, mixing, percentiles, topn
+from dissimap.llm import clusters, cooccurrence, encoding, mixing, neighbours, percentiles, topn
 from dissimap.operators.skew import usable
 from dissimap.queries.rounding import near, near_sql
 from dissimap.sources.tables import table
@@ -19,6 +19,32 @@ def p1_found(spark, d):
     return cooccurrence.items_together(table(spark, d, "rating"), "user_id", "item_id", min_count=20, min_lift=5.0).select("first_item_id", "second_item_id")
 
 
+#: The distance within which points are near, in problems 2 and 3.
+NEAR = 0.12
+
+
+def _vectors(spark, d):
+    return neighbours.landmark_vectors(table(spark, d, "rk"), table(spark, d, "landmark"))
+
+
+def p2_nearest(spark, d):
+    out = neighbours.nearest_vectors(_vectors(spark, d), 5)
+    return out.withColumn("distance", near(F.col("distance")))
+
+
+def p2_found(spark, d):
+    n = neighbours.nearest_vectors(_vectors(spark, d), 5, NEAR)
+    return n.select(F.least("id", "neighbour_id").alias("first_id"), F.greatest("id", "neighbour_id").alias("second_id")).distinct()
+
+
+def p3_found(spark, d):
+    return clusters.similarity_clusters(_vectors(spark, d), NEAR).select("cluster_id", "point_id")
+
+
+def p3_clusters(spark, d):
+    return clusters.describe_clusters(clusters.similarity_clusters(_vectors(spark, d), NEAR))
+
+
 def p4_closest_relations(spark, d):
     r = topn.latest_relations(table(spark, d, "relation")).toDF("first_item_id", "second_item_id", "distance_mean")
     return topn.top_n_per_group(r, "first_item_id", "second_item_id", "distance_mean", 10)
@@ -84,7 +110,7 @@ def p8_shares(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_items_together, p4_found, p4_closest_relations, p6_found, p6_percentiles, p7_ids, p8_found, p8_mix, p8_shares)
+    for f in (p1_found, p1_items_together, p2_found, p2_nearest, p3_found, p3_clusters, p4_found, p4_closest_relations, p6_found, p6_percentiles, p7_ids, p8_found, p8_mix, p8_shares)
 }
 
 _UI = "ui AS (SELECT DISTINCT user_id AS u, item_id AS i FROM rating WHERE user_id IS NOT NULL AND item_id IS NOT NULL), it AS (SELECT i, count(*) AS n FROM ui GROUP BY 1)"
@@ -97,7 +123,19 @@ _P4 = """WITH u AS (SELECT least(first_item_id, second_item_id) AS first_item_id
   l AS (SELECT *, row_number() OVER (PARTITION BY first_item_id, second_item_id ORDER BY updated_at DESC, distance_mean) AS k FROM u),
   t AS (SELECT first_item_id, second_item_id, distance_mean, CAST(row_number() OVER (PARTITION BY first_item_id ORDER BY distance_mean, second_item_id) AS INT) AS rank FROM l WHERE k = 1)"""
 
+_VECTORS = """u AS (SELECT least(c0, c1) AS a, greatest(c0, c1) AS b, arg_max(c2, line_no) AS c2 FROM rk WHERE c2 >= 0 AND c2 <= 2 GROUP BY 1, 2),
+  e AS (SELECT CASE WHEN l.ordinal IS NULL THEN a ELSE b END AS id, coalesce(l.ordinal, m.ordinal) AS o, c2 FROM u
+        LEFT JOIN landmark l ON a = l.landmark_id LEFT JOIN landmark m ON b = m.landmark_id WHERE (l.ordinal IS NULL) <> (m.ordinal IS NULL)),
+  v AS (SELECT id, list(c2 ORDER BY o) AS x FROM e GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM landmark)),
+  p AS (SELECT a.id, b.id AS neighbour_id, list_distance(a.x, b.x) AS distance FROM v a JOIN v b ON a.id <> b.id),
+  k AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, neighbour_id) AS INT) AS rank FROM p)"""
+
 SQL = {
+    "p2_found": f"WITH {_VECTORS} SELECT DISTINCT least(id, neighbour_id) AS first_id, greatest(id, neighbour_id) AS second_id FROM k WHERE rank <= 5 AND distance <= 0.12",
+    "p2_nearest": f"WITH {_VECTORS} SELECT id, neighbour_id, {near_sql('distance')} AS distance, rank FROM k WHERE rank <= 5",
+    "p3_found": f"""WITH RECURSIVE {_VECTORS}, s AS (SELECT id, neighbour_id FROM p WHERE distance <= 0.12),
+      r(root, id) AS (SELECT id, id FROM s UNION SELECT r.root, s.neighbour_id FROM r JOIN s ON r.id = s.id)
+      SELECT min(root) AS cluster_id, id AS point_id FROM r GROUP BY id""",
     "p1_found": f"{_P1} SELECT first_item_id, second_item_id FROM r WHERE lift >= 5",
     "p1_items_together": f"{_P1} SELECT first_item_id, second_item_id, n_both, n_first, n_second, n_baskets, {near_sql('lift')} AS lift, {near_sql('ln(lift)')} AS pmi FROM r WHERE lift >= 5",
     "p4_found": f"{_P4} SELECT first_item_id, second_item_id FROM t WHERE rank <= 10",
