@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dissimap.llm import clusters, cooccurrence, encoding, mixing, neighbours, percentiles, topn
+from dissimap.llm import clusters, cooccurrence, encoding, mixing, neighbours, percentiles, subjects, topn
 from dissimap.operators.skew import usable
 from dissimap.queries.rounding import near, near_sql
 from dissimap.sources.tables import table
@@ -108,9 +108,22 @@ def p8_shares(spark, d):
     return mixing.report(mixing.mix(sizes, plan), plan)
 
 
+def _areas(spark, d):
+    return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_area"), table(spark, d, "subject_label"))
+
+
+def p9_found(spark, d):
+    return _areas(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark, d):
+    """How many documents deal with each area, and in how many words."""
+    return _areas(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"), F.round(F.sum("weight"), 3).alias("n_words"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_items_together, p2_found, p2_nearest, p3_found, p3_clusters, p4_found, p4_closest_relations, p6_found, p6_percentiles, p7_ids, p8_found, p8_mix, p8_shares)
+    for f in (p1_found, p1_items_together, p2_found, p2_nearest, p3_found, p3_clusters, p4_found, p4_closest_relations, p6_found, p6_percentiles, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_composition)
 }
 
 _UI = "ui AS (SELECT DISTINCT user_id AS u, item_id AS i FROM rating WHERE user_id IS NOT NULL AND item_id IS NOT NULL), it AS (SELECT i, count(*) AS n FROM ui GROUP BY 1)"
