@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from dissimap.queries import skew
+from dissimap.queries import map_statistics, relational, skew, solvers
+from dissimap.queries.solvers import flagship
 
-MODULES = [skew]
+MODULES = [skew, relational, solvers, map_statistics]
+
+__all__ = ["all_queries", "all_sql", "flagship"]
 
 
 def all_queries() -> dict:
