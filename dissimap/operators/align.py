@@ -63,8 +63,8 @@ def block_scaling(pairs: DataFrame, p: int, subdivisions: int, seed: int = 7) ->
     if not n:
         return pairs.sparkSession.createDataFrame([], POINTS)
     starts = F.array(*[F.lit(k * n // subdivisions) for k in range(subdivisions)])
-    blocks = F.filter(F.sequence(F.lit(0), F.lit(subdivisions - 1)), lambda b: (F.col("k") >= F.get(starts, b)) & (F.col("k") < F.get(starts, b) + width))
-    placed = cut(ids.select("id", F.explode(blocks).cast("int").alias("block")))
+    blocks = F.filter(F.sequence(F.lit(0).cast("int"), F.lit(subdivisions - 1).cast("int")), lambda b: (F.col("k") >= F.get(starts, b)) & (F.col("k") < F.get(starts, b) + width))
+    placed = cut(ids.select("id", F.explode(blocks).alias("block")))
     rank = F.row_number().over(_by_block(seed))
     sample = cut(placed.withColumn("rank", rank).where(F.col("rank") <= 2 * p).select("id", "block"))  # 2p of each block
     names = sample.select("id").distinct()

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dissimap.functions.vectors import minus, norm, plus, sum_of_vectors, times, total, uniform
-from dissimap.model import both_ways
+from dissimap.model import POINTS, both_ways
+from dissimap.operators import local as kernels
 from dissimap.operators.distance import with_points
+from dissimap.operators.local import solve
+from dissimap.operators.spectral import LOCAL
 from dissimap.session import cut
 
 
@@ -61,17 +64,34 @@ def force_step(pairs: DataFrame, state: DataFrame, dims: int, spring: float = 0.
     return integrate(s.withColumn("f", cap(g, force_cap)), dampening)
 
 
+def in_one_task(pairs: DataFrame, init: DataFrame | None, run) -> DataFrame:
+    """points by run(ids, r, start) over the whole matrix, in one task; for a bounded number of points."""
+    f = solve(run)
+    start = pairs.sparkSession.createDataFrame([], POINTS) if init is None else init.select("id", "x")
+    left, right = pairs.select("i", "j", "r").withColumn("one", F.lit(1)), start.withColumn("one", F.lit(1))
+    return left.groupBy("one").cogroup(right.groupBy("one")).applyInArrow(lambda a, b: f(a, b), POINTS)
+
+
 def force_layout(
-    pairs: DataFrame, p: int = 2, iterations: int = 50, planar: bool = True, dampening: float = 0.5, force_cap: float = 0.5, spring: float = 0.5, init: DataFrame | None = None, seed: int = 1, every: int = 5
+    pairs: DataFrame, p: int = 2, iterations: int = 50, planar: bool = True, dampening: float = 0.5, force_cap: float = 0.5, spring: float = 0.5, init: DataFrame | None = None, seed: int = 1, every: int = 3,
+    local: int = LOCAL, sequential: bool = False,
 ) -> DataFrame:
     """points in p dimensions after so many steps, from hashed places or from init (id, x). With planar, a further coordinate
-    gives points room to pass, is pulled to 0 with growing strength, and is dropped. Lineage is cut every few steps."""
+    gives points room to pass, is pulled to 0 with growing strength, and is dropped.
+
+    Up to `local` points one task holds the matrix; beyond, each step is joins and an aggregate, the lineage being cut every few steps. Both give the
+    same layout. sequential (one task only): each point moves before the next one's force is taken. Raises ValueError beyond `local` points then.
+    """
     dims = p + 1 if planar else p
     pairs = cut(pairs.select("i", "j", "r"))
-    if init is None:
-        x = random_points(pairs.select(F.explode(F.array("i", "j")).alias("id")).distinct(), dims, seed)
-    else:
-        x = init.select("id", F.concat("x", F.array(F.lit(0.0))).alias("x")) if planar else init
+    ids = pairs.select(F.explode(F.array("i", "j")).alias("id")).distinct()
+    n = ids.count()
+    start = init.select("id", F.concat("x", F.array(F.lit(0.0))).alias("x")) if planar and init is not None else init
+    if n <= local:
+        return in_one_task(pairs, start, lambda i, r, x: kernels.force(r, kernels.uniform(i, dims, seed) if x is None else x, iterations, planar, dampening, force_cap, spring, sequential)[:, :p])
+    if sequential:
+        raise ValueError(f"the sequential layout is for {local} points at most")
+    x = random_points(ids, dims, seed) if start is None else start
     s, old = cut(x.withColumn("v", times("x", 0.0))), None
     for k in range(1, iterations + 1):
         s = force_step(pairs, s, dims, spring, dampening, force_cap, spring * k / iterations if planar else 0.0)

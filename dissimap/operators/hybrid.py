@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dissimap.functions.vectors import mixed, times
+from dissimap.functions.vectors import mixed, plus, times
 from dissimap.model import both_ways
+from dissimap.operators import local as kernels
 from dissimap.operators.distance import distinct_sample, sample_size
-from dissimap.operators.force import cap, integrate, nearest_k, planar_pull, random_points, spring_forces
+from dissimap.operators.force import cap, in_one_task, integrate, planar_pull, random_points, spring_forces
+from dissimap.operators.spectral import LOCAL
 from dissimap.session import cut
 
 
@@ -36,7 +38,8 @@ def neighbour_step(sets: DataFrame, state: DataFrame, dims: int, spring: float =
 
 
 def neighbour_layout(
-    pairs: DataFrame, p: int = 2, v_max: int = 5, s_max: int = 10, planar: bool = True, iterations: int | None = None, init: DataFrame | None = None, seed: int = 1, every: int = 3
+    pairs: DataFrame, p: int = 2, v_max: int = 5, s_max: int = 10, planar: bool = True, iterations: int | None = None, init: DataFrame | None = None, seed: int = 1, every: int = 3,
+    local: int = LOCAL,
 ) -> DataFrame:
     """points in p dimensions by a force layout linear in the points for each iteration: each point keeps its v_max best neighbours so far and
     meets s_max hashed others. iterations: by default the number of points, 60 at most. Raises ValueError unless there are more than v_max + 1
@@ -48,7 +51,10 @@ def neighbour_layout(
         raise ValueError("there must be more than v_max + 1 points")
     rounds = min(n, 60) if iterations is None else iterations
     dims = p + 1 if planar else p
-    x = random_points(ids, dims, seed) if init is None else init.select("id", F.concat("x", F.array(F.lit(0.0))).alias("x") if planar else F.col("x"))
+    start = init.select("id", F.concat("x", F.array(F.lit(0.0))).alias("x") if planar else F.col("x")) if init is not None else None
+    if n <= local:
+        return in_one_task(pairs, start, lambda i, r, x: kernels.neighbours(r, i, kernels.uniform(i, dims, seed) if x is None else x, rounds, planar, v_max, s_max, seed)[:, :p])
+    x = random_points(ids, dims, seed) if start is None else start
     s, old, known, before = cut(x.withColumn("v", times("x", 0.0))), None, None, None
     for k in range(1, rounds + 1):
         sets = neighbour_sets(known, random_candidates(ids, pairs, s_max, seed * 1009 + k), v_max)
@@ -98,8 +104,6 @@ def polar_place(nearest: DataFrame, subset: DataFrame, layout: DataFrame, depth:
 def force_refine(placed: DataFrame, subset: DataFrame, layout: DataFrame, dims: int = 2) -> DataFrame:
     """placed points after one step of the mean spring force (of strength 1) to their subsets."""
     f = spring_forces(subset, layout.unionByName(placed), dims, 1.0)
-    from dissimap.functions.vectors import plus
-
     return placed.join(f, "id").select("id", plus("x", "f").alias("x"))
 
 

@@ -86,8 +86,9 @@ def _subspace(pairs: DataFrame, n: int, p: int, spectrum: str, tolerance: float
         return np.array(row, float).reshape(k, k)
 
     def orthonormal(df: DataFrame) -> DataFrame:
-        v, e = np.linalg.eigh(gram(df))[::-1]
-        return times(df, v / np.sqrt(np.maximum(e, 1e-300)))
+        e, v = np.linalg.eigh(gram(df))
+        use = e > 1e-22 * max(e.max(), 1e-300)  # directions that are already spanned become 0
+        return times(df, v * np.where(use, 1 / np.sqrt(np.where(use, e, 1)), 0))
 
     last = None
     for _ in range(rounds):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dissimap.queries import map_statistics, relational, skew, solvers
+from dissimap.queries import graphs, map_statistics, relational, skew, solvers, steps
 from dissimap.queries.solvers import flagship
 
-MODULES = [skew, relational, solvers, map_statistics]
+MODULES = [skew, relational, solvers, map_statistics, graphs, steps]
 
 __all__ = ["all_queries", "all_sql", "flagship"]
 

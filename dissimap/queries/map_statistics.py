@@ -155,9 +155,9 @@ def _compare(closest: int, furthest: int, local: int) -> str:
 
 _HULL = f"""WITH RECURSIVE {PLACED}, pt AS (SELECT min(id) AS id, x, y FROM it GROUP BY x, y), s AS (SELECT id, x, y FROM pt ORDER BY x, y LIMIT 1),
   h(id, x, y, k, t) AS (SELECT id, x, y, 0, -pi() / 2 FROM s UNION ALL
-    SELECT n.id, n.x, n.y, k + 1, n.a FROM (SELECT k, unnest(arg_min(struct_pack(id := p.id, x := p.x, y := p.y, a := atan2(p.y - h.y, p.x - h.x)),
-      struct_pack(turn := round(CASE WHEN atan2(p.y - h.y, p.x - h.x) < t - 1e-12 THEN atan2(p.y - h.y, p.x - h.x) - t + 2 * pi() ELSE atan2(p.y - h.y, p.x - h.x) - t END, 10), far := -((p.x - h.x) * (p.x - h.x) + (p.y - h.y) * (p.y - h.y))))) AS n
-      FROM h, pt p WHERE (p.x <> h.x OR p.y <> h.y) AND k < 10000 GROUP BY k) q WHERE n.id <> (SELECT id FROM s))
+    SELECT q.n.id, q.n.x, q.n.y, k + 1, q.n.a FROM (SELECT k, arg_min(struct_pack(id := p.id, x := p.x, y := p.y, a := atan2(p.y - h.y, p.x - h.x)),
+      struct_pack(turn := round(CASE WHEN atan2(p.y - h.y, p.x - h.x) < t - 1e-12 THEN atan2(p.y - h.y, p.x - h.x) - t + 2 * pi() ELSE atan2(p.y - h.y, p.x - h.x) - t END, 10), far := -((p.x - h.x) * (p.x - h.x) + (p.y - h.y) * (p.y - h.y)))) AS n
+      FROM h, pt p WHERE (p.x <> h.x OR p.y <> h.y) AND k < 10000 GROUP BY k) q WHERE q.n.id <> (SELECT id FROM s))
   SELECT id AS point_id, CAST(k AS INT) AS cyclic_order, x, y FROM h"""
 
 SQL = {
