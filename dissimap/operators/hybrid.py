@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dissimap.functions.vectors import mixed, plus, times
-from dissimap.model import both_ways
+from dissimap.model import POINTS, both_ways
 from dissimap.operators import local as kernels
 from dissimap.operators.distance import distinct_sample, sample_size
 from dissimap.operators.force import cap, in_one_task, integrate, planar_pull, random_points, spring_forces
@@ -88,17 +91,32 @@ def polar_place(nearest: DataFrame, subset: DataFrame, layout: DataFrame, depth:
     other = layout.select(F.col("id").alias("j"), F.col("x").alias("s"))
     near = nearest.select("i", "j", F.col("r").alias("radius")).join(centre, "j").select("i", "radius", F.col("c")[0].alias("cx"), F.col("c")[1].alias("cy"))
     sub = subset.join(other, "j").groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", F.col("s")[0].alias("x"), F.col("s")[1].alias("y"), "r"))).alias("t"))
-    p = near.join(sub, "i").withColumn("angle", F.lit(0.0))
-
-    def loss(angle: Column) -> Column:
-        px, py = F.col("cx") + F.col("radius") * F.cos(angle), F.col("cy") + F.col("radius") * F.sin(angle)
-        return F.aggregate("t", F.lit(0.0), lambda a, e: a + F.pow(F.sqrt((px - e["x"]) * (px - e["x"]) + (py - e["y"]) * (py - e["y"])) - e["r"], 2))
-
-    for k in range(depth):
-        step = math.pi / 2 / 2**k
-        p = p.withColumns({"lp": loss(F.col("angle") + step), "lm": loss(F.col("angle") - step)})
-        p = p.withColumn("angle", F.when(F.col("lm") < F.col("lp"), F.col("angle") - step).otherwise(F.col("angle") + step)).drop("lp", "lm")
-    return p.select(F.col("i").alias("id"), F.array(F.col("cx") + F.col("radius") * F.cos("angle"), F.col("cy") + F.col("radius") * F.sin("angle")).alias("x"))
+    p = near.join(sub, "i").select("i", "radius", "cx", "cy", *[F.col(f"t.{c}").alias(c) for c in "xyr"])
+    return p.mapInArrow(_bisect(depth), POINTS)
+
+
+def _bisect(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            radius, cx, cy = (np.asarray(b.column(c), np.float64) for c in range(1, 4))
+            n = np.asarray(b.column(4).value_lengths())
+            row, start = np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)[:-1]])
+            x, y, r = (np.asarray(b.column(c).flatten(), np.float64) for c in range(4, 7))
+            angle = np.zeros(len(n))
+
+            def loss(a: np.ndarray) -> np.ndarray:
+                px, py = cx + radius * np.cos(a), cy + radius * np.sin(a)
+                return np.add.reduceat((np.sqrt((px[row] - x) ** 2 + (py[row] - y) ** 2) - r) ** 2, start)
+
+            for k in range(depth):
+                step = math.pi / 2 / 2**k
+                angle = np.where(loss(angle - step) < loss(angle + step), angle - step, angle + step)
+            place = pa.array(list(np.column_stack([cx + radius * np.cos(angle), cy + radius * np.sin(angle)])), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), place], ["id", "x"])
+
+    return run
 
 
 def force_refine(placed: DataFrame, subset: DataFrame, layout: DataFrame, dims: int = 2) -> DataFrame:

@@ -237,8 +237,8 @@ SQL = {
         {_force('fd', 1.0)} SELECT id, {near_sql('po.x + fx')} AS x, {near_sql('po.y + fy')} AS y FROM po JOIN fo USING (id)""",
     "scatter_layout": f"WITH {_TO} SELECT pl.id, {near_sql('CASE WHEN sm.id IS NOT NULL THEN pl.x END')} AS x, {near_sql('CASE WHEN sm.id IS NOT NULL THEN pl.y END')} AS y FROM pl LEFT JOIN sm ON pl.id = sm.id",
     "pivot_buckets": f"WITH {_PIVOT} SELECT pvt AS \"pivot\", bucket, CASE WHEN bucket > 0 THEN {near_sql('key')} END AS key, member FROM bu",
-    "pivot_nearest": f"""WITH {_PIVOT}, ke AS (SELECT DISTINCT pvt, bucket, key FROM bu), at AS (SELECT ts.i, pvt, arg_min(bucket, struct_pack(k := key, b := bucket)) AS bucket FROM ts JOIN ke ON ts.j = pvt AND key >= r GROUP BY 1, 2),
-        fd AS (SELECT DISTINCT at.i, member FROM at JOIN bu USING (pvt, bucket)), be AS (SELECT i, arg_min(struct_pack(j := ts.j, r := ts.r), struct_pack(r := ts.r, j := ts.j)) AS m FROM fd JOIN ts USING (i) WHERE member = ts.j GROUP BY 1)
+    "pivot_nearest": f"""WITH {_PIVOT}, ke AS (SELECT DISTINCT pvt, bucket, key FROM bu), pk AS (SELECT ts.i, pvt, arg_min(bucket, struct_pack(k := key, b := bucket)) AS bucket FROM ts JOIN ke ON ts.j = pvt AND key >= r GROUP BY 1, 2),
+        fd AS (SELECT DISTINCT pk.i, member FROM pk JOIN bu USING (pvt, bucket)), be AS (SELECT i, arg_min(struct_pack(j := ts.j, r := ts.r), struct_pack(r := ts.r, j := ts.j)) AS m FROM fd JOIN ts USING (i) WHERE member = ts.j GROUP BY 1)
         SELECT i, m.j AS j, {near_sql('m.r')} AS r FROM be""",
     "som_hops": f"WITH {_SOM} SELECT vertex, other, hop FROM ho",
     "som_distance": f"WITH {_SOM} SELECT item, vertex, {near_sql('distance')} AS distance FROM sd",
