@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dissimap.llm import clusters, cooccurrence, encoding, mixing, neighbours, percentiles, subjects, topn
+from dissimap.operators.ratings import latest_relations
 from dissimap.operators.skew import usable
 from dissimap.queries.rounding import near, near_sql
 from dissimap.sources.tables import table
@@ -46,7 +47,7 @@ def p3_clusters(spark, d):
 
 
 def p4_closest_relations(spark, d):
-    r = topn.latest_relations(table(spark, d, "relation")).toDF("first_item_id", "second_item_id", "distance_mean")
+    r = latest_relations(table(spark, d, "relation")).select("a", "b", "distance_mean").toDF("first_item_id", "second_item_id", "distance_mean")
     return topn.top_n_per_group(r, "first_item_id", "second_item_id", "distance_mean", 10)
 
 

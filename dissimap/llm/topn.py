@@ -53,13 +53,3 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int, la
         .where(F.col("rank") <= n)
         .select(F.col("g").alias(group), F.col("t").alias(item), (F.col("s") * sign).alias(score), "rank")
     )
-
-
-def latest_relations(relation: DataFrame) -> DataFrame:
-    """One row for each unordered pair of different items: (a < b, distance_mean) of its usable row (two different ids,
-    a finite distance of at least 0) with the latest updated_at; of several such, the smallest distance."""
-    a, b, d = F.col("first_item_id"), F.col("second_item_id"), F.col("distance_mean")
-    ok = relation.where((a != b) & ~F.isnan(d) & (d >= 0) & (d < F.lit(float("inf"))))
-    key = F.struct(F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at"), (-d).alias("nd"))
-    got = ok.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), key.alias("k")).groupBy("a", "b").agg(F.max("k").alias("k"))
-    return got.select("a", "b", (-F.col("k.nd")).alias("distance_mean"))
