@@ -55,13 +55,14 @@ def _dijkstra(source: int, start: np.ndarray, to: np.ndarray, w: np.ndarray, ids
     return np.array(dist), np.array(via)
 
 
-def _held(edges: DataFrame) -> tuple:
+def _held(edges: DataFrame, nodes: DataFrame | None = None) -> tuple:
     """The graph as arrays: ids, start, to, weight by position, edges ordered by (src, dst, weight). HELD edges at most."""
     t = edges.select("src", "dst", "weight").toArrow()  # counted before
     src, dst, w = (np.asarray(t[c]) for c in ("src", "dst", "weight"))
     order = np.lexsort((w, dst, src))
     src, dst, w = src[order], dst[order], w[order]
-    ids = np.unique(np.concatenate([src, dst]))
+    own = np.asarray(nodes.select("src").toArrow()["src"]) if nodes is not None else np.empty(0, np.int64)
+    ids = np.unique(np.concatenate([src, dst, own]))
     start = np.searchsorted(src, np.append(ids, np.iinfo(np.int64).max))
     return ids, start, np.searchsorted(ids, dst), w, src, dst
 
@@ -85,13 +86,14 @@ def _paths(shared, flows: bool):
     return run
 
 
-def _sources(edges: DataFrame) -> DataFrame:
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
+def _sources(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    every = edges.select(F.explode(F.array("src", "dst")).alias("src"))
+    nodes = (every if nodes is None else every.unionByName(nodes.select("src"))).distinct()
     return nodes.repartition(max(8, nodes.sparkSession.sparkContext.defaultParallelism * 2), "src")
 
 
-def geodesics(edges: DataFrame, held: int = HELD) -> DataFrame:
-    """(src, dst, distance) of all ordered pairs of an edge table's nodes: the shortest directed path, infinite if there is none, 0 to
+def geodesics(edges: DataFrame, held: int = HELD, nodes: DataFrame | None = None) -> DataFrame:
+    """(src, dst, distance) of all ordered pairs of an edge table's nodes, and of nodes (src) without edges: the shortest directed path, infinite if there is none, 0 to
     itself. Weights are not negative.
 
     Up to `held` edges every task holds the graph and runs Dijkstra for its share of the sources; a larger graph is relaxed by joins until
@@ -99,14 +101,15 @@ def geodesics(edges: DataFrame, held: int = HELD) -> DataFrame:
     """
     edges = edges.select("src", "dst", "weight")
     if edges.count() > held:
-        return _relaxed(edges)
-    got = edges.sparkSession.sparkContext.broadcast(_held(edges))
-    return _sources(edges).mapInArrow(_paths(got, False), "src bigint, dst bigint, distance double")
+        return _relaxed(edges, nodes)
+    got = edges.sparkSession.sparkContext.broadcast(_held(edges, nodes))
+    return _sources(edges, nodes).mapInArrow(_paths(got, False), "src bigint, dst bigint, distance double")
 
 
-def _relaxed(edges: DataFrame, most: int = 10_000) -> DataFrame:
+def _relaxed(edges: DataFrame, own: DataFrame | None = None, most: int = 10_000) -> DataFrame:
     edges = cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    nodes = cut(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    nodes = cut((ends if own is None else ends.unionByName(own.select(F.col("src").alias("id")))).distinct())
     dist = cut(edges.select("src", "dst", F.col("weight").alias("distance")).unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("distance"))).groupBy("src", "dst").agg(F.min("distance").alias("distance")))
     size = None
     for _ in range(most):
@@ -189,5 +192,5 @@ def robust_isomap(pairs: DataFrame, k: int, m: float = 2.0, intolerance: float =
         if not gone.limit(1).count():
             break
         edges = cut(edges.join(gone, ["src", "dst"], "left_anti"))
-    g = geodesics(used).where("src > dst")
+    g = geodesics(used, nodes=degrees.select("src")).where("src > dst")  # every point has edges before any are removed
     return g.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.pow("distance", F.lit(1.0 / m)).alias("r"))
