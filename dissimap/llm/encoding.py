@@ -35,7 +35,8 @@ def _piece():
 
 
 class Encoded:
-    """The ids of text[start:end], and `tail`, a piece boundary of that part near its end."""
+    """The ids of text[start:end], and `tail`: start, or a later piece boundary of that part, OPEN_END characters before its end or
+    earlier, which whatever follows does not change."""
 
     __slots__ = ("start", "end", "parts", "tail")
 
@@ -69,27 +70,30 @@ def join(text: str, left: Encoded, right: Encoded, encode) -> Encoded:
     """The encoding of two neighbouring parts. Pieces are matched from left to right and look at most one character beyond
     their end, so the left part's pieces up to `settled` stay, and from the first boundary where the pieces of the joined
     text meet the right part's, all of the right part's stay. Between them a window grows until they meet (at the right
-    part's end, if nowhere before) and is encoded again."""
+    part's end, if nowhere before) and is encoded again, piece by piece: at its end a piece of blanks depends on what follows."""
     match = _piece().match
-    settled, p = left.tail, left.tail
-    while p < left.end:
-        e = match(text, p, left.end).end()
-        if e > left.end - OPEN_END or e == left.end:
-            break
-        settled = p = e
+    settled = left.tail
+    while settled < left.end and (e := match(text, settled, left.end).end()) <= left.end - OPEN_END:
+        settled = e
     both, alone, tail = settled, right.start, settled
+    window, gone = [], 0
     while both != alone:
         if both < alone:
-            tail, both = both, match(text, both, right.end).end()
+            start, both = both, match(text, both, right.end).end()
+            window += encode(text[start:both])
+            if both <= right.end - OPEN_END:
+                tail = both
         else:
-            alone = match(text, alone, right.end).end()
+            start, alone = alone, match(text, alone, right.end).end()
+            gone += len(encode(text[start:alone]))
     meet = both
     parts = _cut_last(left.parts, len(encode(text[settled : left.end])))
-    window = encode(text[settled:meet])
-    if len(window):
+    if window:
         parts.append(np.asarray(window, np.int32))
-    parts += _cut_first(right.parts, len(encode(text[right.start : meet])))
-    return Encoded(left.start, right.end, parts, right.tail if right.tail >= meet else tail)
+    parts += _cut_first(right.parts, gone)
+    if meet <= right.tail <= right.end - OPEN_END:
+        tail = right.tail
+    return Encoded(left.start, right.end, parts, tail)
 
 
 def encode_tree(text: str, encode, leaf: int = 1 << 15) -> np.ndarray:
@@ -102,9 +106,9 @@ def encode_tree(text: str, encode, leaf: int = 1 << 15) -> np.ndarray:
         if b - a > leaf:
             m = (a + b) // 2
             return join(text, part(a, m), part(m, b), encode)
-        p = tail = a
-        while p < b:
-            tail, p = p, match(text, p, b).end()
+        tail = a
+        while tail < b and (e := match(text, tail, b).end()) <= b - OPEN_END:
+            tail = e
         return Encoded(a, b, [np.asarray(encode(text[a:b]), np.int32)], tail)
 
     parts = part(0, len(text)).parts

@@ -16,8 +16,8 @@ from dissimap.session import cut
 
 #: Vectors of one block, the side of a product tile.
 BLOCK = 1024
-#: Vectors on one side of a task: the least, and the most sides a collection is cut into.
-SIDE, MOST_SIDES = 16_384, 1024
+#: Vectors on one side of a task, about, and the least and the most sides that a collection is cut into.
+SIDE, LEAST_SIDES, MOST_SIDES = 65_536, 8, 1024
 #: Pivots that divide the space into cells: the most of them, drawn from a hashed sample of the ids.
 MOST_PIVOTS = 2048
 
@@ -124,7 +124,7 @@ def cells(vectors: DataFrame, reach: float | None, block: int = BLOCK) -> tuple[
     blocks = -(-count // block)
     first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
     total = int(blocks.sum())
-    per_side = max(1, SIDE // block, -(-total // MOST_SIDES))
+    per_side = max(1, -(-total // min(MOST_SIDES, max(LEAST_SIDES, -(-n // SIDE)))))
     sides = -(-total // per_side)
     near = np.ones((sides, sides), bool)
     if reach is not None:
@@ -247,7 +247,7 @@ def _tile_into(heaps: Heaps, x: np.ndarray, ids: np.ndarray, a: slice, b: slice,
         return
     d2, ca, cb = tile(x[a], x[b])
     if same:
-        np.fill_diagonal(d2, np.inf)
+        np.fill_diagonal(d2, np.inf)  # for the k-th smallest
     k = heaps.k
     for t, c, axis in ((ta, ca, 1), (tb, cb, 0)):
         # A vector without k neighbours yet: the k-th smallest upper bound in this tile bounds its k-th neighbour.
@@ -261,6 +261,8 @@ def _tile_into(heaps: Heaps, x: np.ndarray, ids: np.ndarray, a: slice, b: slice,
         hit = d2 <= la[:, None]
     else:
         hit = (d2 <= la[:, None]) | (d2 <= lb[None, :])
+    if same:
+        np.fill_diagonal(hit, False)
     i, j = np.nonzero(hit)
     for s in range(0, len(i), 1 << 20):  # survivors are computed in float
         r, c = ra[i[s : s + (1 << 20)]], rb[j[s : s + (1 << 20)]]

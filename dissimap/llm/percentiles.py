@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dissimap.operators.skew import usable
+from dissimap.session import cut
 
 
 def rank_error(k: int) -> float:
@@ -42,9 +43,20 @@ def exact_quantiles(df: DataFrame, brackets: DataFrame, key: str, value: str, sh
     """The exact percentiles of `value` for the keys of brackets(key, <name>_low, <name>_high): (key, n_values, names).
 
     A bracket is where a summary places the percentile. Values below it are only counted; those in it are counted by
-    value, on the map side first, and only these distinct values are ordered. Where a percentile lies outside its
-    bracket (a rare failure of the summary's bound), the column is null.
+    value, on the map side first, and only these distinct values are ordered. Keys of which a percentile lies outside its
+    bracket (a rare failure of the summary's bound) are gone over once more without one. Keys without values have no row.
     """
+    names = list(shares)
+    out = cut(_within(df, brackets, key, value, shares))
+    missed = out.where(" or ".join(f"{m} is null" for m in names)).select(key)
+    if not missed.limit(1).count():
+        return out
+    whole = missed.select(key, *[F.lit(float(f"{s}inf")).alias(f"{m}_{e}") for m in names for s, e in (("-", "low"), ("+", "high"))])
+    return out.join(missed, key, "left_anti").unionByName(_within(df, whole, key, value, shares))
+
+
+def _within(df: DataFrame, brackets: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """As exact_quantiles(), null where a percentile lies outside its bracket."""
     x = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).join(brackets.withColumnRenamed(key, "k"), "k")
     names = list(shares)
     inside = F.lit(False)

@@ -21,6 +21,8 @@ LEAST_SHARE, LEAST_DOCUMENTS = 5e-5, 3
 SEED_DOCUMENTS, SEED_SHARE = 3, 0.7
 #: Of a word's documents with any subject, the share of one that makes the word its own, and the share all own subjects, of which there are OWNERS at most, must have.
 OWN_SHARE, OWNED_SHARE, OWNERS = 0.2, 0.55, 3
+#: How much greater than in the whole corpus the odds of a subject must be among the documents of a word it owns.
+OWN_ODDS = 2.0
 #: The share of a word's documents that must have some subject for a subject to own the word.
 SETTLED_SHARE = 0.3
 #: Steps for a document's mixture with the words' factors held.
@@ -134,7 +136,9 @@ def _normal(f: np.ndarray) -> np.ndarray:
 def _owned(sums: np.ndarray, df: np.ndarray) -> np.ndarray:
     total = sums.sum(1, keepdims=True)
     share = sums / np.maximum(total, 1e-12)
-    own = (share >= OWN_SHARE) & (total >= np.maximum(LEAST_DOCUMENTS, SETTLED_SHARE * df[:, None]))
+    base = np.minimum(sums.sum(0) / max(sums.sum(), 1e-12), 1 - 1e-9)
+    odds = OWN_ODDS * base / (1 - base)
+    own = (share >= np.maximum(OWN_SHARE, odds / (1 + odds))) & (total >= np.maximum(LEAST_DOCUMENTS, SETTLED_SHARE * df[:, None]))
     ok = (np.where(own, share, 0).sum(1) >= OWNED_SHARE) & (own.sum(1) <= OWNERS)
     own &= ok[:, None]
     return _normal(np.column_stack([np.where(own, sums, 0.0), np.where(ok, 0.0, df)]))
