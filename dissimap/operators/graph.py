@@ -176,10 +176,10 @@ def prune(flows: DataFrame, degrees: DataFrame, critical: float) -> DataFrame:
     return out.join(many, "src", "left_semi").join(many.withColumnRenamed("src", "dst"), "dst", "left_semi")
 
 
-def robust_isomap(pairs: DataFrame, k: int, m: float = 2.0, intolerance: float = 0.05, flow_scale: str = "gamma", rounds: int = 4) -> DataFrame:
+def robust_isomap(pairs: DataFrame, k: int, m: float = 2.0, intolerance: float = 0.05, flow_scale: str = "gamma", rounds: int = 4, mutual: bool = False) -> DataFrame:
     """pairs (i > j, r): geodesics of p-norm m from i to j over the directed graph of k nearest neighbours, after rounds in which edges of
     outlying flow are removed (the distances being those before the last removal, as soon as a round removes none or the rounds are over).
-    Infinite where there is no path."""
+    Infinite where there is no path; mutual: only the pairs among the largest set of points that reach each other both ways."""
     edges = cut(knn_directed(pairs, k, m).drop("flow"))
     degrees = cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")))
     used = edges
@@ -192,5 +192,14 @@ def robust_isomap(pairs: DataFrame, k: int, m: float = 2.0, intolerance: float =
         if not gone.limit(1).count():
             break
         edges = cut(edges.join(gone, ["src", "dst"], "left_anti"))
-    g = geodesics(used, nodes=degrees.select("src")).where("src > dst")  # every point has edges before any are removed
+    g = geodesics(used, nodes=degrees.select("src"))  # every point has edges before any are removed
+    if mutual:
+        g = cut(g)
+        there = g.where("distance < double('inf')").select("src", "dst")
+        back = there.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        part = there.join(back, ["src", "dst"]).groupBy("src").agg(F.min("dst").alias("part"))
+        best = part.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "part").limit(1)
+        own = part.join(best.select("part"), "part", "left_semi").select("src")
+        g = g.join(own, "src", "left_semi").join(own.withColumnRenamed("src", "dst"), "dst", "left_semi")
+    g = g.where("src > dst")
     return g.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.pow("distance", F.lit(1.0 / m)).alias("r"))

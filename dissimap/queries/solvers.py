@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dissimap.operators import align, force, graph, hybrid, majorize, scoring, spectral
+from dissimap.operators import align, graph, majorize, spectral
 from dissimap.operators.distance import euclidean_distance
-from dissimap.queries.inputs import PLANE_PAIRS, full, full_pairs, plane, plane_pairs
+from dissimap.plans import layouts
+from dissimap.queries.inputs import PLANE_PAIRS, full, plane, plane_pairs
 from dissimap.queries.rounding import near, near_sql
 from dissimap.session import cut
 
@@ -61,43 +62,32 @@ def isomap(spark, d):
     return graph.isomap(pairs, n - 1).select("i", "j", near(F.col("r")).alias("r"))
 
 
-def _score(spark, d, layout):
-    """The layout with its normalised stress."""
+def isomap_layout(spark, d):
+    """With every other point a neighbour, the layout of the geodesics has the input's distances."""
     pairs = cut(plane_pairs(spark, d))
-    x = cut(layout(pairs))
-    s = scoring.stress(pairs, x).first()[0]
-    return x.select("id", F.col("x")[0].alias("x"), F.col("x")[1].alias("y"), F.lit(s).alias("stress"))
+    return _distances(layouts.unroll(pairs, plane(spark, d).count() - 1).points)
 
 
-def fdmds(spark, d):
-    return _score(spark, d, lambda p: force.force_layout(p, 2, 20))
+def _scored(method, **options):
+    return lambda spark, d: layouts.lay_out(plane_pairs(spark, d), method, 2, **options).flat()
 
 
-def cha96mds(spark, d):
-    return _score(spark, d, lambda p: hybrid.neighbour_layout(p, 2, iterations=20))
-
-
-def sqmds(spark, d):
-    return _score(spark, d, lambda p: hybrid.sampled_layout(p))
-
-
-def sqpmds(spark, d):
-    return _score(spark, d, lambda p: hybrid.pivot_layout(p))
+def rkisomap_layout(spark, d):
+    """The largest part of the robust neighbourhood graph, with the layout's stress against the geodesics."""
+    return layouts.unroll(cut(plane_pairs(spark, d)), 8, robust=True, component="largest").flat()
 
 
 def flagship(spark, d):
     """The embeddings laid out in the plane by classical scaling, each with the layout's stress."""
-    pairs = cut(full_pairs(spark, d))
-    x = cut(spectral.classical_scaling(pairs, 2))
-    s = scoring.stress(pairs, x).first()[0]
-    return x.select("id", F.col("x")[0].alias("x"), F.col("x")[1].alias("y"), F.lit(s).alias("stress"))
+    return layouts.lay_out_points(full(spark, d)).flat()
 
 
-QUERIES = {f.__name__: f for f in (flagship, cmds, cmds_distributed, smds, smds_variance_cutoff, smacof, wmds, lmds, imds, isomap, fdmds, cha96mds, sqmds, sqpmds)}
+QUERIES = {f.__name__: f for f in (flagship, cmds, cmds_distributed, smds, smds_variance_cutoff, smacof, wmds, lmds, imds, isomap, isomap_layout, rkisomap_layout)}
+QUERIES |= {"fdmds": _scored("force", iterations=20), "cha96mds": _scored("neighbours", iterations=20), "sqmds": _scored("sampled"), "sqpmds": _scored("pivots")}
 
 _SAME = f"WITH {PLANE_PAIRS} SELECT i, j, {near_sql('r')} AS r FROM pr"
 SQL = {
-    **{k: _SAME for k in ("cmds", "cmds_distributed", "smds", "smacof", "wmds", "lmds", "imds", "isomap")},
+    **{k: _SAME for k in ("cmds", "cmds_distributed", "smds", "smacof", "wmds", "lmds", "imds", "isomap", "isomap_layout")},
     "smds_variance_cutoff": f"""WITH v AS (SELECT CAST(k - 1 AS INT) AS component, var_pop(CAST(embedding[k] AS DOUBLE)) AS value FROM embeddings, range(1, 65) t(k) GROUP BY 1),
         c AS (SELECT *, sum(value) OVER (ORDER BY value DESC, component) AS upto, row_number() OVER (ORDER BY value DESC, component) AS k, sum(value) OVER () AS total FROM v)
         SELECT component, {near_sql('value')} AS value, {near_sql('(upto - value) / total')} AS share_before, (upto - value) / total < 0.5 AND value > 0 AND k <= 40 AS kept FROM c""",

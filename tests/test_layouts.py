@@ -138,3 +138,17 @@ def test_largest_component(spark):
     inf = float("inf")
     p = spark.createDataFrame([(1, 0, 1.0), (2, 0, 1.0), (2, 1, 1.0), (3, 0, inf), (3, 1, inf), (3, 2, inf)], "i bigint, j bigint, r double")
     assert sorted((r.i, r.j) for r in graph.largest_component(p).collect()) == [(1, 0), (2, 0), (2, 1)]
+
+
+def test_plans(spark, pairs, plane):
+    from dissimap.plans import layouts
+
+    a = layouts.lay_out(pairs, "blocks", 2, subdivisions=2)
+    assert gap(a.points, plane) < 1e-9 and all(s < 1e-9 for s in a.stress.values()) and a.flat().count() == 40
+    assert gap(layouts.unroll(pairs, 39).points, plane) < 1e-9
+    with pytest.raises(ValueError):
+        layouts.lay_out(pairs, "other")
+    far = euclidean_distance(points_of(spark, np.concatenate([plane[:12], plane[:8] + 50])))
+    with pytest.raises(ValueError):
+        layouts.unroll(far, 3)
+    assert layouts.unroll(far, 3, component="largest").points.count() <= 12
