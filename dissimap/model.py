@@ -31,9 +31,10 @@ def planar_points(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
-    """Each pair in either order."""
+    """Each pair in either order. The pairs are read once."""
     rest = [c for c in pairs.columns if c not in ("i", "j")]
-    return pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), *rest))
+    there, back = (F.struct(F.col(a).alias("i"), F.col(b).alias("j")) for a, b in (("i", "j"), ("j", "i")))
+    return pairs.select(F.explode(F.array(there, back)).alias("_e"), *rest).select("_e.i", "_e.j", *rest)
 
 
 def check_complete(pairs: DataFrame, n: int | None = None) -> int:

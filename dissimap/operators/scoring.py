@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dissimap.model import both_ways
 from dissimap.operators.distance import with_points
+from dissimap.session import cut
 
 KINDS = ("raw", "normalised", "kruskal")
 
@@ -14,7 +15,7 @@ KINDS = ("raw", "normalised", "kruskal")
 def double_center(pairs: DataFrame, n: int, diagonal: bool = False) -> DataFrame:
     """b = -(r^2 - m_i - m_j + m) / 2 with row means m_i and grand mean m of the squares over n points: (i, j, b); with
     diagonal, i = j too. No n x n matrix is formed: two aggregates and two joins on a point's id."""
-    rows = both_ways(pairs).groupBy("i").agg((F.sum(F.col("r") * F.col("r")) / n).alias("m"))
+    rows = cut(both_ways(pairs).groupBy("i").agg((F.sum(F.col("r") * F.col("r")) / n).alias("m")))  # used three times
     grand = rows.agg(F.avg("m") * F.count(F.lit(1)) / n).first()[0] or 0.0
     a, b = rows.select("i", F.col("m").alias("mi")), rows.select(F.col("i").alias("j"), F.col("m").alias("mj"))
     value = (F.col("r") * F.col("r") - F.col("mi") - F.col("mj") + F.lit(grand)) * -0.5

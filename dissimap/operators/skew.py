@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dissimap.session import input_partitions
-
 
 def usable(value: Column, low: float | None = None, high: float | None = None) -> Column:
     """True where value is neither null nor NaN and lies in [low, high]."""
@@ -47,26 +43,31 @@ def keyed_moments(
     """
     v = F.col("v")
     src = df.select(*[F.col(k).cast("bigint").alias(f"k{i}") for i, k in enumerate(keys)], F.col(value).cast("double").alias("v"))
-    chunks = max(1, input_partitions(src))
-    src = src.withColumn("v", F.when(usable(v, low, high), v))
+    src = src.withColumns({"v": F.when(usable(v, low, high), v), "c": F.spark_partition_id()})
+    seen = src.agg(F.avg("v").alias("mean"), F.max("c").alias("last")).first()
+    chunks = (seen["last"] or 0) + 1
     if shift is None:
-        shift = src.agg(F.avg("v")).first()[0] or 0.0
-    rows = src.withColumn("c", F.spark_partition_id()).select(
+        shift = seen["mean"] or 0.0
+    rows = src.select(
         "c",
         "v",
         F.explode(F.array(*[F.struct(F.lit(k).alias("key_kind"), F.col(f"k{i}").alias("key_id")) for i, k in enumerate(keys)])).alias("k"),
     )
     rows = rows.select("k.key_kind", "k.key_id", "c", (v - F.lit(shift)).alias("d"))
     by = ["key_kind", "key_id"]
-    part = F.floor(F.col("c") / fan_in).cast("int").alias("c")
-    state = rows.groupBy(*by, part).agg(
+
+    def part() -> Column:
+        """The reducer of a chunk: one for fan_in of them, and one alone in the last round."""
+        return (F.floor(F.col("c") / fan_in).cast("int") if chunks > fan_in else F.lit(0)).alias("c")
+
+    state = rows.groupBy(*by, part()).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("d").alias("n"), F.sum("d").alias("s1"), (F.var_pop("d") * F.count("d")).alias("m2")
     )
     chunks = -(-chunks // fan_in)
     between = F.col("s1") * F.col("s1") / F.nullif(F.col("n"), F.lit(0))
     while chunks > 1:
         state = (
-            state.groupBy(*by, part)
+            state.groupBy(*by, part())
             .agg(F.sum("n_rows").alias("n_rows"), F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("m2").alias("m"), F.sum(between).alias("b"))
             .withColumn("m2", F.col("m") + F.greatest(F.col("b") - between, F.lit(0.0)))
             .select(*by, "c", "n_rows", "n", "s1", "m2")
@@ -84,7 +85,3 @@ def heavy_keys(df: DataFrame, keys: list[str], value: str, share: float = 0.015,
     total = df.count()
     out = keyed_moments(df, keys, value, **kw).where(F.col("key_id").isNotNull())
     return out.withColumn("row_share", F.col("n_rows") / F.lit(float(max(total, 1)))).where(F.col("n_rows") >= F.lit(share * total))
-
-
-def any_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds)

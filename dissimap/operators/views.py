@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dissimap.session import input_partitions
+from dissimap.session import cut, input_partitions
 
 
 def placed_items(item: DataFrame) -> DataFrame:
@@ -71,8 +71,8 @@ def convex_hull(item: DataFrame, fan_in: int = 16) -> DataFrame:
     """(point_id, cyclic_order, x, y): the corners of the placed items' hull, counter-clockwise from the leftmost lowest. Partitions are reduced
     to their hulls, fan_in of them at a time to the hull of both, until one task orders what is left, which is no more than hull corners."""
     p = placed_items(item).select(F.col("id").cast("bigint").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    p = cut(p.mapInArrow(_local, "id bigint, x double, y double"))
     parts = input_partitions(p)
-    p = p.mapInArrow(_local, "id bigint, x double, y double")
     while parts > fan_in:
         parts = -(-parts // fan_in)
         p = p.coalesce(parts).mapInArrow(_local, "id bigint, x double, y double")
