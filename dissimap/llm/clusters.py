@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from dissimap.llm.neighbours import BLOCK, Grid, Heaps, _matrix, _threshold, cells, clean_vectors, meetings, tile
 from dissimap.session import cut, drop
 
-#: Nearest linked balls that a ball keeps an affinity to, from each task; the links that join parts come besides.
+#: Nearest linked balls that a ball keeps a link to, from each task, for the walk; the links that join parts come besides.
 KEPT = 8
 #: The most k-means centres, which every task holds.
 MOST_CENTRES = 1024
@@ -60,9 +60,35 @@ class Parts:
         return np.concatenate(used) if used else np.empty(0, int)
 
 
+def _affinity(d: np.ndarray, reach: float, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.exp(-((d / reach) ** 2)) * m * n
+
+
+def _rows(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The rows of runs that begin at start."""
+    return np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+
+
+def _touch(x: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, reach: float) -> np.ndarray:
+    """Whether balls i and j, pair by pair, hold vectors within reach."""
+    (bi, ai), (bj, aj) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+    y, z = x[_rows(start[bi], size[bi])], x[_rows(start[bj], size[bj])]
+    middle = y.mean(0)
+    y, z = y - middle, z - middle
+    yy, zz = (y * y).sum(1), (z * z).sum(1)
+    d2 = yy[:, None] - 2 * y @ z.T + zz[None]
+    d2 = np.minimum.reduceat(np.minimum.reduceat(d2, np.r_[0, np.cumsum(size[bj])[:-1]], axis=1), np.r_[0, np.cumsum(size[bi])[:-1]], axis=0)[ai, aj]
+    slack = 1e-12 * (yy.max() + zz.max() + reach**2)
+    out = d2 < reach**2 - slack
+    for k in np.flatnonzero(np.abs(d2 - reach**2) <= slack):  # too near to the limit for the product
+        a, b = (x[start[n] : start[n] + size[n]] for n in (i[k], j[k]))
+        out[k] = any(np.sqrt(((a[h : h + 64, None] - b[None]) ** 2).sum(-1)).min() <= reach for h in range(0, len(a), 64))
+    return out
+
+
 def _links(reach: float, grid: Grid):
-    """Of two sides, links of balls that hold vectors within reach: those to the KEPT nearest balls, and enough others that
-    whatever is connected by any links stays so."""
+    """Of two sides, balls that hold vectors within reach: links to the KEPT nearest balls, and enough others that whatever is
+    connected by any links stays so; and, with null for b, each ball's affinity to all such balls."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         p, q = key[0].as_py(), key[1].as_py()
@@ -73,9 +99,8 @@ def _links(reach: float, grid: Grid):
         names, wide = ball[start], np.maximum.reduceat(far, start)
         lead = start + np.array([np.argmax(ids[s : s + n] == b) for s, n, b in zip(start, size, names)])
         c, block, side, cell = x[lead], *(np.asarray(t[n])[lead] for n in ("block", "side", "cell"))
-        parts, heaps = Parts(len(names)), Heaps(len(names), KEPT, np.inf)
+        parts, heaps, full = Parts(len(names)), Heaps(len(names), KEPT, np.inf), np.zeros(len(names))
         out: list[tuple] = []
-        maybe: list[tuple] = []
         s = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         e = np.r_[s[1:], len(block)]
         for a in range(len(s)):
@@ -94,38 +119,33 @@ def _links(reach: float, grid: Grid):
                 i1, j1, d1 = i[sure], j[sure], d[sure]
                 heaps.push(i1, j1, d1)
                 heaps.push(j1, i1, d1)
-                u = parts.add(i1, j1)
-                out.append((i1[u], j1[u], d1[u]))
                 open_ = ~sure & (d <= reach + wide[i] + wide[j])
                 if open_.any():
-                    maybe.append((i[open_], j[open_], d[open_]))
-        if maybe:
-            i, j, d = (np.concatenate(m) for m in zip(*maybe))
-            left = parts.of[i] != parts.of[j]
-            i, j, d = i[left], j[left], d[left]
-            for k in np.argsort(d, kind="stable"):
-                a, b = i[k], j[k]
-                if parts.of[a] != parts.of[b]:
-                    near = min(
-                        float(np.sqrt(((x[start[a] + h : start[a] + h + 64, None][: size[a] - h] - x[None, start[b] : start[b] + size[b]]) ** 2).sum(-1)).min()) for h in range(0, size[a], 64)
-                    )
-                    if near <= reach:
-                        parts.add(np.array([a]), np.array([b]))
-                        out.append((np.array([a]), np.array([b]), np.array([d[k]])))
+                    i2, j2, d2 = i[open_], j[open_], d[open_]
+                    near = _touch(x, start, size, i2, j2, reach)
+                    i1, j1, d1 = np.r_[i1, i2[near]], np.r_[j1, j2[near]], np.r_[d1, d2[near]]
+                w = _affinity(d1, reach, size[i1], size[j1])
+                full += np.bincount(i1, w, len(full)) + np.bincount(j1, w, len(full))
+                u = parts.add(i1, j1)
+                out.append((i1[u], j1[u], d1[u]))
         have = heaps.id >= 0
         out.append((np.repeat(np.arange(len(names)), have.sum(1)), heaps.id[have], heaps.d[have]))
         i, j, d = (np.concatenate(m) for m in zip(*out))
         pairs, first = np.unique(np.column_stack([np.minimum(names[i], names[j]), np.maximum(names[i], names[j])]), axis=0, return_index=True)
         i, j, d = i[first], j[first], d[first]
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "w": np.exp(-((d / reach) ** 2)) * size[i] * size[j]})
+        some = np.flatnonzero(full)
+        a = np.r_[pairs[:, 0], names[some]]
+        b = pa.array(np.r_[pairs[:, 1], names[some]], mask=np.arange(len(a)) >= len(pairs))
+        return pa.table({"a": a, "b": b, "w": np.r_[_affinity(d, reach, size[i], size[j]), full[some]]})
 
     return run
 
 
-def balls_and_links(vectors: DataFrame, reach: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame] | None:
-    """members(id, ball, far) and links(a < b, w) of balls of radius reach/2, whose ids are those of their centres: any two
+def balls_and_links(vectors: DataFrame, reach: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """members(id, ball, far), links(a < b, w) and strength(ball, w) of balls of radius reach/2, whose ids are those of their centres: any two
     vectors of a ball are within reach. Balls with vectors within reach are connected by links (at once or over others), and a link only joins such
-    balls. w is the affinity: exp(-(d/reach)^2) of the centres, times the balls' sizes. vectors: (id, x), no two x equal."""
+    balls. w is the affinity: exp(-(d/reach)^2) of the centres, times the balls' sizes; a ball's strength is its affinity to all balls
+    with vectors within reach of its own, links or not. vectors: (id, x), no two x equal."""
     got = cells(vectors, reach, block)
     if got is None:
         return None
@@ -135,7 +155,10 @@ def balls_and_links(vectors: DataFrame, reach: float, block: int = BLOCK) -> tup
     )
     to = meetings_of(covered, grid)
     links = to.groupBy("p", "q").applyInArrow(_links(reach, grid), "a bigint, b bigint, w double")
-    return covered.select("id", "ball", "far"), cut(links.groupBy("a", "b").agg(F.max("w").alias("w")))
+    # Two balls meet in one task only; a ball's strength is added up over its tasks.
+    both = cut(links.groupBy("a", "b").agg(F.max("w").alias("w"), F.sum("w").alias("total")))
+    strength = both.where("b is null").select(F.col("a").alias("ball"), F.col("total").alias("w"))
+    return covered.select("id", "ball", "far"), both.where("b is not null").select("a", "b", "w"), strength
 
 
 def meetings_of(covered: DataFrame, grid: Grid) -> DataFrame:
@@ -225,7 +248,7 @@ def similarity_clusters(vectors: DataFrame, reach: float, spectral: int | None =
        vectors, and k-means divides the embedding into `spectral` labels (by default one for 16 balls, MOST_CENTRES at most).
     3. An exact check of the labels: what hangs together within a label is one part; links between parts of different
        labels (where the walk had not mixed) join them. Parts without such links are the clusters.
-    4. affinity ranks the members: the affinity of the point's ball to balls of its cluster, for each vector of the ball,
+    4. affinity ranks the members: the affinity of the point's ball to all balls with vectors within reach, for each vector of the ball,
        times exp(-(d/reach)^2) of the point's distance to the ball's centre.
     """
     empty = "cluster_id bigint, point_id bigint, affinity double"
@@ -235,7 +258,7 @@ def similarity_clusters(vectors: DataFrame, reach: float, spectral: int | None =
     got = balls_and_links(kinds.select("id", "x"), reach, block)
     if got is None:
         return spark.createDataFrame([], empty)
-    members, links = got
+    members, links, strength = got
     n = members.join(kinds.select("id", "n"), "id")
     balls = cut(n.groupBy("ball").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")))
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -254,8 +277,6 @@ def similarity_clusters(vectors: DataFrame, reach: float, spectral: int | None =
         part = first.join(joined, "part", "left").select("id", F.coalesce("whole", "part").alias("part"))
     part = cut(balls.join(part, balls.ball == part.id, "left").select("ball", F.coalesce("part", "ball").alias("part"), "n", "size"))
     whole = part.groupBy("part").agg(F.sum("n").alias("whole")).where("whole > 1")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    strength = both.groupBy("a").agg(F.sum("w").alias("w")).withColumnRenamed("a", "ball")  # linked balls are of one cluster
     per = (F.coalesce("w", F.lit(0.0)) + F.col("size") * F.col("size")) / F.col("size")
     part = part.join(whole.select("part"), "part", "left_semi").join(strength, "ball", "left").select("ball", "part", per.alias("per"))
     m = members.join(part, "ball").select("id", "part", (F.col("per") * F.exp(-F.pow(F.col("far") / reach, 2))).alias("affinity"))

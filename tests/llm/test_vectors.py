@@ -91,6 +91,20 @@ def test_clusters_are_the_chains_of_steps(spark, x, reach, block, spectral):
     assert all(r.affinity > 0 for r in got)
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_affinity_counts_every_ball_within_reach(spark, block):
+    x, reach = np.random.default_rng(3).uniform(size=(300, 2)), 0.25
+    members = clusters.balls_and_links(table(spark, x).select("id", "x"), reach, block)[0].collect()
+    ball = {r.id: r.ball for r in members}
+    of = {b: [i for i in ball if ball[i] == b] for b in set(ball.values())}
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    linked = {a: [b for b in of if dist[np.ix_(of[a], of[b])].min() <= reach] for a in of}  # itself, too
+    assert max(map(len, linked.values())) > clusters.KEPT + 1 and any(dist[a, b] > reach for a in of for b in linked[a])
+    want = {a: sum(math.exp(-((dist[a, b] / reach) ** 2)) * len(of[b]) for b in linked[a]) for a in of}
+    got = {r.point_id: r.affinity for r in clusters.similarity_clusters(table(spark, x), reach, steps=4, block=block).collect()}
+    assert got == pytest.approx({i: want[b] * math.exp(-((dist[i, b] / reach) ** 2)) for i, b in ball.items()})
+
+
 def test_a_long_chain_is_one_cluster_though_the_walk_does_not_mix(spark):
     x = np.column_stack([np.arange(120) * 0.1, np.zeros(120)])
     x[60:] += 0.05
