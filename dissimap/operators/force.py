@@ -73,10 +73,10 @@ def in_one_task(pairs: DataFrame, init: DataFrame | None, run) -> DataFrame:
 
 
 def force_layout(
-    pairs: DataFrame, p: int = 2, iterations: int = 50, planar: bool = True, dampening: float = 0.5, force_cap: float = 0.5, spring: float = 0.5, init: DataFrame | None = None, seed: int = 1, every: int = 3,
+    pairs: DataFrame, p: int = 2, iterations: int | None = None, planar: bool = True, dampening: float = 0.5, force_cap: float = 0.5, spring: float = 0.5, init: DataFrame | None = None, seed: int = 1, every: int = 3,
     local: int = LOCAL, sequential: bool = False,
 ) -> DataFrame:
-    """points in p dimensions after so many steps, from hashed places or from init (id, x). With planar, a further coordinate
+    """points in p dimensions after so many steps (by default the number of points), from hashed places or from init (id, x). With planar, a further coordinate
     gives points room to pass, is pulled to 0 with growing strength, and is dropped.
 
     Up to `local` points one task holds the matrix; beyond, each step is joins and an aggregate, the lineage being cut every few steps. Both give the
@@ -86,15 +86,16 @@ def force_layout(
     pairs = cut(pairs.select("i", "j", "r"))
     ids = pairs.select(F.explode(F.array("i", "j")).alias("id")).distinct()
     n = ids.count()
+    rounds = n if iterations is None else iterations
     start = init.select("id", F.concat("x", F.array(F.lit(0.0))).alias("x")) if planar and init is not None else init
     if n <= local:
-        return in_one_task(pairs, start, lambda i, r, x: kernels.force(r, kernels.uniform(i, dims, seed) if x is None else x, iterations, planar, dampening, force_cap, spring, sequential)[:, :p])
+        return in_one_task(pairs, start, lambda i, r, x: kernels.force(r, kernels.uniform(i, dims, seed) if x is None else x, rounds, planar, dampening, force_cap, spring, sequential)[:, :p])
     if sequential:
         raise ValueError(f"the sequential layout is for {local} points at most")
     x = random_points(ids, dims, seed) if start is None else start
     s, old = cut(x.withColumn("v", times("x", 0.0))), None
-    for k in range(1, iterations + 1):
-        s = force_step(pairs, s, dims, spring, dampening, force_cap, spring * k / iterations if planar else 0.0)
+    for k in range(1, rounds + 1):
+        s = force_step(pairs, s, dims, spring, dampening, force_cap, spring * k / rounds if planar else 0.0)
         if k % every == 0:
             s = cut(s, old)
             old = s

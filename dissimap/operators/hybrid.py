@@ -45,14 +45,13 @@ def neighbour_layout(
     local: int = LOCAL,
 ) -> DataFrame:
     """points in p dimensions by a force layout linear in the points for each iteration: each point keeps its v_max best neighbours so far and
-    meets s_max hashed others. iterations: by default the number of points, 60 at most. Raises ValueError unless there are more than v_max + 1
-    points."""
+    meets s_max hashed others. iterations: by default the number of points. Raises ValueError unless there are more than v_max + 1 points."""
     pairs = cut(pairs.select("i", "j", "r"))
     ids = cut(pairs.select(F.explode(F.array("i", "j")).alias("id")).distinct())
     n = ids.count()
     if n <= v_max + 1:
         raise ValueError("there must be more than v_max + 1 points")
-    rounds = min(n, 60) if iterations is None else iterations
+    rounds = n if iterations is None else iterations
     dims = p + 1 if planar else p
     start = init.select("id", F.concat("x", F.array(F.lit(0.0))).alias("x") if planar else F.col("x")) if init is not None else None
     if n <= local:

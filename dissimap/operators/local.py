@@ -39,14 +39,23 @@ def force(r: np.ndarray, x: np.ndarray, rounds: int, planar: bool, dampening: fl
     n, v = len(x), np.zeros_like(x)
     x = x.copy()
     for k in range(1, rounds + 1):
-        blocks = [slice(i, i + 1) for i in range(n)] if sequential else [slice(s, s + 512) for s in range(0, n, 512)]
+        blocks = [slice(i, i + 1) for i in range(n)] if sequential else [slice(s, s + 128) for s in range(0, n, 128)]
         old = x if sequential else x.copy()
         for b in blocks:
-            d, u = directions(old[b, None], old[None])
             own = np.arange(n)[b]
-            pull = spring * (r[b] - d)
-            pull[np.arange(len(own)), own] = 0
-            f = (u * pull[..., None]).sum(1) / max(1, n - 1)
+            d = np.zeros((len(own), n))
+            for c in range(x.shape[1]):
+                dx = np.subtract.outer(old[b, c], old[:, c])
+                d += np.multiply(dx, dx, out=dx)
+            np.sqrt(d, out=d)
+            same = d == 0
+            same[np.arange(len(own)), own] = False
+            pull = np.subtract(r[b], d) * spring
+            d[d == 0] = np.inf
+            pull_by_d = pull / d
+            f = old[b] * pull_by_d.sum(1)[:, None] - pull_by_d @ old
+            f[:, 0] += (pull * same).sum(1) if same.any() else 0.0  # the first axis where places are the same
+            f /= max(1, n - 1)
             if planar:
                 f[:, -1] -= old[b, -1] * spring * k / rounds
             v[b] = v[b] * (1 - dampening) + _capped(f, cap)

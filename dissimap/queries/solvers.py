@@ -83,7 +83,7 @@ def flagship(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (flagship, cmds, cmds_distributed, smds, smds_variance_cutoff, smacof, wmds, lmds, imds, isomap, isomap_layout, rkisomap_layout)}
-QUERIES |= {"fdmds": _scored("force", iterations=20), "cha96mds": _scored("neighbours", iterations=20), "sqmds": _scored("sampled"), "sqpmds": _scored("pivots")}
+QUERIES |= {"fdmds": _scored("force"), "cha96mds": _scored("neighbours"), "sqmds": _scored("sampled"), "sqpmds": _scored("pivots")}
 
 _SAME = f"WITH {PLANE_PAIRS} SELECT i, j, {near_sql('r')} AS r FROM pr"
 SQL = {

@@ -72,6 +72,21 @@ def test_layouts_lower_stress(spark, pairs):
     assert score(hybrid.pivot_layout(pairs)) < 0.15
 
 
+def test_layouts_run_as_many_rounds_as_points_by_default(spark, monkeypatch):
+    from dissimap.queries import solvers
+
+    many = euclidean_distance(points_of(spark, np.random.default_rng(5).uniform(size=(70, 2)))).cache()
+    for method in (force.force_layout, hybrid.neighbour_layout):
+        a, b = ({r.id: r.x for r in x.collect()} for x in (method(many), method(many, iterations=70)))
+        assert all(np.allclose(a[k], b[k], atol=1e-12) for k in a) and len(a) == 70
+    points, asked = points_of(spark, np.zeros((1, 2))), []
+    monkeypatch.setattr(solvers, "plane_pairs", lambda spark, d: many)
+    monkeypatch.setattr(solvers.layouts, "lay_out", lambda *a, **options: asked.append(options) or solvers.layouts.Layout(points, {"normalised": 0.0}))
+    for name in ("fdmds", "cha96mds", "sqmds", "sqpmds"):
+        solvers.QUERIES[name](spark, "")
+    assert asked == [{}] * 4
+
+
 def test_layout_limits(spark, pairs):
     with pytest.raises(ValueError):
         hybrid.sampled_layout(pairs, 3)
