@@ -45,15 +45,20 @@ def content(text: str) -> list[str]:
     return out
 
 
+def _names(lines: list[str], k: int) -> bool:
+    """Whether line k is one of the two that name a file, before a hunk."""
+    k -= lines[k][0] == "+"
+    return k >= 0 and lines[k].startswith("--- ") and "".join(s[:4] for s in lines[k + 1 : k + 2]) == "+++ " and "".join(s[:2] for s in lines[k + 2 : k + 3]) == "@@"
+
+
 def _commits(text: str, out: list[str]) -> None:
-    state, title, auto, skip = "message", True, False, False
-    for line in text.replace("\r", "\n").split("\n"):
-        if not line:
-            continue
+    state, title, auto, skip, hunk = "message", True, False, False, False
+    lines = [s for s in text.replace("\r", "\n").split("\n") if s]
+    for k, line in enumerate(lines):
         first = line[0]
         if state == "file":
             if first in "+-":
-                if not skip and not line.startswith(("+++ ", "--- ")):
+                if not skip and not (line.startswith(("+++ ", "--- ")) and (not hunk or _names(lines, k))):
                     if line in ("-- ", "---"):
                         state = "tail"
                     else:
@@ -63,13 +68,14 @@ def _commits(text: str, out: list[str]) -> None:
                     state, title, auto, skip = "message", True, False, False
                 continue
             if first in " \t@\\":
+                hunk = hunk or line.startswith("@@")
                 continue
         if first in "cF#-" and START.match(line):
             state, title, auto, skip = "message", True, False, False
             continue
         if first in "dI" and (m := DIFF.match(line)):
             path = m[1] or m[2] or m[3] or ""
-            state, skip = "file", bool(SKIPPED.search(path))
+            state, skip, hunk = "file", bool(SKIPPED.search(path)), False
             if not skip:
                 out.append(path)
             continue

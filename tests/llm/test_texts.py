@@ -151,3 +151,8 @@ def test_areas_without_labels_documents_or_subjects(spark):
     assert subjects.subject_areas(docs, areas, labels.limit(0)).count() == 0
     assert subjects.subject_areas(docs.limit(0), areas, labels).count() == 0
     assert subjects.subject_areas(docs, areas.limit(0), labels).count() == 0
+
+
+def test_changed_lines_that_begin_with_dashes_or_pluses_are_no_file_names():
+    text = "commit 1234567\n\ndiff --git a/q.sql b/q.sql\n--- a/q.sql\n+++ b/q.sql\n@@ -1,2 +1,2 @@\n--- old remark\n+-- new remark\n+++ counter\n--- a/r.sql\n+++ b/r.sql\n@@ -1 +1 @@\n--- last"
+    assert content(text) == ["q.sql", "-- old remark", "-- new remark", "++ counter", "-- last"]
