@@ -26,6 +26,18 @@ def latest_relations(relation: DataFrame) -> DataFrame:
     return got.select("a", "b", (-F.col("k.nd")).alias("distance_mean"), (-F.col("k.nc")).alias("sample_count"))
 
 
+def stored_relations(relation: DataFrame) -> DataFrame:
+    """One row (first_item_id < second_item_id, RELATION) for each unordered pair of different items: its row with the latest updated_at, whole; of
+    several such, the smallest distance, then the smallest count. Values of a row in the other order change places."""
+    a, b = F.col("first_item_id"), F.col("second_item_id")
+    other = {c: c.replace("first_", "second_") if c.startswith("first_") else c.replace("second_", "first_") for c in RELATION}
+    values = [F.when(a < b, F.col(c)).otherwise(F.col(other[c])).alias(c) for c in RELATION]
+    d = F.when(~F.isnan("distance_mean"), -F.col("distance_mean"))
+    key = F.struct(F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at"), d.alias("nd"), (-F.col("sample_count")).alias("nc"), *values)
+    got = relation.where(a != b).select(F.least(a, b).alias("first_item_id"), F.greatest(a, b).alias("second_item_id"), key.alias("k"))
+    return got.groupBy("first_item_id", "second_item_id").agg(F.max("k").alias("k")).select("first_item_id", "second_item_id", *[F.col(f"k.{c}") for c in RELATION])
+
+
 def item_statistics(ratings: DataFrame) -> DataFrame:
     """(item_id, sample_count, value_mean, value_variance) of ratings (user_id, item_id, value), population variance. By tree aggregation, so a heavy
     item delays nothing."""

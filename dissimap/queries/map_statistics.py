@@ -36,8 +36,7 @@ def relation_stats(spark, d):
 
 
 def relation_validation(spark, d):
-    stored = table(spark, d, "relation").where("first_item_id < second_item_id").groupBy("first_item_id", "second_item_id").agg(*[F.max(c).alias(c) for c in ratings.RELATION])
-    return ratings.validate_relations(stored, ratings.relation_statistics(_usable(spark, d)))
+    return ratings.validate_relations(ratings.stored_relations(table(spark, d, "relation")), ratings.relation_statistics(_usable(spark, d)))
 
 
 def _model(model):

@@ -153,3 +153,15 @@ def test_map_stages_match_brute_force(spark):
         k = {i: math.exp(-(hop[place[i], q.vertex] ** 2) / 2.25) for i in place}
         assert q.value == pytest.approx(sum(k[i] * x[i, q.prop] for i in k) / sum(k.values()))
     assert som.train(items, weights, faces, 2, 2.0).count() > 0
+
+
+def test_stored_relations_in_either_order_are_validated_by_their_latest_row(spark, tmp_path):
+    from dissimap.queries import map_statistics
+
+    spark.createDataFrame([(u, i, float(v)) for u, i, v in [(1, 1, 10), (1, 2, 30), (2, 1, 20), (2, 2, 30)]], "user_id bigint, item_id bigint, item_value double").write.parquet(str(tmp_path / "rating.parquet"))
+    right = [15.0, 25.0, 30.0, 15.0, 0.0, 25.0, 0.0]  # |a - b|, its variance, means and variances of items 2 and 1, covariance
+    rows = [(2, 1, 15.0, 2, *right, "2024-02-01"), (1, 2, 15.0, 9, *[99.0] * 7, "2024-01-01")]
+    names = [*ratings.RELATION]
+    kind = "first_item_id bigint, second_item_id bigint, distance_mean double, sample_count bigint, " + ", ".join(f"{c} double" for c in names[1:]) + ", updated_at string"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "relation.parquet"))
+    assert map_statistics.relation_validation(spark, str(tmp_path)).count() == 0
