@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,12 +29,27 @@ def affine_apply(points: DataFrame, a: np.ndarray) -> DataFrame:
     return points.select("id", new.alias("x"))
 
 
-def affine_between(old: DataFrame, new: DataFrame, most: int = 100_000) -> np.ndarray:
-    """affine_fit() from one layout to another over the points that both have (`most` of them at most, by hash)."""
-    both = old.select("id", F.col("x").alias("a")).join(new.select("id", F.col("x").alias("b")), "id").orderBy(mixed("id"), "id").limit(most).collect()
-    if not both:
+def _triangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The triangular factor of a partition's rows [a | 1 | b], which has the same least squares."""
+    r, d = None, 0
+    for t in batches:
+        if t.num_rows:
+            x, y = matrix_of(t.column(0)), matrix_of(t.column(1))
+            m, d = np.column_stack([x, np.ones(len(x)), y]), x.shape[1]
+            r = np.linalg.qr(m if r is None else np.vstack([r, m]), mode="r")
+    if r is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([d] * len(r), pa.int32()), pa.array(list(r), pa.list_(pa.float64()))], ["d", "row"])
+
+
+def affine_between(old: DataFrame, new: DataFrame) -> np.ndarray:
+    """affine_fit() from one layout to another over all points that both have. Of each partition only the triangular factor, d + 1 + p rows at
+    most, is collected."""
+    both = old.select("id", F.col("x").alias("a")).join(new.select("id", F.col("x").alias("b")), "id").select("a", "b")
+    got = both.mapInArrow(_triangles, "d int, row array<double>").collect()
+    if not got:
         raise ValueError("the layouts have no point in common")
-    return affine_fit(np.array([r.a for r in both], float), np.array([r.b for r in both], float))
+    d, m = got[0].d, np.array([r.row for r in got], float)
+    return np.linalg.lstsq(m[:, : d + 1], m[:, d + 1 :], rcond=1e-10)[0]
 
 
 def _block_layout(p: int):

@@ -167,3 +167,10 @@ def test_plans(spark, pairs, plane):
     with pytest.raises(ValueError):
         layouts.unroll(far, 3)
     assert layouts.unroll(far, 3, component="largest").points.count() <= 12
+
+
+def test_affine_map_is_fitted_to_all_common_points(spark):
+    x = np.random.default_rng(2).normal(size=(110_000, 2))
+    y = x @ np.array([[2.0, 1.0], [0.0, 3.0]]) + np.abs(x[:, ::-1]) ** 3
+    got = align.affine_between(points_of(spark, x), points_of(spark, y))
+    assert np.allclose(got, align.affine_fit(x, y), atol=1e-9)
