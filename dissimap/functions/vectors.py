@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MOD = 4294967296
+#: A prime below 2**32, and an odd factor whose products with 32 bits fit a bigint.
+PRIME, FACTOR = 4294967291, 73244475
 
 
 def _c(x: Column | str) -> Column:
@@ -47,18 +49,31 @@ def sum_of_vectors(x: Column | str, dims: int) -> Column:
     return F.array(*[F.sum(F.get(x, F.lit(k))) for k in range(dims)])
 
 
+def _round(h: Column) -> Column:
+    return F.pmod(h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(FACTOR), F.lit(MOD))
+
+
+def mixed_seed(seed: int) -> int:
+    """The start of mixed(): the seed after two rounds."""
+    h = (seed + 1) % MOD
+    for _ in range(2):
+        h = (h ^ h >> 16) * FACTOR % MOD
+    return h
+
+
 def mixed(*ids: Column | str, seed: int = 0) -> Column:
-    """A number from 0 to 2**32 - 1, from ids and a seed, in plain integer arithmetic: (sum of id * odd constant) mod 2**32."""
-    odd = (2654435761, 2246822519, 3266489917)
-    h = F.lit(seed % MOD).cast("bigint")
-    for k, c in enumerate(ids):
-        h = h + F.pmod(F.pmod(_c(c), F.lit(2147483648)) * F.lit(odd[k % 3]), F.lit(MOD))
-    return F.pmod(h, F.lit(MOD))
+    """A number from 0 to 2**32 - 1, hashed from ids and a seed in plain integer arithmetic: for one id after another, h becomes h xor (id mod PRIME),
+    and then twice (h xor (h >> 16)) * FACTOR mod 2**32."""
+    h = F.lit(mixed_seed(seed)).cast("bigint")
+    for c in ids:
+        h = _round(_round(h.bitwiseXOR(F.pmod(_c(c).cast("bigint"), F.lit(PRIME)))))
+    return h
 
 
 def mixed_sql(*ids: str, seed: int = 0) -> str:
-    odd = (2654435761, 2246822519, 3266489917)
-    return f"(({' + '.join([str(seed % MOD), *(f'(({c}) % 2147483648) * {odd[k % 3]} % {MOD}' for k, c in enumerate(ids))])}) % {MOD})"
+    """mixed() in SQL, for ids that are not negative."""
+    x = ", ".join(f"({c}) % {PRIME}, 0" for c in ids)
+    return f"list_reduce([{mixed_seed(seed)}::BIGINT, {x}], lambda h, x: xor(xor(h, x), xor(h, x) >> 16) * {FACTOR} % {MOD})"
 
 
 def uniform(*ids: Column | str, seed: int = 0) -> Column:

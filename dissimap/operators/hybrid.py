@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dissimap.functions.vectors import mixed, plus, times
-from dissimap.model import POINTS, both_ways
+from dissimap.model import POINTS, both_ways, dense_index
 from dissimap.operators import local as kernels
 from dissimap.operators.distance import distinct_sample, sample_size
 from dissimap.operators.force import cap, in_one_task, integrate, planar_pull, random_points, spring_forces
@@ -20,9 +20,25 @@ from dissimap.session import cut
 
 
 def random_candidates(points: DataFrame, pairs: DataFrame, s_max: int, seed: int) -> DataFrame:
-    """(i, j, r): s_max hashed other points of each point, with their dissimilarity."""
-    w = Window.partitionBy("i").orderBy(mixed("i", "j", seed=seed), "j")
-    return both_ways(pairs.select("i", "j", "r")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= s_max).drop("k")
+    """(i, j, r): s_max different hashed others of each point (all, if there are fewer), with their dissimilarity.
+
+    Points are numbered in the order of their ids; the n - 1 places after a point are cut into s_max runs, and a place is drawn from each by hash, the
+    whole being turned by a hash of the point. So n * s_max pairs are made and looked up, and no point's pairs are sorted."""
+    return drawn_candidates(dense_index(points.select("id"), "id", "at"), pairs, s_max, seed)
+
+
+def drawn_candidates(numbered: DataFrame, pairs: DataFrame, s_max: int, seed: int) -> DataFrame:
+    """random_candidates() of points (id, at) that are numbered."""
+    n = numbered.count()
+    s = min(s_max, n - 1)
+    if s < 1:
+        return pairs.select("i", "j", "r").limit(0)
+    runs = F.array(*[F.struct(F.lit(k + 1).cast("bigint").alias("k"), F.lit(k * (n - 1) // s).cast("bigint").alias("low"), F.lit((k + 1) * (n - 1) // s - k * (n - 1) // s).cast("bigint").alias("wide")) for k in range(s)])
+    d = numbered.select("id", "at", mixed("at", seed=seed).alias("turn"), F.explode(runs).alias("run"))
+    place = F.pmod(F.col("at") + 1 + F.pmod(F.col("turn") + F.col("run.low") + F.pmod(mixed("at", "run.k", seed=seed), F.col("run.wide")), F.lit(n - 1)), F.lit(n))
+    d = d.select(F.col("id").alias("p"), place.alias("at")).join(numbered.select("at", F.col("id").alias("q")), "at").select("p", "q")
+    found = d.join(pairs.select("i", "j", "r"), (F.greatest("p", "q") == F.col("i")) & (F.least("p", "q") == F.col("j")))
+    return found.select(F.col("p").alias("i"), F.col("q").alias("j"), "r")
 
 
 def neighbour_sets(known: DataFrame | None, candidates: DataFrame, v_max: int) -> DataFrame:
@@ -55,11 +71,12 @@ def neighbour_layout(
     dims = p + 1 if planar else p
     start = init.select("id", F.concat("x", F.array(F.lit(0.0))).alias("x") if planar else F.col("x")) if init is not None else None
     if n <= local:
-        return in_one_task(pairs, start, lambda i, r, x: kernels.neighbours(r, i, kernels.uniform(i, dims, seed) if x is None else x, rounds, planar, v_max, s_max, seed)[:, :p])
+        return in_one_task(pairs, start, lambda i, r, x: kernels.neighbours(r, kernels.uniform(i, dims, seed) if x is None else x, rounds, planar, v_max, s_max, seed)[:, :p])
     x = random_points(ids, dims, seed) if start is None else start
+    ids = cut(dense_index(ids, "id", "at"))
     s, old, known, before = cut(x.withColumn("v", times("x", 0.0))), None, None, None
     for k in range(1, rounds + 1):
-        sets = neighbour_sets(known, random_candidates(ids, pairs, s_max, seed * 1009 + k), v_max)
+        sets = neighbour_sets(known, drawn_candidates(ids, pairs, s_max, seed * 1009 + k), v_max)
         s = neighbour_step(sets, s, dims, pull=0.2 * k / rounds if planar else 0.0)
         known = sets.where("near").drop("near")
         if k % every == 0:

@@ -5,15 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from dissimap.functions.vectors import MOD
+from dissimap.functions.vectors import FACTOR, MOD, PRIME, mixed_seed
 
 
 def mixed(*ids, seed: int = 0) -> np.ndarray:
-    odd = (2654435761, 2246822519, 3266489917)
-    h = np.int64(seed % MOD)
-    for k, c in enumerate(ids):
-        h = h + np.asarray(c, np.int64) % 2147483648 * np.int64(odd[k % 3]) % MOD
-    return h % MOD
+    h = np.int64(mixed_seed(seed))
+    for c in ids:
+        h = h ^ np.asarray(c, np.int64) % PRIME
+        for _ in range(2):
+            h = (h ^ h >> 16) * FACTOR % MOD
+    return h
 
 
 def uniform(ids: np.ndarray, dims: int, seed: int) -> np.ndarray:
@@ -66,18 +67,22 @@ def force(r: np.ndarray, x: np.ndarray, rounds: int, planar: bool, dampening: fl
     return x
 
 
-def neighbours(r: np.ndarray, ids: np.ndarray, x: np.ndarray, rounds: int, planar: bool, v_max: int, s_max: int, seed: int, spring: float = 0.2, dampening: float = 0.3, cap: float = 0.5) -> np.ndarray:
+def drawn(at: np.ndarray, n: int, s_max: int, seed: int) -> np.ndarray:
+    """As hybrid.random_candidates(), by position: s_max different others of each."""
+    s = min(s_max, n - 1)
+    k = np.arange(s)
+    low, high = k * (n - 1) // s, (k + 1) * (n - 1) // s
+    turn = mixed(at, seed=seed)[:, None]
+    return (at[:, None] + 1 + (turn + low + mixed(at[:, None], k[None] + 1, seed=seed) % (high - low)) % (n - 1)) % n
+
+
+def neighbours(r: np.ndarray, x: np.ndarray, rounds: int, planar: bool, v_max: int, s_max: int, seed: int, spring: float = 0.2, dampening: float = 0.3, cap: float = 0.5) -> np.ndarray:
     """Neighbour sets and hashed candidates."""
     n, v, near = len(x), np.zeros_like(x), None
     x = x.copy()
-    s_max = min(s_max, n - 1)
     at = np.arange(n)
     for k in range(1, rounds + 1):
-        cand = np.empty((n, s_max), np.int64)
-        for s in range(0, n, 512):
-            h = mixed(ids[s : s + 512, None], ids[None], seed=seed * 1009 + k).astype(np.float64) * n + at[None]  # by hash, then id
-            h[np.arange(len(h)), at[s : s + 512]] = np.inf
-            cand[s : s + 512] = np.argpartition(h, s_max - 1, axis=1)[:, :s_max] if s_max < n - 1 else np.argsort(h, axis=1)[:, :s_max]
+        cand = drawn(at, n, s_max, seed * 1009 + k)
         every = cand if near is None else np.concatenate([near, cand], axis=1)
         every = np.sort(every, axis=1)
         first = np.column_stack([np.ones(n, bool), every[:, 1:] != every[:, :-1]])  # each other once

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dissimap.operators.skew import keyed_moments, usable
+from dissimap.operators.skew import join_hot, keyed_moments, usable
+from dissimap.session import cut
 
 RELATION = ("sample_count", "value_abs_diff_mean", "value_abs_diff_variance", "first_value_mean", "second_value_mean", "first_value_variance", "second_value_variance", "value_covariance")
 
@@ -45,29 +46,44 @@ def item_statistics(ratings: DataFrame) -> DataFrame:
     return m.select(F.col("key_id").alias("item_id"), F.col("n_values").alias("sample_count"), "value_mean", "value_variance")
 
 
-def co_ratings(ratings: DataFrame, tile: int = 2048) -> DataFrame:
-    """Pairs of ratings of different items by the same user: (first_item_id < second_item_id, va, vb, n), n counting equal ones. A user of more than
-    `tile` different ratings is cut into tiles of `tile` x `tile` pairs, which are tasks of their own."""
-    r = ratings.groupBy(F.col("user_id").alias("u"), F.col("item_id").alias("i"), F.col("value").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    size = ratings.groupBy(F.col("user_id").alias("u")).agg(F.ceil(F.approx_count_distinct(F.struct("item_id", "value")) / tile).cast("int").alias("m"))
-    r = r.join(size, "u").withColumn("c", F.pmod(F.xxhash64("i", "v"), F.greatest("m", F.lit(1))).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.greatest("m", F.lit(1)) - 1))
-    left = r.select("u", "i", "v", "n", F.col("c").alias("x"), every.alias("y"))
-    right = r.select("u", "i", "v", "n", F.col("c").alias("y"), every.alias("x"))
+def co_ratings(ratings: DataFrame, tile: int = 2048, fresh: bool = False) -> DataFrame:
+    """Pairs of ratings of different items by the same user: (first_item_id < second_item_id, va, vb, n), n counting equal ones. fresh: only pairs of
+    which at least one rating's column `fresh` is true.
+
+    A user of more than `tile` different ratings is cut into tiles of `tile` x `tile` pairs, which are tasks of their own; such users, of which there
+    are no more than ratings / tile, learn their number of tiles by a broadcast where they are the hottest (join_hot)."""
+    own = [F.col("fresh")] if fresh else []
+    r = ratings.groupBy(F.col("user_id").alias("u"), F.col("item_id").alias("i"), F.col("value").alias("v"), *own).agg(F.count(F.lit(1)).alias("n"))
+    large = cut(r.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > tile))
+    with_tiles = join_hot(r, large, "u", "k", "left") if large.limit(1).count() else r.withColumn("k", F.lit(1))
+    r = with_tiles.withColumn("m", F.ceil(F.coalesce("k", F.lit(1)) / tile).cast("int")).drop("k")
+    r = r.withColumn("c", F.pmod(F.xxhash64("i", "v"), F.col("m")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+    names = ["u", "i", "v", "n", *(["fresh"] if fresh else [])]
+    left = r.select(*names, F.col("c").alias("x"), every.alias("y"))
+    right = r.select(*names, F.col("c").alias("y"), every.alias("x"))
     on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in "uxy"] + [F.col("l.i") < F.col("r.i")]
+    if fresh:
+        on.append(F.col("l.fresh") | F.col("r.fresh"))
     return left.alias("l").join(right.alias("r"), on).select(
         F.col("l.i").alias("first_item_id"), F.col("r.i").alias("second_item_id"), F.col("l.v").alias("va"), F.col("r.v").alias("vb"), (F.col("l.n") * F.col("r.n")).alias("n")
     )
 
 
-def relation_statistics(ratings: DataFrame, tile: int = 2048) -> DataFrame:
-    """(first_item_id < second_item_id, sample_count, mean and population variance of |a-b|, of a and of b, and their covariance) over all pairs of
-    ratings a user gave the two items. Sums are combined on the map side; values are shifted by 50 to keep their digits."""
-    n, a, b = F.col("n"), F.col("va") - 50.0, F.col("vb") - 50.0
+def relation_sums(ratings: DataFrame, tile: int = 2048, fresh: bool = False, shift: float = 50.0) -> DataFrame:
+    """(first_item_id, second_item_id, n, d, dd, a, aa, b, bb, ab): over co_ratings(), the number of pairs and the sums of |a-b|, of the values less the shift,
+    and of their squares and product. Sums are combined on the map side."""
+    n, a, b = F.col("n"), F.col("va") - shift, F.col("vb") - shift
     d = F.abs(F.col("va") - F.col("vb"))
-    s = co_ratings(ratings, tile).groupBy("first_item_id", "second_item_id").agg(
-        F.sum(n).alias("sample_count"), *[F.sum(n * e).alias(k) for k, e in {"d": d, "dd": d * d, "a": a, "aa": a * a, "b": b, "bb": b * b, "ab": a * b}.items()]
+    return co_ratings(ratings, tile, fresh).groupBy("first_item_id", "second_item_id").agg(
+        F.sum(n).alias("n"), *[F.sum(n * e).alias(k) for k, e in {"d": d, "dd": d * d, "a": a, "aa": a * a, "b": b, "bb": b * b, "ab": a * b}.items()]
     )
+
+
+def relation_statistics(ratings: DataFrame, tile: int = 2048) -> DataFrame:
+    """(first_item_id < second_item_id, sample_count, mean and population variance of |a-b|, of a and of b, and their covariance) over all pairs of
+    ratings a user gave the two items. Values are shifted by 50 to keep their digits."""
+    s = relation_sums(ratings, tile).withColumnRenamed("n", "sample_count")
     m = {k: F.col(k) / F.col("sample_count") for k in ("d", "dd", "a", "aa", "b", "bb", "ab")}
     var = lambda x: F.greatest(m[x + x] - m[x] * m[x], F.lit(0.0))
     return s.select(

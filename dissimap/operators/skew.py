@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dissimap.session import cut, input_partitions
+
+#: Keys that join_hot() may broadcast.
+MOST_HOT = 1000
+
 
 def usable(value: Column, low: float | None = None, high: float | None = None) -> Column:
     """True where value is neither null nor NaN and lies in [low, high]."""
@@ -36,7 +41,7 @@ def keyed_moments(
 
     A state is (rows, n, s1, m2): m2 is the sum of squares about the state's own mean, s1 the sum of value - shift.
     Merging adds sum(s1^2/n) - sum(s1)^2/sum(n) to the m2, which loses no digits if shift is near the values; it is
-    by default the mean of the usable values.
+    by default some usable value. The input is read once.
 
     Null keys are a key of their own (key_id null). Null, NaN and values outside [low, high] count in n_rows only; a key
     without usable values has null moments. No rows, no result rows. Rows that repeat count each time.
@@ -44,10 +49,10 @@ def keyed_moments(
     v = F.col("v")
     src = df.select(*[F.col(k).cast("bigint").alias(f"k{i}") for i, k in enumerate(keys)], F.col(value).cast("double").alias("v"))
     src = src.withColumns({"v": F.when(usable(v, low, high), v), "c": F.spark_partition_id()})
-    seen = src.agg(F.avg("v").alias("mean"), F.max("c").alias("last")).first()
-    chunks = (seen["last"] or 0) + 1
+    chunks = input_partitions(df)  # were there more, the last round would only get more states
     if shift is None:
-        shift = seen["mean"] or 0.0
+        one = src.where("v is not null").select("v").limit(1).collect()
+        shift = one[0].v if one else 0.0
     rows = src.select(
         "c",
         "v",
@@ -82,6 +87,23 @@ def keyed_moments(
 def heavy_keys(df: DataFrame, keys: list[str], value: str, share: float = 0.015, **kw) -> DataFrame:
     """The non-null keys of keyed_moments() that hold at least `share` of all rows of df, with their statistics and
     row_share. Rows count as they are, null keys and values too."""
-    total = df.count()
-    out = keyed_moments(df, keys, value, **kw).where(F.col("key_id").isNotNull())
+    out = cut(keyed_moments(df, keys, value, **kw))
+    total = out.where(F.col("key_kind") == keys[0]).agg(F.sum("n_rows")).first()[0] or 0  # each row has one value of each key
+    out = out.where(F.col("key_id").isNotNull())
     return out.withColumn("row_share", F.col("n_rows") / F.lit(float(max(total, 1)))).where(F.col("n_rows") >= F.lit(share * total))
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str, how: str = "inner", most: int = MOST_HOT) -> DataFrame:
+    """rows joined on `key` with per_key, which has one row for each key and, in `count`, how many rows the key has (about). how: inner, left or left_semi.
+
+    Keys of more than 1/most of all counted rows, of which there are `most` at most, meet their rows by a broadcast: their rows are not exchanged.
+    The rows of the others, none of which is hot, meet theirs as Spark chooses. Null keys join nothing. per_key is read several times: a
+    written table, or cheap.
+    """
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    hot = F.coalesce(F.col(count) * F.lit(float(most)) > F.lit(float(total)), F.lit(False))
+    hot_keys = F.broadcast(per_key.where(hot & F.col(key).isNotNull()))  # `most` rows at most
+    if not per_key.where(hot).limit(1).count():
+        return rows.join(per_key, key, how)
+    rest = rows.join(hot_keys.select(key), key, "left_anti")
+    return rows.join(hot_keys, key, "left_semi" if how == "left_semi" else "inner").unionByName(rest.join(per_key.where(~hot), key, how))

@@ -72,7 +72,7 @@ def _subspace(pairs: DataFrame, n: int, p: int, spectrum: str, tolerance: float
     k = p + 4
     b = both_ways(double_center(pairs, n)).unionByName(double_center(pairs, n, diagonal=True).where("i = j"))
     b = cut(b)
-    y = b.select("i").distinct().select(F.col("i").alias("id"), *[(uniform("i", seed=seed + c) - 0.5).alias(f"y{c}") for c in range(k)])
+    y = b.select("i").distinct().select(F.col("i").alias("id"), *[(uniform("i", F.lit(c), seed=seed) - 0.5).alias(f"y{c}") for c in range(k)])
     old = None
     names = [f"y{c}" for c in range(k)]
 
@@ -102,6 +102,8 @@ def _subspace(pairs: DataFrame, n: int, p: int, spectrum: str, tolerance: float
         if last is not None and np.allclose(values[:p], last[:p], rtol=1e-12, atol=1e-12 * abs(values[0])):
             break
         last = values
+    else:
+        raise RuntimeError(f"the leading eigenvalues have not settled within {rounds} rounds")
     m = p if tolerance is None else kept(values, p, tolerance)
     use = np.sqrt(np.abs(values[:m]) if spectrum == "singular" else np.maximum(values[:m], 0))
     out = times(q, w)

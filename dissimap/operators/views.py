@@ -18,8 +18,9 @@ def placed_items(item: DataFrame) -> DataFrame:
 
 
 def get_items(item: DataFrame, detail: DataFrame) -> DataFrame:
-    """(id, x, y, sample_count, value_mean, title) of items with details; locations as they are."""
-    return item.join(detail.select("id", "title"), "id").select("id", "x", "y", "sample_count", "value_mean", "title")
+    """(id, x, y, sample_count, value_mean, title) of items with details. A NaN place, which means not placed, is null."""
+    at = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("x", "y")]
+    return item.join(detail.select("id", "title"), "id").select("id", *at, "sample_count", "value_mean", "title")
 
 
 def get_items_box(item: DataFrame, detail: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float) -> DataFrame:

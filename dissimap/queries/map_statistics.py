@@ -173,7 +173,7 @@ SQL = {
         {near_sql('CASE WHEN first_value_variance >= 1e-6 AND second_value_variance >= 1e-6 THEN 1 - value_covariance / sqrt(first_value_variance * second_value_variance) END')} AS distance FROM rs""",
     "shrunk_distance": f"""WITH {RELATIONS}, m AS (SELECT id, CASE WHEN NOT isnan(distance_mean) THEN distance_mean END AS mean FROM item)
         SELECT a, b, {near_sql('coalesce(mean / (1 + sample_count) + (1 - 1 / (1 + sample_count)) * distance_mean, mean)')} AS distance FROM rl JOIN m ON a = id""",
-    "get_items": "SELECT id, x, y, sample_count, value_mean, title FROM item JOIN item_detail USING (id)",
+    "get_items": "SELECT id, CASE WHEN NOT isnan(x) THEN x END AS x, CASE WHEN NOT isnan(y) THEN y END AS y, sample_count, value_mean, title FROM item JOIN item_detail USING (id)",
     "get_items_viewport": "SELECT id, x, y, sample_count, value_mean, title FROM item JOIN item_detail USING (id) WHERE x BETWEEN -10 AND 10 AND y BETWEEN -10 AND 15",
     "item_locations": f"WITH {PLACED} SELECT r.id, it.x, it.y FROM (SELECT unnest(range(0, (SELECT max(id) + 1 FROM it))) AS id) r LEFT JOIN it ON r.id = it.id",
     "convex_hull": _HULL,

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from dissimap.functions.vectors import mixed_sql, times, uniform, uniform_sql
-from dissimap.model import both_ways
+from dissimap.model import both_ways, dense_index
 from dissimap.operators import distance, force, hybrid, som
 from dissimap.queries.inputs import BOTH_WAYS, PLANE_WAYS, full, full_pairs, plane, plane_pairs
 from dissimap.queries.relational import coordinates, rounded
@@ -45,8 +45,8 @@ def force_cap(spark, d):
 
 
 def _sets(spark, d):
-    p, r = plane(spark, d), full_pairs(spark, d)
-    return hybrid.neighbour_sets(hybrid.random_candidates(p, r, 5, 1), hybrid.random_candidates(p, r, 10, 2), 5)
+    p, r = cut(dense_index(plane(spark, d).select("id"), "id", "at")), cut(full_pairs(spark, d))
+    return hybrid.neighbour_sets(hybrid.drawn_candidates(p, r, 5, 1), hybrid.drawn_candidates(p, r, 10, 2), 5)
 
 
 def neighbour_sets(spark, d):
@@ -185,11 +185,15 @@ def _integrated(keep: float) -> str:
       SELECT id, {near_sql('x + vx')} AS x, {near_sql('y + vy')} AS y, {near_sql('vx')} AS vx, {near_sql('vy')} AS vy FROM iv"""
 
 
-def _candidates(seed: int, n: int) -> str:
-    return f"SELECT i, j, r FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY {mixed_sql('i', 'j', seed=seed)}, j) AS k FROM sy) WHERE k <= {n}"
+def _candidates(seed: int, s: int) -> str:
+    """Of each of s runs of the places after a point, one by hash."""
+    low = f"k * (n - 1) // {s}"
+    wide = f"(k + 1) * (n - 1) // {s} - k * (n - 1) // {s}"
+    place = f"(pos + 1 + ({mixed_sql('pos', seed=seed)} + {low} + {mixed_sql('pos', 'k + 1', seed=seed)} % ({wide})) % (n - 1)) % n"
+    return f"""SELECT sy.i, sy.j, sy.r FROM (SELECT nu.id, {place} AS to_ FROM nu, range(0, {s}) t(k)) c JOIN nu o ON c.to_ = o.pos JOIN sy ON sy.i = c.id AND sy.j = o.id"""
 
 
-_SETS = f"{BOTH_WAYS}, ns AS (SELECT i, j, r, row_number() OVER (PARTITION BY i ORDER BY r, j) <= 5 AS near FROM ({_candidates(1, 5)} UNION {_candidates(2, 10)}))"
+_SETS = f"{BOTH_WAYS}, nu AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM pl), ns AS (SELECT i, j, r, row_number() OVER (PARTITION BY i ORDER BY r, j) <= 5 AS near FROM ({_candidates(1, 5)} UNION {_candidates(2, 10)}))"
 _SM = f"sm AS (SELECT id FROM pl ORDER BY {mixed_sql('id', seed=1)}, id LIMIT (SELECT 10 + CAST(floor(sqrt(count(*))) AS BIGINT) FROM pl))"
 _TO = f"{PLANE_WAYS}, {_SM}, ts AS (SELECT * FROM sp WHERE j IN (SELECT id FROM sm) AND i NOT IN (SELECT id FROM sm))"
 _NEAR = "nr AS (SELECT i, arg_min(struct_pack(j := j, r := r), struct_pack(r := r, j := j)) AS m FROM ts GROUP BY i)"

@@ -104,6 +104,20 @@ def test_hash_is_the_same_in_array_and_column_form(spark):
     assert [r[0] for r in df.select(mixed("id", "id", seed=9)).collect()] == list(local.mixed(np.array(ids), np.array(ids), seed=9))
 
 
+def test_hashes_mix():
+    u = local.uniform(np.arange(2000), 3, 1)
+    assert np.abs(np.corrcoef(u.T) - np.eye(3)).max() < 0.1
+    assert np.linalg.matrix_rank(u - 0.5) == 3
+    met = [set() for _ in range(500)]
+    for k in range(20):
+        got = local.drawn(np.arange(500), 500, 10, 1009 + k)
+        assert all(len(set(row)) == 10 and i not in row for i, row in enumerate(got))
+        for i, row in enumerate(got):
+            met[i] |= set(row.tolist())
+    assert min(map(len, met)) >= 150
+    assert sorted(local.drawn(np.arange(4), 4, 9, 1)[0]) == [1, 2, 3]
+
+
 def brute_paths(edges, n):
     d = np.full((n, n), np.inf)
     np.fill_diagonal(d, 0)

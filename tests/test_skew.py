@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from dissimap.operators.skew import heavy_keys, keyed_moments
+from dissimap.operators.skew import heavy_keys, join_hot, keyed_moments
 
 SCHEMA = "item_id bigint, user_id bigint, v double, key_kind string, c int"
 
@@ -54,3 +54,17 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert keyed_moments(df, ["item_id"], "v").count() == 0
     assert heavy_keys(df, ["item_id"], "v").count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_hot_keys_join_as_others(spark, how, most):
+    r = random.Random(4)
+    rows = [(r.choice([1, 1, 1, 2, 3, 4, 5, None]), k) for k in range(300)]
+    left = spark.createDataFrame(rows, "k bigint, row bigint").repartition(5)
+    per = [(k, sum(a == k for a, _ in rows), f"v{k}") for k in (1, 2, 3, 9)]
+    right = spark.createDataFrame(per, "k bigint, n bigint, v string")
+    got = join_hot(left, right, "k", "n", how, most)
+    want = left.join(right, "k", how)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
