@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dissimap.functions.vectors import dot, sum_of_vectors, times
 from dissimap.llm.neighbours import BLOCK, Grid, Heaps, _matrix, _threshold, cells, clean_vectors, meetings, tile
+from dissimap.operators.skew import join_hot
 from dissimap.session import cut, drop
 
 #: Nearest linked balls that a ball keeps a link to, from each task, for the walk; the links that join parts come besides.
 KEPT = 8
-#: The most k-means centres, which every task holds.
-MOST_CENTRES = 1024
+#: Links that one task may hold (24 bytes each); larger graphs are walked by joins.
+HELD = 1_000_000
+#: Levels of the distributed walk, at most: each at least halves what is not yet settled, about.
+MOST_LEVELS = 60
 
 
 def _cover(radius: float):
@@ -60,10 +62,6 @@ class Parts:
         return np.concatenate(used) if used else np.empty(0, int)
 
 
-def _affinity(d: np.ndarray, reach: float, m: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.exp(-((d / reach) ** 2)) * m * n
-
-
 def _rows(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The rows of runs that begin at start."""
     return np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
@@ -88,7 +86,7 @@ def _touch(x: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray, j:
 
 def _links(reach: float, grid: Grid):
     """Of two sides, balls that hold vectors within reach: links to the KEPT nearest balls, and enough others that whatever is
-    connected by any links stays so; and, with null for b, each ball's affinity to all such balls."""
+    connected by any links stays so."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         p, q = key[0].as_py(), key[1].as_py()
@@ -99,7 +97,7 @@ def _links(reach: float, grid: Grid):
         names, wide = ball[start], np.maximum.reduceat(far, start)
         lead = start + np.array([np.argmax(ids[s : s + n] == b) for s, n, b in zip(start, size, names)])
         c, block, side, cell = x[lead], *(np.asarray(t[n])[lead] for n in ("block", "side", "cell"))
-        parts, heaps, full = Parts(len(names)), Heaps(len(names), KEPT, np.inf), np.zeros(len(names))
+        parts, heaps = Parts(len(names)), Heaps(len(names), KEPT, np.inf)
         out: list[tuple] = []
         s = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         e = np.r_[s[1:], len(block)]
@@ -124,8 +122,6 @@ def _links(reach: float, grid: Grid):
                     i2, j2, d2 = i[open_], j[open_], d[open_]
                     near = _touch(x, start, size, i2, j2, reach)
                     i1, j1, d1 = np.r_[i1, i2[near]], np.r_[j1, j2[near]], np.r_[d1, d2[near]]
-                w = _affinity(d1, reach, size[i1], size[j1])
-                full += np.bincount(i1, w, len(full)) + np.bincount(j1, w, len(full))
                 u = parts.add(i1, j1)
                 out.append((i1[u], j1[u], d1[u]))
         have = heaps.id >= 0
@@ -133,157 +129,200 @@ def _links(reach: float, grid: Grid):
         i, j, d = (np.concatenate(m) for m in zip(*out))
         pairs, first = np.unique(np.column_stack([np.minimum(names[i], names[j]), np.maximum(names[i], names[j])]), axis=0, return_index=True)
         i, j, d = i[first], j[first], d[first]
-        some = np.flatnonzero(full)
-        a = np.r_[pairs[:, 0], names[some]]
-        b = pa.array(np.r_[pairs[:, 1], names[some]], mask=np.arange(len(a)) >= len(pairs))
-        return pa.table({"a": a, "b": b, "w": np.r_[_affinity(d, reach, size[i], size[j]), full[some]]})
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "w": np.exp(-((d / reach) ** 2)) * size[i] * size[j]})
 
     return run
 
 
-def balls_and_links(vectors: DataFrame, reach: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """members(id, ball, far), links(a < b, w) and strength(ball, w) of balls of radius reach/2, whose ids are those of their centres: any two
-    vectors of a ball are within reach. Balls with vectors within reach are connected by links (at once or over others), and a link only joins such
-    balls. w is the affinity: exp(-(d/reach)^2) of the centres, times the balls' sizes; a ball's strength is its affinity to all balls
-    with vectors within reach of its own, links or not. vectors: (id, x), no two x equal."""
-    got = cells(vectors, reach, block)
+def balls_and_links(vectors: DataFrame, reach: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame] | None:
+    """members(id, ball) and links(a < b, w) of balls of radius reach/2, whose ids are those of their centres: any two vectors of a ball are within
+    reach. Balls with vectors within reach are connected by links (at once or over others), and a link only joins such balls. w is the affinity:
+    exp(-(d/reach)^2) of the centres, times the balls' sizes. vectors: (id, x), no two x equal."""
+    got = cells(vectors, block)
     if got is None:
         return None
     placed, grid = got
     covered = cut(
         placed.groupBy("block").applyInArrow(_cover(reach / 2 * (1 - 1e-12)), "side int, block int, cell int, id bigint, x array<double>, ball bigint, far double")
     )
-    to = meetings_of(covered, grid)
-    links = to.groupBy("p", "q").applyInArrow(_links(reach, grid), "a bigint, b bigint, w double")
-    # Two balls meet in one task only; a ball's strength is added up over its tasks.
-    both = cut(links.groupBy("a", "b").agg(F.max("w").alias("w"), F.sum("w").alias("total")))
-    strength = both.where("b is null").select(F.col("a").alias("ball"), F.col("total").alias("w"))
-    return covered.select("id", "ball", "far"), both.where("b is not null").select("a", "b", "w"), strength
-
-
-def meetings_of(covered: DataFrame, grid: Grid) -> DataFrame:
-    extra = covered.select("id", F.struct("x", "ball", "far").alias("x"), "side", "block", "cell")
-    return meetings(extra, grid).select("p", "q", "side", "block", "cell", "id", "x.x", "x.ball", "x.far")
-
-
-def power_embedding(nodes: DataFrame, links: DataFrame, vectors: int = 4, steps: int = 24, seed: int = 5) -> DataFrame:
-    """(id, y array<double>): `vectors` hashed start vectors after `steps` rounds of the random walk on the affinities,
-    y <- D^-1 A y. nodes(id, self): self is a node's affinity to itself; links(a, b, w) count both ways. Where the walk
-    mixes, y comes to be the same all over a connected part, and to differ between parts."""
-    e = links.select(F.col("a").alias("i"), F.col("b").alias("j"), "w").unionByName(links.select(F.col("b").alias("i"), F.col("a").alias("j"), "w"))
-    e = e.unionByName(nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.col("self").alias("w")))
-    total = e.groupBy("i").agg(F.sum("w").alias("total"))
-    e = cut(e.join(total, "i").select("i", "j", (F.col("w") / F.col("total")).alias("w")).repartition("j"))
+    links = meetings(covered, grid, grid.near(reach)).groupBy("p", "q").applyInArrow(_links(reach, grid), "a bigint, b bigint, w double")
+    return covered.select("id", "ball"), links.groupBy("a", "b").agg(F.max("w").alias("w"))
+
+
+def _both_ways(graph: DataFrame) -> DataFrame:
+    """(i, j, w): the affinities of a graph (a <= b, w) from either end; those of a node to itself once."""
+    ends = F.when(F.col("a") < F.col("b"), F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j"))))
+    return graph.select(F.explode(F.coalesce(ends, F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j"))))).alias("e"), "w").select("e.i", "e.j", "w")
+
+
+def power_embedding(graph: DataFrame, vectors: int = 4, steps: int = 6, seed: int = 5) -> DataFrame:
+    """(id, self, y array<double>): `vectors` hashed start vectors after `steps` rounds of the random walk on the affinities graph(a <= b, w), where a = b
+    is a node's affinity to itself (`self`): y <- D^-1 A y. Where the walk mixes, y comes to be the same all over a connected part, and to differ
+    between parts."""
+    e = _both_ways(graph)
     names = [f"y{k}" for k in range(vectors)]
-    uniform = [(F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), 11).cast("double") / F.lit(float(1 << 53))).alias(names[k]) for k in range(vectors)]
-    y, old = nodes.select("id", *uniform), None
-    for step in range(1, steps + 1):
-        y = e.join(y, e.j == y.id).groupBy("i").agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in names]).withColumnRenamed("i", "id")
-        if step % 4 == 0 and step < steps:
-            y = cut(y, old)
-            old = y
-    out = cut(y.select("id", F.array(*names).alias("y")), old)
-    drop(e)
+    hashed = [(F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), 11).cast("double") / F.lit(float(1 << 53))).alias(names[k]) for k in range(vectors)]
+    nodes = graph.where("a = b").select(F.col("a").alias("id"), F.col("w").alias("self"))
+    y = nodes.select("id", *hashed)
+    for _ in range(steps):
+        y = e.join(y, e.j == y.id).groupBy("i").agg(*[(F.sum(F.col("w") * F.col(n)) / F.sum("w")).alias(n) for n in names]).withColumnRenamed("i", "id")
+    return nodes.join(y, "id").select("id", "self", F.array(*names).alias("y"))
+
+
+def _apart(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e)
+
+
+def spectral_labels(graph: DataFrame, steps: int = 6, rounds: int = 1, seed: int = 5) -> DataFrame:
+    """(id, label): k-means on the walk's embedding of the nodes of graph(a <= b, w). A node only knows the centres it has an affinity to, so that no
+    task holds all centres, and a label is never given over a gap.
+
+    Centres are nodes whose hash is the least among their neighbours'. A node goes to the nearest centre in the embedding (equal ones by id); then,
+    `rounds` times, a centre moves to the weighted mean of its members, and nodes go to the nearest once more. A node without a centre beside it
+    labels itself."""
+    y = cut(power_embedding(graph, steps=steps, seed=seed))
+    hashed = F.struct(F.xxhash64(F.lit(seed + 1), "id").alias("h"), F.col("id"))
+    e = _both_ways(graph.where("a < b")).select("i", "j")
+    least = e.join(y.select(F.col("id").alias("j"), hashed.alias("h")), "j").groupBy("i").agg(F.min("h").alias("h"))
+    own = y.join(least, y.id == least.i, "left")
+    centres = own.where(F.col("h").isNull() | (hashed < F.col("h"))).select(F.col("id").alias("c"))
+    # (id, c): the centres a node may go to, itself not being one.
+    may = e.join(centres, e.j == centres.c).join(centres.select(F.col("c").alias("i")), "i", "left_anti").select(F.col("i").alias("id"), "c")
+    may = cut(may.join(y, "id").select("id", "self", "y", "c"))
+    at = y.select(F.col("id").alias("c"), F.col("y").alias("m"))
+    for k in range(rounds + 1):
+        label = may.join(at, "c").groupBy("id").agg(F.min(F.struct(_apart("y", "m").alias("d"), F.col("c"))).alias("t"), F.first("self").alias("self"), F.first("y").alias("y")).select("id", "self", "y", F.col("t.c").alias("label"))
+        if k < rounds:
+            every = label.unionByName(y.join(centres, y.id == centres.c, "left_semi").select("id", "self", "y", F.col("id").alias("label")))
+            dims = y.select(F.size("y")).first()
+            mean = every.select("label", "self", times("y", F.col("self")).alias("y")).groupBy("label").agg(sum_of_vectors("y", dims[0] if dims else 0).alias("s"), F.sum("self").alias("n"))
+            at = mean.select(F.col("label").alias("c"), times("s", F.lit(1.0) / F.col("n")).alias("m"))
+    out = cut(y.select("id").join(label.select("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label")))
+    drop(y)
+    drop(may)
     return out
 
 
-def _assign(centres: np.ndarray):
-    norm = (centres**2).sum(1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                y = _matrix(b.column(1))
-                at = np.concatenate([(norm[None] - 2 * y[s : s + 4096] @ centres.T).argmin(1) for s in range(0, len(y), 4096)])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at.astype(np.int32))], ["id", "y", "label"])
+def contract(graph: DataFrame, labels: DataFrame) -> DataFrame:
+    """graph(a <= b, w) with the nodes of equal label made one: affinities add up, those within a label being its affinity to itself."""
+    a, b = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    within = (F.col("a") < F.col("b")) & (F.col("la") == F.col("lb"))
+    g = graph.join(a, "a").join(b, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), F.when(within, 2 * F.col("w")).otherwise(F.col("w")).alias("w"))
+    return g.groupBy("a", "b").agg(F.sum("w").alias("w"))
+
+
+def _open(graph: DataFrame) -> DataFrame:
+    """The part of a graph whose nodes have links to others."""
+    ends = graph.where("a < b").select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    return graph.where("a < b").unionByName(graph.where("a = b").join(ends, "a", "left_semi").select("a", "b", "w"))
+
+
+def _level(a: np.ndarray, b: np.ndarray, w: np.ndarray, alone: np.ndarray, steps: int, rounds: int, r: np.random.Generator) -> np.ndarray:
+    """spectral_labels() on arrays: links a < b of nodes 0 .. n-1 with affinities w, and each node's affinity to itself."""
+    n = len(alone)
+    i, j, u = np.r_[a, b, np.arange(n)], np.r_[b, a, np.arange(n)], np.r_[w, w, alone]
+    y, degree = r.random((n, 4)), np.bincount(i, u, n)
+    for _ in range(steps):
+        y = np.column_stack([np.bincount(i, u * c[j], n) for c in y.T]) / degree[:, None]
+    order = r.permutation(n)
+    least = np.full(n, n)
+    np.minimum.at(least, i, order[j])
+    centre = least == order
+    i, j = np.r_[a, b], np.r_[b, a]
+    ok = centre[j] & ~centre[i]
+    i, j, label, m = i[ok], j[ok], np.arange(n), y
+    for k in range(rounds + 1):
+        at = np.lexsort((j, ((y[i] - m[j]) ** 2).sum(1), i))
+        first = at[np.r_[True, np.diff(i[at]) != 0]] if len(at) else at
+        label[i[first]] = j[first]
+        if k < rounds:
+            total = np.maximum(np.bincount(label, alone, n), 1e-300)
+            m = np.column_stack([np.bincount(label, alone * c, n) for c in y.T]) / total[:, None]
+    return label
+
+
+def _all_levels(steps: int, seed: int):
+    """cluster_graph() of a graph that one task holds."""
+
+    def run(t: pa.Table) -> pa.Table:
+        a, b, w = (np.asarray(t[c]) for c in ("a", "b", "w"))
+        ids = np.unique(a[a == b])
+        a, b, r = np.searchsorted(ids, a), np.searchsorted(ids, b), np.random.default_rng(seed)
+        label = np.arange(len(ids))
+        while (a != b).any():
+            open_ = np.unique(np.r_[a[a != b], b[a != b]])  # nodes with links to others
+            own = np.isin(a, open_)
+            a, b, w = np.searchsorted(open_, a[own]), np.searchsorted(open_, b[own]), w[own]
+            same = a == b
+            to = _level(a[~same], b[~same], w[~same], np.bincount(a[same], w[same], len(open_)), steps, 1, r)
+            whole = np.arange(len(ids))
+            whole[open_] = open_[to]
+            label = whole[label]
+            within = (a != b) & (to[a] == to[b])
+            a, b, w = open_[to[a]], open_[to[b]], np.where(within, 2 * w, w)
+            pairs, at = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0, return_inverse=True)
+            a, b, w = pairs[:, 0], pairs[:, 1], np.bincount(at.ravel(), w, len(pairs))
+        return pa.table({"id": ids, "label": ids[label]})
 
     return run
 
 
-def k_means(embedding: DataFrame, k: int, rounds: int = 4, seed: int = 5) -> DataFrame:
-    """(id, y, label int): Lloyd's rounds from the embeddings of k ids drawn by hash; k is MOST_CENTRES at most."""
-    drawn = embedding.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(min(k, MOST_CENTRES)).select("y").collect()
-    centres = np.unique(np.array([r.y for r in drawn], float), axis=0)
-    m = centres.shape[1]
-    for _ in range(rounds):
-        got = embedding.mapInArrow(_assign(centres), "id bigint, y array<double>, label int")
-        mean = got.groupBy("label").agg(*[F.avg(F.col("y")[i]).alias(f"m{i}") for i in range(m)]).collect()  # a row for each centre
-        for r in mean:
-            centres[r.label] = [r[f"m{i}"] for i in range(m)]
-    return embedding.mapInArrow(_assign(centres), "id bigint, y array<double>, label int")
-
-
-def connected(links: DataFrame, most: int = 60) -> DataFrame:
-    """(id, part): for each node of links(a, b), the least node it is connected to. Alternating large and small stars: a node
-    points its larger neighbours, then its smaller ones, at the least of them, until nothing changes. Only minima meet
-    at a node, never its list of neighbours."""
-    e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    for _ in range(most):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        j = large.join(low, "u")
-        small = j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(j.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = cut(small, e)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == now:
-            break
-        before = now
-    else:
-        raise RuntimeError("not connected within the rounds allowed")
-    roots = e.select(F.col("v").alias("id"), F.col("v").alias("part")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("part")).unionByName(roots)
-
-
-def similarity_clusters(vectors: DataFrame, reach: float, spectral: int | None = None, steps: int = 24, block: int = BLOCK) -> DataFrame:
+def cluster_graph(graph: DataFrame, steps: int = 6, seed: int = 5, held: int = HELD) -> DataFrame:
+    """(id, label) of the nodes of graph(a <= b, w) by power-iteration spectral clustering at every scale: nodes of equal spectral label are
+    contracted and the walk goes on over the contracted graph, where it mixes over greater distances, until no link joins two labels. Then the
+    walk's limit is constant on each label, which is its cluster. Levels of more than `held` links are joins and aggregates; from there on one task
+    goes through the levels that are left. Raises RuntimeError if that takes more than MOST_LEVELS levels."""
+    g, levels, old = graph, [], None
+    kind = "id bigint, label bigint"
+    while g.where("a < b").count() > held:
+        if len(levels) == MOST_LEVELS:
+            raise RuntimeError("links between labels are left")
+        labels = spectral_labels(g, steps, seed=seed + 2 * len(levels))
+        levels.append(labels)
+        g = cut(_open(contract(g, labels)), old)
+        old = g
+    out = cut(g.groupBy().applyInArrow(_all_levels(steps, seed), kind))
+    for labels in reversed(levels):
+        out = labels.join(out.toDF("label", "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    if levels:
+        every = graph.where("a = b").select(F.col("a").alias("id"))
+        out = cut(every.join(out, "id", "left").select("id", F.coalesce("label", "id").alias("label")))
+    return out
+
+
+def similarity_clusters(vectors: DataFrame, reach: float, steps: int = 6, block: int = BLOCK) -> DataFrame:
     """Clusters of at least two vectors of (id, x), two belonging together if they are within reach or joined by a chain of
     such steps: (cluster_id bigint, the least id of the cluster; point_id bigint; affinity double).
 
     Rows that clean_vectors() leaves out are in no cluster; equal vectors are in one. No vectors, no rows.
 
     1. Equal vectors become one; vectors are covered by balls of radius reach/2, whose sparse affinities the block matrix join gives.
-    2. Power-iteration spectral clustering of the balls: the normalised affinities are applied `steps` times to several
-       vectors, and k-means divides the embedding into `spectral` labels (by default one for 16 balls, MOST_CENTRES at most).
-    3. An exact check of the labels: what hangs together within a label is one part; links between parts of different
-       labels (where the walk had not mixed) join them. Parts without such links are the clusters.
-    4. affinity ranks the members: the affinity of the point's ball to all balls with vectors within reach, for each vector of the ball,
-       times exp(-(d/reach)^2) of the point's distance to the ball's centre.
+    2. Power-iteration spectral clustering of the balls (cluster_graph): the normalised affinities are applied `steps` times to several
+       vectors, k-means divides the embedding, balls of equal label are contracted, and so on, until no link joins two labels.
+       The labels are the clusters.
+    3. affinity ranks the members: 1 / (1 + m / reach^2), m being the mean squared distance from a point to all members of its cluster, so it does
+       not depend on how the collection was cut. It comes from the cluster's sums: no pairs are made.
     """
     empty = "cluster_id bigint, point_id bigint, affinity double"
-    spark = vectors.sparkSession
     v = cut(clean_vectors(vectors))
     kinds = cut(v.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
     got = balls_and_links(kinds.select("id", "x"), reach, block)
     if got is None:
-        return spark.createDataFrame([], empty)
-    members, links, strength = got
-    n = members.join(kinds.select("id", "n"), "id")
-    balls = cut(n.groupBy("ball").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")))
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    nodes = balls.join(ends, balls.ball == ends.id, "left_semi").select(F.col("ball").alias("id"), (F.col("size") * F.col("size")).cast("double").alias("self"))
-    k = spectral or int(min(MOST_CENTRES, max(1, nodes.count() // 16)))
-    part = spark.createDataFrame([], "id bigint, part bigint")
-    if links.limit(1).count():
-        labels = cut(k_means(power_embedding(nodes, links, steps=steps), k).select("id", "label"))
-        la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
-        known = cut(links.join(la, "a").join(lb, "b"))
-        inner = connected(known.where("la = lb").select("a", "b"))
-        first = cut(labels.join(inner, "id", "left").select("id", F.coalesce("part", "id").alias("part")))
-        fa, fb = first.toDF("a", "fa"), first.toDF("b", "fb")
-        across = known.where("la <> lb").join(fa, "a").join(fb, "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-        joined = connected(across).toDF("part", "whole")
-        part = first.join(joined, "part", "left").select("id", F.coalesce("whole", "part").alias("part"))
-    part = cut(balls.join(part, balls.ball == part.id, "left").select("ball", F.coalesce("part", "ball").alias("part"), "n", "size"))
-    whole = part.groupBy("part").agg(F.sum("n").alias("whole")).where("whole > 1")
-    per = (F.coalesce("w", F.lit(0.0)) + F.col("size") * F.col("size")) / F.col("size")
-    part = part.join(whole.select("part"), "part", "left_semi").join(strength, "ball", "left").select("ball", "part", per.alias("per"))
-    m = members.join(part, "ball").select("id", "part", (F.col("per") * F.exp(-F.pow(F.col("far") / reach, 2))).alias("affinity"))
-    names = m.groupBy("part").agg(F.min("id").alias("cluster_id"))
-    m = m.join(names, "part").select("id", "cluster_id", "affinity")
-    copies = kinds.join(m, "id").select("x", "cluster_id", "affinity").join(v, "x")
-    return copies.select("cluster_id", F.col("id").alias("point_id"), "affinity")
+        return vectors.sparkSession.createDataFrame([], empty)
+    members, links = got
+    sizes = members.groupBy("ball").agg(F.count(F.lit(1)).alias("size"))
+    graph = cut(links.unionByName(sizes.select(F.col("ball").alias("a"), F.col("ball").alias("b"), (F.col("size") * F.col("size")).cast("double").alias("w"))))
+    labels = cut(sizes.join(cluster_graph(graph, steps).toDF("ball", "label"), "ball"))
+    m = cut(join_hot(members, labels, "ball", "size").select("id", "label").join(kinds, "id"))
+    dims = m.select(F.size("x")).first()[0]
+    n = F.sum("n")
+    sums = m.withColumn("nx", times("x", F.col("n").cast("double"))).groupBy("label").agg(
+        n.alias("whole"), F.min("id").alias("cluster_id"), sum_of_vectors("nx", dims).alias("s"), F.sum(F.col("n") * dot("x", "x")).alias("s2")
+    )
+    sums = cut(sums.select("label", "whole", "cluster_id", times("s", F.lit(1.0) / F.col("whole")).alias("mean"), (F.col("s2") / F.col("whole")).alias("square")).where("whole > 1"))
+    far = _apart("x", "mean") + F.greatest(F.col("square") - dot("mean", "mean"), F.lit(0.0))
+    placed = cut(join_hot(m, sums, "label", "whole").select("x", "n", "cluster_id", (1.0 / (1.0 + far / F.lit(reach * reach))).alias("affinity")))
+    return join_hot(v, placed, "x", "n").select("cluster_id", F.col("id").alias("point_id"), "affinity")
 
 
 def describe_clusters(clusters: DataFrame, typical: int = 5) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dissimap.operators.skew import join_hot
 from dissimap.session import cut
 
 
@@ -34,15 +35,18 @@ def items_together(df: DataFrame, basket: str, item: str, min_count: int = 20, m
     keep = F.col("n") >= min_count
     if min_lift > 0:
         keep &= F.col("n") * F.lit(float(min_lift)) <= F.lit(float(n_baskets))
-    items = ui.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(keep)
-    kept = ui.join(items.select("i"), "i")
+    counts = cut(ui.groupBy("i").agg(F.count(F.lit(1)).alias("n")).withColumn("kept", keep))
+    items = counts.where("kept").select("i", "n")
+    kept = join_hot(ui, counts, "i", "n").where("kept").select("u", "i")  # hot items, kept or not, are not exchanged
     large = cut(kept.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > tile))
     bits = [r.u for r in large.orderBy(F.desc("k"), "u").limit(min(min_count - 1, 62)).collect()] if min_count > 1 else []
     n_large = large.count()
-    small = kept if not n_large else kept.join(large.select("u"), "u", "left_anti")
+    # Baskets with all their items' number, so that large ones are told apart without an exchange of the hottest.
+    sized = join_hot(kept, large, "u", "k", "left") if n_large else kept.withColumn("k", F.lit(None).cast("bigint"))
+    small = sized.where("k is null").select("u", "i")
     pairs = _pairs(small, small, ["u"])
     if n_large > len(bits):
-        rest = kept.join(large.where(~F.col("u").isin(bits)) if bits else large, "u")
+        rest = sized.where(F.col("k").isNotNull() & ~F.col("u").isin(bits)) if bits else sized.where("k is not null")
         rest = rest.select("u", "i", F.ceil(F.col("k") / tile).cast("int").alias("m")).withColumn("c", F.pmod(F.xxhash64("i"), F.col("m")).cast("int"))
         every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
         # A pair of items meets in the tile of their two chunks, in one order of the chunks or the other.

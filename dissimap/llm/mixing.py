@@ -90,7 +90,9 @@ def document_sizes(documents: DataFrame, targets: DataFrame, tokenizer: str = "b
     """(doc_id, source, n_tokens) of the documents of the named sources, written to the shared folder: texts are
     encoded once. Only texts of named sources are encoded; the join is with the few targets."""
     d = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text")
-    names = [r[0] for r in targets.select(source_name(F.col("source"))).distinct().limit(MAX_SOURCES).collect() if r[0] is not None]
+    names = [r[0] for r in targets.where("source is not null").select(source_name(F.col("source"))).distinct().limit(MAX_SOURCES + 1).collect()]
+    if len(names) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     d = d.where(F.col("source").isin(names))
     key = F.struct("doc_id", "source").alias("key")
     n = count_tokens(d.select(key, "text"), "key", "text", tokenizer, folder)
@@ -98,7 +100,7 @@ def document_sizes(documents: DataFrame, targets: DataFrame, tokenizer: str = "b
 
 
 def mix(sizes: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
-    """The mixed corpus as rows (doc_id, source, copy int from 1, n_tokens, place bigint), to be written in the order of place.
+    """The mixed corpus as rows (doc_id, source, copy int from 1, n_tokens, place bigint), shuffled: partitions are ranges of place, in its order.
 
     Each document gets a Poisson number of copies, capped at its source's max_repeats, whose mean is the source's
     mean_repeats: the inverse distribution function at a uniform number hashed from (seed, doc_id). The number does not
@@ -111,7 +113,8 @@ def mix(sizes: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     d = sizes.where("doc_id is not null").withColumn("source", source_name(F.col("source"))).join(F.broadcast(steps), "source")  # one row for each source, MAX_SOURCES at most
     n = F.size(F.filter("steps", lambda s: s <= u))
     d = d.select("doc_id", "source", "n_tokens", n.alias("n")).where("n > 0").select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    return d.select("doc_id", "source", "copy", "n_tokens", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy")).alias("place"))
+    d = d.select("doc_id", "source", "copy", "n_tokens", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy")).alias("place"))
+    return d.repartitionByRange("place").sortWithinPartitions("place")
 
 
 def report(mixed: DataFrame, plan: DataFrame) -> DataFrame:
@@ -120,3 +123,14 @@ def report(mixed: DataFrame, plan: DataFrame) -> DataFrame:
     out = plan.join(got, "source", "left").na.fill(0, ["actual_tokens", "n_copies", "most_repeats"])
     whole = out.agg(F.sum("actual_tokens")).first()[0] or 0
     return out.withColumn("actual_share", F.when(F.lit(whole > 0), F.col("actual_tokens") / F.lit(float(max(whole, 1)))).otherwise(F.lit(0.0)))
+
+
+def short_sources(mixed: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, target_tokens, actual_tokens) of the sources that did not reach their target in a mix planned for 'all' though each of their documents is in it
+    max_repeats times. Raises RuntimeError if the mix has other tokens of such a source than were planned."""
+    got = report(mixed, plan).where(F.col("n_copies") == F.col("n_documents") * F.col("max_repeats"))
+    out = cut(got.where(F.col("actual_tokens") < F.col("target_tokens")).select("source", "target_tokens", "actual_tokens", "short"))
+    wrong = out.where(~F.col("short")).count() + plan.where("short").join(out, "source", "left_anti").count()
+    if wrong:
+        raise RuntimeError(f"{wrong} sources of the mix are not as planned")
+    return out.drop("short")

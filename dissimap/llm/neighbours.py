@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dissimap.operators.skew import join_hot
 from dissimap.session import cut
 
 #: Vectors of one block, the side of a product tile.
 BLOCK = 1024
-#: Vectors on one side of a task, about, and the least and the most sides that a collection is cut into.
-SIDE, LEAST_SIDES, MOST_SIDES = 65_536, 8, 1024
+#: Vectors on one side of a task, about, and the least sides that a collection is cut into.
+SIDE, LEAST_SIDES = 65_536, 8
 #: Pivots that divide the space into cells: the most of them, drawn from a hashed sample of the ids.
 MOST_PIVOTS = 2048
 
@@ -50,23 +51,38 @@ def clean_vectors(vectors: DataFrame) -> DataFrame:
 
 @dataclass
 class Grid:
-    """How a collection is cut: cells about pivots, blocks of BLOCK vectors within a cell, sides of whole blocks.
+    """How a collection is cut: cells about pivots, blocks of BLOCK vectors within a cell, sides of whole blocks, as many as it takes.
 
-    All of it is bounded: MOST_PIVOTS pivots, MOST_SIDES sides.
+    What is held here grows with the pivots alone, of which there are MOST_PIVOTS at most.
     """
 
     pivots: np.ndarray
     radius: np.ndarray
-    first: np.ndarray  # the first block of each cell, in the order of cells
-    blocks: np.ndarray  # the number of blocks of each cell
-    per_side: int
-    sides: int
-    near: np.ndarray  # sides x sides: some cells of theirs are within reach
+    sides: np.ndarray  # the first and the last side of each cell; -1 of an empty cell
 
     def gap(self, a: int, b: int) -> float:
         """A lower bound of the distance between vectors of two cells."""
         return float(np.linalg.norm(self.pivots[a] - self.pivots[b]) - self.radius[a] - self.radius[b])
 
+    def near(self, reach: np.ndarray | float) -> np.ndarray:
+        """cells x cells: whether vectors may be within reach of each other; reach: one, or one for each cell, of which the greater counts."""
+        p, r = self.pivots, np.broadcast_to(reach, len(self.pivots))
+        d2 = ((p[:, None] - p[None]) ** 2).sum(-1) if len(p) <= 256 else (p**2).sum(1)[:, None] + (p**2).sum(1)[None] - 2 * p @ p.T
+        return np.sqrt(np.maximum(d2, 0)) - self.radius[:, None] - self.radius[None] <= np.maximum(r[:, None], r[None]) + 1e-6
+
+    def partners(self, near: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each cell, the sides of the cells near it, as disjoint ranges."""
+        out = []
+        for row in near & (self.sides[:, 0] >= 0)[None]:
+            ranges: list[tuple[int, int]] = []
+            for low, high in sorted(map(tuple, self.sides[row].tolist())):
+                if ranges and low <= ranges[-1][1] + 1:
+                    ranges[-1] = (ranges[-1][0], max(high, ranges[-1][1]))
+                else:
+                    ranges.append((low, high))
+            out.append(ranges)
+        return out
+
 
 def _chain(p: np.ndarray) -> np.ndarray:
     """An order of the pivots in which neighbours are near: each is followed by the nearest one left."""
@@ -103,7 +119,7 @@ def _matrix(col) -> np.ndarray:
     return np.asarray(col.flatten(), dtype=np.float64).reshape(len(col), -1)
 
 
-def cells(vectors: DataFrame, reach: float | None, block: int = BLOCK) -> tuple[DataFrame, Grid] | None:
+def cells(vectors: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Grid] | None:
     """vectors (id, x), of one length, with their place: (side, block, cell, id, x), and the grid; None if there are none.
 
     A cell of many vectors (a third of all, say) is cut into as many blocks as it needs by a hash of the id, and these are
@@ -124,34 +140,24 @@ def cells(vectors: DataFrame, reach: float | None, block: int = BLOCK) -> tuple[
     blocks = -(-count // block)
     first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
     total = int(blocks.sum())
-    per_side = max(1, -(-total // min(MOST_SIDES, max(LEAST_SIDES, -(-n // SIDE)))))
-    sides = -(-total // per_side)
-    near = np.ones((sides, sides), bool)
-    if reach is not None:
-        gap = np.sqrt(np.maximum(((p[:, None] - p[None]) ** 2).sum(-1) if len(p) <= 256 else (p**2).sum(1)[:, None] + (p**2).sum(1)[None] - 2 * p @ p.T, 0))
-        close = gap - radius[:, None] - radius[None] <= reach + 1e-6
-        of = np.zeros((sides, len(p)), bool)
-        for c in np.flatnonzero(blocks):
-            of[first[c] // per_side : (first[c] + blocks[c] - 1) // per_side + 1, c] = True
-        near = (of.astype(np.float32) @ close.astype(np.float32) @ of.T.astype(np.float32)) > 0
-    grid = Grid(p, radius, first, blocks, per_side, sides, near)
-    f, b = F.array(*map(F.lit, first.tolist())), F.array(*map(F.lit, np.maximum(blocks, 1).tolist()))
-    if len(p) > 64:  # one row for each pivot
-        spec = vectors.sparkSession.createDataFrame([(i, int(first[i]), int(max(blocks[i], 1))) for i in range(len(p))], "cell int, f bigint, b bigint")
-        placed = placed.join(F.broadcast(spec), "cell")  # MOST_PIVOTS rows at most
-    else:
-        placed = placed.withColumns({"f": F.get(f, "cell").cast("bigint"), "b": F.get(b, "cell").cast("bigint")})
+    per_side = max(1, -(-total // max(LEAST_SIDES, -(-n // SIDE))))
+    sides = np.column_stack([first // per_side, (first + blocks - 1) // per_side])
+    sides[blocks == 0] = -1
+    spec = [(i, int(first[i]), int(max(blocks[i], 1))) for i in range(len(p))]
+    placed = placed.join(F.broadcast(vectors.sparkSession.createDataFrame(spec, "cell int, f bigint, b bigint")), "cell")  # MOST_PIVOTS rows at most
     at = F.col("f") + F.pmod(F.xxhash64("id"), F.col("b"))
-    return placed.select(F.floor(at / per_side).cast("int").alias("side"), at.cast("int").alias("block"), "cell", "id", "x"), grid
+    return placed.select(F.floor(at / per_side).cast("int").alias("side"), at.cast("int").alias("block"), "cell", "id", "x"), Grid(p, radius, sides)
 
 
-def meetings(placed: DataFrame, grid: Grid) -> DataFrame:
-    """The placed vectors, each once for every pair of near sides (p <= q) that its own is one of: (p, q, side, ...)."""
-    partners = [(i, [int(j) for j in np.flatnonzero(grid.near[i])]) for i in range(grid.sides)]
-    spark = placed.sparkSession
-    to = spark.createDataFrame(partners, "side int, partners array<int>")  # MOST_SIDES rows at most
-    j = placed.join(F.broadcast(to), "side").withColumn("o", F.explode("partners"))
-    return j.select(F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q"), "side", "block", "cell", "id", "x")
+def meetings(placed: DataFrame, grid: Grid, near: np.ndarray, own: bool = True) -> DataFrame:
+    """The placed vectors (side, block, cell, ...), each once for every side that holds cells near its own: with p <= q, the two sides. own: also for its own side.
+    Of a pair of sides only the vectors of cells near the other side come together."""
+    rows = [(c, r) for c, r in enumerate(grid.partners(near))]
+    to = placed.sparkSession.createDataFrame(rows, "cell int, ranges array<struct<low:int,high:int>>")  # MOST_PIVOTS rows, and ranges of each, at most
+    others = F.flatten(F.transform("ranges", lambda r: F.sequence(r["low"], r["high"])))
+    j = placed.join(F.broadcast(to), "cell").withColumn("o", F.explode(others)).drop("ranges")
+    j = j if own else j.where("o <> side")
+    return j.select(F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q"), *placed.columns)
 
 
 @dataclass
@@ -190,14 +196,14 @@ def _threshold(t: np.ndarray, rest: np.ndarray, other: float, step: float) -> np
 
 
 class Heaps:
-    """The k nearest found so far of each of n vectors."""
+    """The k nearest found so far of each of n vectors, none beyond its reach."""
 
-    def __init__(self, n: int, k: int, reach: float):
+    def __init__(self, n: int, k: int, reach: np.ndarray | float):
         self.k, self.d, self.id = k, np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
-        self.reach = reach
+        self.reach = np.broadcast_to(reach, n)
 
     def limit(self, rows: np.ndarray) -> np.ndarray:
-        return np.minimum(self.d[rows, -1], self.reach)
+        return np.minimum(self.d[rows, -1], self.reach[rows])
 
     def push(self, rows: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
         ok = d <= self.limit(rows)
@@ -216,22 +222,47 @@ class Heaps:
         self.d[r[keep], place[keep]], self.id[r[keep], place[keep]] = v[keep], i[keep]
 
 
-def _search(k: int, reach: float, grid: Grid):
+def _tiles(t: pa.Table, p: int, q: int, grid: Grid):
+    """Of the two sides of a task (or the one): ids, vectors, and the pairs of blocks to meet, as slices, in the order of their cells' gap."""
+    ids, x = np.asarray(t["id"], np.int64), _matrix(t["x"])
+    block, side, cell = (np.asarray(t[c]) for c in ("block", "side", "cell"))
+    start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    end = np.r_[start[1:], len(block)]
+    todo = []
+    for i in range(len(start)):
+        for j in range(i, len(start)):
+            if p == q or side[start[i]] != side[start[j]]:
+                todo.append((0.0 if i == j else max(0.0, grid.gap(cell[start[i]], cell[start[j]])), i, j))
+    return ids, x, [(gap, slice(start[i], end[i]), slice(start[j], end[j]), i == j) for gap, i, j in sorted(todo)]
+
+
+def _own(k: int, reach: float, grid: Grid):
+    """The k nearest on a vector's own side: its place, the list h, and the distance beyond which no other vector matters."""
+
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        p, q = key[0].as_py(), key[1].as_py()
         t = t.sort_by([("block", "ascending"), ("id", "ascending")])
-        ids, x = np.asarray(t["id"], np.int64), _matrix(t["x"])
-        block, side, cell = (np.asarray(t[c]) for c in ("block", "side", "cell"))
-        start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        end = np.r_[start[1:], len(block)]
+        side = key[0].as_py()
+        ids, x, tiles = _tiles(t, side, side, grid)
         heaps = Heaps(len(ids), k, reach)
-        todo = []
-        for i in range(len(start)):
-            for j in range(i, len(start)):
-                if p == q or side[start[i]] != side[start[j]]:
-                    todo.append((0.0 if i == j else max(0.0, grid.gap(cell[start[i]], cell[start[j]])), i, j))
-        for gap, i, j in sorted(todo):
-            _tile_into(heaps, x, ids, slice(start[i], end[i]), slice(start[j], end[j]), i == j, gap)
+        for gap, a, b, same in tiles:
+            _tile_into(heaps, x, ids, a, b, same, gap)
+        have = heaps.id >= 0
+        ends = np.r_[0, np.cumsum(have.sum(1))].astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(heaps.d[have]), pa.array(heaps.id[have])], ["distance", "neighbour_id"])
+        return t.append_column("bound", pa.array(heaps.limit(np.arange(len(ids))))).append_column("h", pa.ListArray.from_arrays(pa.array(ends), pairs))
+
+    return run
+
+
+def _across(k: int, grid: Grid):
+    """Of two sides, each vector's nearest on the other side within its bound."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("block", "ascending"), ("id", "ascending")])
+        ids, x, tiles = _tiles(t, key[0].as_py(), key[1].as_py(), grid)
+        heaps = Heaps(len(ids), k, np.asarray(t["bound"]))
+        for gap, a, b, same in tiles:
+            _tile_into(heaps, x, ids, a, b, same, gap)
         n = (heaps.id >= 0).sum(1)
         rows = np.flatnonzero(n)
         have = heaps.id[rows] >= 0
@@ -281,43 +312,50 @@ def nearest_vectors(vectors: DataFrame, k: int, max_distance: float | None = Non
     collection of one vector gives no rows. Vectors equal in all coordinates are one vector in the search; each of them then gets
     the others of its kind at distance 0.
 
-    A block matrix join: vectors are cut into cells about pivots, blocks and sides; each pair of sides whose cells lie
-    within reach is a task. Its product tiles of int8 codes, taken in the order of the cells' distance, bound each
-    distance from below by the code distance less the lengths of what quantisation left over; pairs whose bound is within
-    either vector's k-th distance so far are computed again in float and go to its heap. The heaps of a vector
-    (k entries from each of at most MOST_SIDES tasks) are merged at the end.
+    A block matrix join: vectors are cut into cells about pivots, blocks and sides. First each side meets itself, which bounds every vector's
+    k-th distance and so, by the greatest bound of each cell, the cells that can hold nearer ones; then each pair of sides with
+    such cells is a task, which gets only those cells' vectors. A task's product tiles of int8 codes, taken in the order of the
+    cells' distance, bound each distance from below by the code distance less the lengths of what quantisation left over;
+    pairs whose bound is within either vector's k-th distance so far are computed again in float and go to its heap. The heaps
+    of a vector are merged at the end.
     """
     v = cut(clean_vectors(vectors))
     sizes = v.agg(F.min(F.size("x")).alias("a"), F.max(F.size("x")).alias("b")).first()
     if sizes.a != sizes.b:
         raise ValueError("vectors of different lengths")
-    # Copies: the class of a vector is its least id; a class keeps the k+1 least ids.
-    one = cut(v.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
-    kinds = one.withColumnRenamed("id", "rep")
-    copied = kinds.where("n > 1").join(v, "x").select("rep", "id")
-    got = cells(one.select("id", "x"), max_distance, block)
-    spark = vectors.sparkSession
+    # Copies: the class of a vector is its least id.
+    kinds = cut(v.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    got = cells(kinds.select("id", "x"), block)
     if got is None:
-        return spark.createDataFrame([], "id bigint, neighbour_id bigint, distance double, rank int")
+        return vectors.sparkSession.createDataFrame([], "id bigint, neighbour_id bigint, distance double, rank int")
     placed, grid = got
     reach = math.inf if max_distance is None else float(max_distance)
-    found = meetings(placed, grid).groupBy("p", "q").applyInArrow(_search(k, reach, grid), "id bigint, neighbour_id bigint, distance double")
-    best = _merge(found, k)
-    if not one.where("n > 1").limit(1).count():
-        return best.select("id", F.posexplode("h").alias("r", "e")).select("id", "e.neighbour_id", "e.distance", (F.col("r") + 1).cast("int").alias("rank"))
+    kind = "side int, block int, cell int, id bigint, x array<double>, bound double, h array<struct<distance:double,neighbour_id:bigint>>"
+    own = cut(placed.groupBy("side").applyInArrow(_own(k, reach, grid), kind))
+    bound = np.zeros(len(grid.pivots))
+    for r in own.groupBy("cell").agg(F.max("bound").alias("b")).collect():  # a row for each pivot
+        bound[r.cell] = r.b
+    meet = meetings(own.drop("h"), grid, grid.near(bound), own=False)
+    found = meet.groupBy("p", "q").applyInArrow(_across(k, grid), "id bigint, neighbour_id bigint, distance double")
+    every = own.select("id", F.explode("h").alias("e")).select("id", "e.neighbour_id", "e.distance").unionByName(found)
+    best = every.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))), 1, k).alias("h"))  # k of each task
+    copied = kinds.where("n > 1").select("x", F.col("id").alias("rep"), "n")
+    if copied.limit(1).count():
+        best = _with_copies(v, kinds, copied, best, k)
+    return best.select("id", F.posexplode("h").alias("r", "e")).select("id", "e.neighbour_id", "e.distance", (F.col("r") + 1).cast("int").alias("rank"))
+
+
+def _with_copies(v: DataFrame, kinds: DataFrame, copied: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """(id, h) for every vector of best, the lists of the classes. The neighbours of a class are its own first ids at 0, and the first ids of the classes found;
+    k + 1 ids of a class are enough. No task gets all copies of a vector."""
     from dissimap.llm.topn import top_n_per_group
 
-    few = top_n_per_group(copied.withColumn("same", F.lit(0.0)), "rep", "id", "same", k + 1).select("rep", "id")
+    same = join_hot(v, copied, "x", "n").select("rep", "id", F.lit(0.0).alias("same"))
+    few = cut(top_n_per_group(same, "rep", "id", "same", k + 1).select("rep", "id"))
     near = best.select(F.col("id").alias("rep"), F.explode("h").alias("e")).select("rep", F.col("e.neighbour_id").alias("other"), "e.distance")
-    # The neighbours of a class: its own first ids at 0, and the first ids of the classes found.
     ids = few.select(F.col("rep").alias("other"), F.col("id").alias("neighbour_id"))
     wide = near.join(ids, "other", "left").select("rep", F.coalesce("neighbour_id", "other").alias("neighbour_id"), "distance")
     wide = wide.unionByName(few.select("rep", F.col("id").alias("neighbour_id"), F.lit(0.0).alias("distance")))
     lists = wide.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))), 1, k + 1).alias("h"))
-    members = v.join(kinds.select("x", "rep"), "x").select("id", "rep")
-    out = members.join(lists, "rep").select("id", F.slice(F.filter("h", lambda e: e["neighbour_id"] != F.col("id")), 1, k).alias("h"))
-    return out.select("id", F.posexplode("h").alias("r", "e")).select("id", "e.neighbour_id", "e.distance", (F.col("r") + 1).cast("int").alias("rank"))
-
-
-def _merge(found: DataFrame, k: int) -> DataFrame:
-    return found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))), 1, k).alias("h"))
+    of = cut(kinds.join(lists, kinds.id == lists.rep).select("x", "n", "h"))
+    return join_hot(v, of, "x", "n").select("id", F.slice(F.filter("h", lambda e: e["neighbour_id"] != F.col("id")), 1, k).alias("h"))

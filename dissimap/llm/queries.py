@@ -8,6 +8,7 @@ from dissimap.llm import clusters, cooccurrence, encoding, mixing, neighbours, p
 from dissimap.operators.ratings import latest_relations
 from dissimap.operators.skew import usable
 from dissimap.queries.rounding import near, near_sql
+from dissimap.session import cut
 from dissimap.sources.tables import table
 
 
@@ -43,7 +44,9 @@ def p3_found(spark, d):
 
 
 def p3_clusters(spark, d):
-    return clusters.describe_clusters(clusters.similarity_clusters(_vectors(spark, d), NEAR))
+    """Affinities are rounded, so that ties are ties; typical members as text."""
+    c = clusters.similarity_clusters(_vectors(spark, d), NEAR).withColumn("affinity", F.round("affinity", 9))
+    return clusters.describe_clusters(c).withColumn("typical", F.array_join("typical", ","))
 
 
 def p4_closest_relations(spark, d):
@@ -57,8 +60,6 @@ def p4_found(spark, d):
 
 #: The parameter of the summaries of problem 6.
 K6 = 512
-#: Summaries are off by more than their rank error in 1 of 100 cases; brackets are that many times as wide.
-WIDE = 3
 
 
 def _values(spark, d):
@@ -67,21 +68,31 @@ def _values(spark, d):
     return r.groupBy("rating_id").agg(F.min("item_id").alias("item_id"), F.min("item_value").alias("item_value"))
 
 
+#: The percentiles of problem 6.
+P6 = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
+
+
 def p6_percentiles(spark, d):
     """Median, 90th and 95th percentile by item, from summaries by month of receipt that are put together."""
     r = table(spark, d, "rating").where(F.col("item_id").isNotNull() & usable(F.col("item_value"), 0, 100))
     r = r.groupBy("rating_id").agg(F.min("item_id").alias("item_id"), F.min("item_value").alias("item_value"), F.min(F.trunc("received_at", "MM")).alias("month"))
     s = percentiles.merge_summaries(percentiles.summaries(r, ["item_id", "month"], "item_value", K6), ["item_id"])
-    return percentiles.quantiles(s, {"p50": 0.5, "p90": 0.9, "p95": 0.95}).drop("sketch")
+    return percentiles.quantiles(s, P6).drop("sketch")
+
+
+def p6_rank_errors(spark, d):
+    """Whether each of these percentiles is as near to its share as the summaries' bound says, WIDE times over."""
+    e = percentiles.rank_errors(_values(spark, d), cut(p6_percentiles(spark, d)), "item_id", "item_value", P6)
+    return e.select("item_id", "n_values", *[(F.col(m) <= percentiles.WIDE * percentiles.rank_error(K6)).alias(m) for m in P6])
 
 
 def p6_found(spark, d):
     """Summaries name the items that can be cases and bracket their percentiles; the exact percentiles of these decide."""
     v = _values(spark, d)
-    e = WIDE * percentiles.rank_error(K6)
+    e = percentiles.WIDE * percentiles.rank_error(K6)
     s = percentiles.quantiles(percentiles.summaries(v, ["item_id"], "item_value", K6), {"m_low": 0.5 - e, "m_high": 0.5 + e, "p_low": 0.95 - e, "p_high": min(1.0, 0.95 + e)})
-    case = s.where((F.col("n_values") >= 40) & (F.col("p_high") >= 2 * F.col("m_low"))).select("item_id", "m_low", "m_high", "p_low", "p_high")
-    exact = percentiles.exact_quantiles(v, case, "item_id", "item_value", {"m": 0.5, "p": 0.95})
+    s = cut(s.drop("sketch").withColumn("wanted", (F.col("n_values") >= 40) & (F.col("p_high") >= 2 * F.col("m_low"))))
+    exact = percentiles.exact_quantiles(v, s, "item_id", "item_value", {"m": 0.5, "p": 0.95})
     return exact.where(F.col("p") >= 2 * F.col("m")).select("item_id")
 
 
@@ -96,12 +107,13 @@ def _mix(spark, d):
 
 
 def p8_found(spark, d):
-    return _mix(spark, d)[1].where("short").select("source")
+    sizes, plan = _mix(spark, d)
+    return mixing.short_sources(mixing.mix(sizes, plan), plan).select("source")
 
 
 def p8_mix(spark, d):
     sizes, plan = _mix(spark, d)
-    return mixing.mix(sizes, plan).orderBy("place")
+    return mixing.mix(sizes, plan)
 
 
 def p8_shares(spark, d):
@@ -124,7 +136,7 @@ def p9_composition(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_items_together, p2_found, p2_nearest, p3_found, p3_clusters, p4_found, p4_closest_relations, p6_found, p6_percentiles, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_composition)
+    for f in (p1_found, p1_items_together, p2_found, p2_nearest, p3_found, p3_clusters, p4_found, p4_closest_relations, p6_found, p6_percentiles, p6_rank_errors, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_composition)
 }
 
 _UI = "ui AS (SELECT DISTINCT user_id AS u, item_id AS i FROM rating WHERE user_id IS NOT NULL AND item_id IS NOT NULL), it AS (SELECT i, count(*) AS n FROM ui GROUP BY 1)"
@@ -143,17 +155,24 @@ _VECTORS = """u AS (SELECT least(c0, c1) AS a, greatest(c0, c1) AS b, arg_max(c2
   v AS (SELECT id, list(c2 ORDER BY o) AS x FROM e GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM landmark)),
   p AS (SELECT a.id, b.id AS neighbour_id, list_distance(a.x, b.x) AS distance FROM v a JOIN v b ON a.id <> b.id),
   k AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, neighbour_id) AS INT) AS rank FROM p)"""
+_P3 = f"""WITH RECURSIVE {_VECTORS}, s AS (SELECT id, neighbour_id FROM p WHERE distance <= 0.12),
+  r(root, id) AS (SELECT id, id FROM s UNION SELECT r.root, s.neighbour_id FROM r JOIN s ON r.id = s.id),
+  cl AS (SELECT min(root) AS cluster_id, id AS point_id FROM r GROUP BY id)"""
 
 SQL = {
     "p2_found": f"WITH {_VECTORS} SELECT DISTINCT least(id, neighbour_id) AS first_id, greatest(id, neighbour_id) AS second_id FROM k WHERE rank <= 5 AND distance <= 0.12",
     "p2_nearest": f"WITH {_VECTORS} SELECT id, neighbour_id, {near_sql('distance')} AS distance, rank FROM k WHERE rank <= 5",
-    "p3_found": f"""WITH RECURSIVE {_VECTORS}, s AS (SELECT id, neighbour_id FROM p WHERE distance <= 0.12),
-      r(root, id) AS (SELECT id, id FROM s UNION SELECT r.root, s.neighbour_id FROM r JOIN s ON r.id = s.id)
-      SELECT min(root) AS cluster_id, id AS point_id FROM r GROUP BY id""",
+    "p3_found": f"{_P3} SELECT cluster_id, point_id FROM cl",
+    "p3_clusters": f"""{_P3}, ms AS (SELECT a.cluster_id, a.point_id, sum(list_distance(x.x, y.x) * list_distance(x.x, y.x)) / count(*) AS m
+        FROM cl a JOIN cl b USING (cluster_id) JOIN v x ON a.point_id = x.id JOIN v y ON b.point_id = y.id GROUP BY 1, 2),
+      ty AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(1 / (1 + m / 0.0144), 9) DESC, point_id) AS k FROM ms)
+      SELECT cluster_id, count(*) AS size, string_agg(CAST(point_id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 5) AS typical FROM ty GROUP BY 1""",
     "p1_found": f"{_P1} SELECT first_item_id, second_item_id FROM r WHERE lift >= 5",
     "p1_items_together": f"{_P1} SELECT first_item_id, second_item_id, n_both, n_first, n_second, n_baskets, {near_sql('lift')} AS lift, {near_sql('ln(lift)')} AS pmi FROM r WHERE lift >= 5",
     "p4_found": f"{_P4} SELECT first_item_id, second_item_id FROM t WHERE rank <= 10",
     "p4_closest_relations": f"{_P4} SELECT first_item_id, second_item_id, distance_mean, rank FROM t WHERE rank <= 10",
+    "p6_rank_errors": """SELECT item_id, count(DISTINCT rating_id) AS n_values, TRUE AS p50, TRUE AS p90, TRUE AS p95 FROM rating
+        WHERE item_id IS NOT NULL AND item_value BETWEEN 0 AND 100 AND NOT isnan(item_value) GROUP BY 1""",
     "p6_found": """WITH v AS (SELECT rating_id, min(item_id) AS item_id, min(item_value) AS v FROM rating
         WHERE item_id IS NOT NULL AND item_value BETWEEN 0 AND 100 AND NOT isnan(item_value) GROUP BY 1),
       r AS (SELECT item_id, v, row_number() OVER (PARTITION BY item_id ORDER BY v) AS k, count(*) OVER (PARTITION BY item_id) AS n FROM v)

@@ -9,20 +9,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Copies of each bound, over which the rows of a group spread when they meet it.
-SALTS = 8
+from dissimap.operators.skew import join_hot
+from dissimap.session import cut
+
+#: Rows that a task gathers before it keeps the best of them.
+GATHERED = 1 << 16
+
+
+def _best(rows: list[tuple[np.ndarray, ...]], n: int) -> tuple[np.ndarray, ...]:
+    """Of rows (g, s, t), the first n of each group by (s, t), in the order of (g, s, t)."""
+    g, s, t = (np.concatenate([r[c] for r in rows]) for c in range(3))
+    order = np.lexsort((t, s, g))
+    g, s, t = g[order], s[order], t[order]
+    start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, int)
+    keep = np.arange(len(g)) - np.repeat(start, np.diff(np.r_[start, len(g)])) < n
+    return g[keep], s[keep], t[keep]
+
+
+def _added(g: np.ndarray, n: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups and their rows, with those of one more batch."""
+    own, count = np.unique(more, return_counts=True)
+    both, at = np.unique(np.r_[g, own], return_inverse=True)
+    return both, np.bincount(at.ravel(), np.r_[n, count], len(both)).astype(np.int64)
 
 
 def _bounds(n: int):
+    """The n-th best of a partition's groups of at least n rows, with the group's rows in the partition. Only the n best rows of each group so far are held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[np.asarray(b.column(c)) for c in range(3)] for b in batches]
-        g, s, t = (np.concatenate([x[c] for x in got]) if got else np.empty(0) for c in range(3))
-        order = np.lexsort((t, s, g))
-        g, s, t = g[order], s[order], t[order]
-        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, int)
-        at = start + n - 1
-        at = at[at < np.r_[start[1:], len(g)]]
-        yield pa.RecordBatch.from_arrays([pa.array(g[at], pa.int64()), pa.array(s[at], pa.float64()), pa.array(t[at], pa.int64())], ["g", "s", "t"])
+        held = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+        groups, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        pending, size = [held], 0
+        for b in batches:
+            pending.append(tuple(np.asarray(b.column(c)) for c in range(3)))
+            groups, counts = _added(groups, counts, pending[-1][0])
+            size += b.num_rows
+            if size > max(GATHERED, len(pending[0][0])):
+                pending, size = [_best(pending, n)], 0
+        g, s, t = _best(pending, n)
+        last = np.flatnonzero(np.r_[g[1:] != g[:-1], True]) if len(g) else np.empty(0, int)
+        many = counts >= n
+        at = last[many[np.searchsorted(groups, g[last])]] if len(g) else last
+        yield pa.RecordBatch.from_arrays([pa.array(g[at], pa.int64()), pa.array(s[at], pa.float64()), pa.array(t[at], pa.int64()), pa.array(counts[many], pa.int64())], ["g", "s", "t", "rows"])
 
     return run
 
@@ -35,18 +63,16 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, n: int, la
     their own. A group of fewer than n rows is kept whole; empty input gives no rows.
 
     Each partition's n-th best of a group bounds that group's n-th best from above. The least bound of each group meets
-    its rows (SALTS copies of it, so that a hot group's rows spread over as many tasks; AQE broadcasts the bounds instead
-    where they are small), and what lies beyond goes before anything is ranked. Only survivors of a group come
-    together: n, and those of other partitions that beat the best partition's n-th.
+    its rows, and what lies beyond goes before anything is ranked; bounds of hot groups, of which there are MOST_HOT at most, come to their rows by a
+    broadcast (join_hot), so these rows are not exchanged. Only survivors of a group come together: n, and those of other
+    partitions that beat the best partition's n-th.
     """
     sign = F.lit(-1.0 if largest else 1.0)
     rows = df.select(F.col(group).cast("bigint").alias("g"), (F.col(score).cast("double") * sign).alias("s"), F.col(item).cast("bigint").alias("t"))
-    rows = rows.where("g is not null and t is not null and s is not null and not isnan(s)")
-    local = rows.mapInArrow(_bounds(n), "g bigint, s double, t bigint")
-    bound = local.groupBy("g").agg(F.min(F.struct("s", "t")).alias("bound"))
-    bound = bound.select("g", "bound", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int"))
-    left = salted.join(bound, ["g", "salt"], "left").where(F.col("bound").isNull() | (F.struct("s", "t") <= F.col("bound")))
+    rows = cut(rows.where("g is not null and t is not null and s is not null and not isnan(s)"))
+    local = rows.mapInArrow(_bounds(n), "g bigint, s double, t bigint, rows bigint")
+    bound = cut(local.groupBy("g").agg(F.min(F.struct("s", "t")).alias("bound"), F.sum("rows").alias("rows")))
+    left = join_hot(rows, bound, "g", "rows", "left").where(F.col("bound").isNull() | (F.struct("s", "t") <= F.col("bound")))
     rank = F.row_number().over(Window.partitionBy("g").orderBy("s", "t"))
     return (
         left.select("g", "t", "s", rank.alias("rank"))

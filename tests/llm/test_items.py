@@ -47,7 +47,8 @@ def test_no_baskets(spark):
 
 @pytest.mark.parametrize("largest", [False, True])
 @pytest.mark.parametrize("n", [1, 3, 50])
-def test_top_n_matches_brute_force(spark, n, largest):
+def test_top_n_matches_brute_force(spark, n, largest, monkeypatch):
+    monkeypatch.setattr(topn, "GATHERED", 10)
     r = random.Random(n)
     rows = [(r.choice([1, 1, 1, 2, 3, None]), r.randrange(200) if r.random() < 0.95 else None, r.choice([0.5, 0.25, 1.0, r.random(), None, math.nan]), "q", 1) for _ in range(800)]
     df = spark.createDataFrame(rows, "g bigint, i bigint, s double, bound string, salt int").repartition(7)
@@ -77,19 +78,28 @@ def test_summaries_keep_their_rank_error_and_merge(spark):
     assert percentiles.summaries(df.limit(0), ["item"], "v").count() == 0
 
 
-def test_exact_quantiles_in_brackets(spark):
+@pytest.mark.parametrize("most", [100_000, 5])
+def test_exact_quantiles_in_brackets(spark, most):
     r = random.Random(1)
-    rows = [(k, float(r.randrange(30))) for k in range(5) for _ in range(r.randrange(1, 90))] + [(9, 1.0)]
-    df = spark.createDataFrame(rows, "item bigint, v double")
+    rows = [(k, float(r.randrange(30))) for k in range(5) for _ in range(r.randrange(1, 90))] + [(9, 1.0), (9, None), (9, math.nan), (None, 2.0), (7, 1.0)]
+    rows += [(11, r.random()) for _ in range(700)] + [(12, float(r.random() < 0.5)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "item bigint, v double").repartition(3)
     shares = {"m": 0.5, "p": 0.95}
-    wide = df.groupBy("item").agg(*[e for m in shares for e in (F.lit(-100.0).alias(f"{m}_low"), F.lit(100.0).alias(f"{m}_high"))])
-    want = {}
-    for k in {k for k, _ in rows}:
-        v = sorted(x for i, x in rows if i == k)
+    want, size = {}, {}
+    for k in {k for k, _ in rows} - {None, 7}:
+        v = sorted(x for i, x in rows if i == k and x is not None and x == x)
+        size[k] = len(v)
         want[k] = tuple(next(x for n, x in enumerate(v, 1) if n * 100 >= len(v) * q) for q in (50, 95))
-    got = {q.item: (q.m, q.p) for q in percentiles.exact_quantiles(df, wide, "item", "v", shares).collect()}
-    assert got == want
-    around = spark.createDataFrame([(k, m, m, p, p) for k, (m, p) in want.items()], "item bigint, m_low double, m_high double, p_low double, p_high double")
-    assert {q.item: (q.m, q.p) for q in percentiles.exact_quantiles(df, around, "item", "v", shares).collect()} == want
-    off = spark.createDataFrame([(k, -9.0, -8.0, p, p) for k, (m, p) in want.items()], "item bigint, m_low double, m_high double, p_low double, p_high double")
-    assert {q.item: (q.m, q.p) for q in percentiles.exact_quantiles(df, off, "item", "v", shares).collect()} == want
+    schema = "item bigint, n_values bigint, m_low double, m_high double, p_low double, p_high double, wanted boolean"
+    for low, high in ((-100.0, 100.0), (None, None), (-9.0, -8.0)):
+        ends = lambda x: (x, x) if low is None else (low, high)  # noqa: B023, E731
+        brackets = spark.createDataFrame([(k, size[k], *ends(m), *ends(p), True) for k, (m, p) in want.items()] + [(7, 1, 0.0, 0.0, 0.0, 0.0, False)], schema)
+        got = percentiles.exact_quantiles(df, brackets, "item", "v", shares, most)
+        assert {q.item: (q.m, q.p) for q in got.collect()} == want and {q.item: q.n_values for q in got.collect()} == size
+
+
+def test_rank_errors(spark):
+    df = spark.createDataFrame([(1, float(v)) for v in range(100)] + [(1, math.nan), (2, 5.0)], "item bigint, v double")
+    q = spark.createDataFrame([(1, 100, 49.0, 79.0), (2, 1, 5.0, 5.0)], "item bigint, n_values bigint, m double, p double")
+    got = {r.item: (r.n_values, r.m, r.p) for r in percentiles.rank_errors(df, q, "item", "v", {"m": 0.5, "p": 0.95}).collect()}
+    assert got == {1: (100, 0.0, pytest.approx(0.15)), 2: (1, 0.0, 0.0)}

@@ -67,6 +67,9 @@ def test_mix_reaches_its_shares_within_the_caps(spark, corpus):
     rep = {r.source: r for r in mixing.report(mixed, plan).collect()}
     assert all(r.most_repeats <= r.max_repeats for r in rep.values())
     assert rep["tiny"].actual_tokens == 3000 and sum(r.actual_share for r in rep.values()) == pytest.approx(1)
+    assert {r.source for r in mixing.short_sources(mixed, plan).collect()} == {"tiny", "none"}
+    with pytest.raises(RuntimeError):
+        mixing.short_sources(mixed.where("source <> 'tiny' or copy < 3"), plan)
     for s in ("big", "small"):
         assert rep[s].actual_tokens == pytest.approx(p[s].target_tokens, rel=0.06)
     again = mixing.mix(sizes.repartition(9), plan)

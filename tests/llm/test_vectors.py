@@ -84,31 +84,36 @@ def components(x, reach):
     return {(int(part[i]), i) for i in range(len(x)) if size[part[i]] > 1}
 
 
-@pytest.mark.parametrize("reach, block, spectral", [(0.05, 1024, None), (0.12, 16, 4), (0.3, 8, 1), (1e-6, 16, None)])
-def test_clusters_are_the_chains_of_steps(spark, x, reach, block, spectral):
-    got = clusters.similarity_clusters(table(spark, x), reach, spectral, steps=8, block=block).collect()
+@pytest.mark.parametrize("reach, block, held", [(0.05, 1024, 0), (0.12, 16, 10**6), (0.3, 8, 0), (1e-6, 16, 10**6)])
+def test_clusters_are_the_chains_of_steps(spark, x, reach, block, held, monkeypatch):
+    monkeypatch.setattr(clusters.cluster_graph, "__defaults__", (4, 5, held))
+    got = clusters.similarity_clusters(table(spark, x), reach, steps=4, block=block).collect()
     assert {(r.cluster_id, r.point_id) for r in got} == components(x, reach) and len(got) == len({r.point_id for r in got})
     assert all(r.affinity > 0 for r in got)
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_affinity_counts_every_ball_within_reach(spark, block):
-    x, reach = np.random.default_rng(3).uniform(size=(300, 2)), 0.25
-    members = clusters.balls_and_links(table(spark, x).select("id", "x"), reach, block)[0].collect()
-    ball = {r.id: r.ball for r in members}
-    of = {b: [i for i in ball if ball[i] == b] for b in set(ball.values())}
-    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    linked = {a: [b for b in of if dist[np.ix_(of[a], of[b])].min() <= reach] for a in of}  # itself, too
-    assert max(map(len, linked.values())) > clusters.KEPT + 1 and any(dist[a, b] > reach for a in of for b in linked[a])
-    want = {a: sum(math.exp(-((dist[a, b] / reach) ** 2)) * len(of[b]) for b in linked[a]) for a in of}
-    got = {r.point_id: r.affinity for r in clusters.similarity_clusters(table(spark, x), reach, steps=4, block=block).collect()}
-    assert got == pytest.approx({i: want[b] * math.exp(-((dist[i, b] / reach) ** 2)) for i, b in ball.items()})
+def test_hashed_labels_are_not_the_clusters(spark, x, monkeypatch):
+    monkeypatch.setattr(clusters, "_level", lambda a, b, w, alone, steps, rounds, r: r.integers(0, len(alone), len(alone)))
+    got = clusters.similarity_clusters(table(spark, x), 0.05).collect()
+    assert {(r.cluster_id, r.point_id) for r in got} != components(x, 0.05)
 
 
-def test_a_long_chain_is_one_cluster_though_the_walk_does_not_mix(spark):
+def test_affinity_is_that_to_all_members_however_the_vectors_are_cut(spark, x):
+    reach = 0.2
+    whole = {}
+    for c, i in components(x, reach):
+        whole.setdefault(c, []).append(i)
+    square = ((x[:, None] - x[None]) ** 2).sum(-1)
+    want = {i: 1 / (1 + square[i, own].mean() / reach**2) for own in whole.values() for i in own}
+    for block in (1024, 16):
+        got = {r.point_id: r.affinity for r in clusters.similarity_clusters(table(spark, x), reach, block=block).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_a_long_chain_is_one_cluster(spark):
     x = np.column_stack([np.arange(120) * 0.1, np.zeros(120)])
     x[60:] += 0.05
-    got = clusters.similarity_clusters(table(spark, x), 0.12, spectral=6, steps=4, block=16).collect()
+    got = clusters.similarity_clusters(table(spark, x), 0.12, steps=4, block=16).collect()
     assert {(r.cluster_id, r.point_id) for r in got} == components(x, 0.12)
 
 
@@ -120,9 +125,27 @@ def test_no_vectors_no_clusters_and_descriptions(spark, x):
 
 
 def test_the_walk_is_the_same_over_a_part_and_differs_between_parts(spark):
-    links = [(a, b, 1.0) for part in (range(0, 6), range(6, 12)) for a in part for b in part if a < b]
-    nodes = spark.createDataFrame([(i, 1.0) for i in range(12)], "id bigint, self double")
-    y = {r.id: np.array(r.y) for r in clusters.power_embedding(nodes, spark.createDataFrame(links, "a bigint, b bigint, w double"), 3, 12).collect()}
+    links = [(a, b, 1.0) for part in (range(0, 6), range(6, 12)) for a in part for b in part if a <= b] + [(20, 20, 3.0)]
+    graph = spark.createDataFrame(links, "a bigint, b bigint, w double")
+    y = {r.id: np.array(r.y) for r in clusters.power_embedding(graph, 3, 12).collect()}
     assert max(np.abs(y[i] - y[0]).max() for i in range(6)) < 1e-6 and np.abs(y[6] - y[0]).max() > 1e-3
-    label = {r.id: r.label for r in clusters.k_means(spark.createDataFrame([(i, list(map(float, v))) for i, v in y.items()], "id bigint, y array<double>"), 8).collect()}
-    assert len({label[i] for i in range(6)}) == 1
+    for held in (0, 10**6):
+        label = {r.id: r.label for r in clusters.cluster_graph(graph, held=held).collect()}
+        assert len({label[i] for i in range(6)}) == len({label[i] for i in range(6, 12)}) == 1 and len(set(label.values())) == 3 and len(label) == 13
+
+
+def test_contracted_affinities_add_up(spark):
+    graph = spark.createDataFrame([(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (1, 2, 0.5), (2, 3, 0.25), (1, 3, 0.25)], "a bigint, b bigint, w double")
+    got = clusters.contract(graph, spark.createDataFrame([(1, 2), (2, 2), (3, 3)], "id bigint, label bigint"))
+    assert sorted(map(tuple, got.collect())) == [(2, 2, 3.0), (2, 3, 0.5), (3, 3, 1.0)]
+
+
+def test_many_sides_meet_where_they_are_near(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SIDE", 16)
+    monkeypatch.setattr(neighbours, "LEAST_SIDES", 1)
+    z = np.random.default_rng(9).uniform(size=(300, 3))
+    for reach in (None, 0.1):
+        got = {}
+        for r in neighbours.nearest_vectors(table(spark, z), 4, reach, 8).orderBy("id", "rank").collect():
+            got.setdefault(r.id, []).append(r.neighbour_id)
+        assert got == {i: [j for j, _ in v] for i, v in brute(z, 4, math.inf if reach is None else reach).items()}
