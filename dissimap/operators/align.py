@@ -100,16 +100,18 @@ def _by_block(seed: int):
     return Window.partitionBy("block").orderBy(mixed("id", seed=seed), "id")
 
 
-def incremental_scaling(pairs: DataFrame, batches: list[list[int]], p: int, fit_tolerance: float = 1e-5, max_iterations: int = 100) -> DataFrame:
-    """points from batches of ids that overlap: each batch is scaled by itself, and what was laid out before is moved by the affine map
-    that fits the batch's layout on the points both have; then the batch's own places hold. The state from one batch to the
-    next is the layout. Raises ValueError if a batch has no point of those before."""
+def incremental_scaling(pairs: DataFrame, batches: DataFrame, p: int, fit_tolerance: float = 1e-5, max_iterations: int = 100) -> DataFrame:
+    """points from batches (id, batch) that overlap, in the order of batch: each batch is scaled by itself, and what was laid out before is moved by the affine
+    map that fits the batch's layout on the points both have; then the batch's own places hold. The state from one batch to the
+    next is the layout; the driver goes over the batches' numbers. Raises ValueError if a batch has no point of those before."""
+    pairs, batches = cut(pairs.select("i", "j", "r")), cut(batches.select("id", "batch").distinct())
     done: DataFrame | None = None
-    for ids in batches:
-        own = pairs.where(F.col("i").isin(ids) & F.col("j").isin(ids)).select("i", "j", "r")
+    for r in batches.select("batch").distinct().orderBy("batch").collect():  # a row for each batch
+        ids = batches.where(F.col("batch") == r.batch).select("id")
+        own = pairs.join(ids.withColumnRenamed("id", "i"), "i", "left_semi").join(ids.withColumnRenamed("id", "j"), "j", "left_semi").select("i", "j", "r")
         new = cut(weighted_scaling(own, p, variance_tolerance=0.0, fit_tolerance=fit_tolerance, max_iterations=max_iterations))
         if done is not None:
             moved = affine_apply(done, affine_between(done, new))
-            new = cut(moved.join(new.select("id"), "id", "left_anti").unionByName(new))
+            new = cut(moved.join(new.select("id"), "id", "left_anti").unionByName(new), new)
         done = new
     return done if done is not None else pairs.sparkSession.createDataFrame([], POINTS)

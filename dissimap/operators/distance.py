@@ -42,11 +42,16 @@ def euclidean_distance(points: DataFrame, blocks: int | None = None, rows: int =
     Points go to hashed blocks of about `rows`; each pair of blocks is a task of array arithmetic over at most
     2 * rows points (blocks are hashed, so none is hot). The result has n(n-1)/2 rows by its meaning.
     """
+    return block_pairs(points, _block, PAIRS, blocks, rows)
+
+
+def block_pairs(points: DataFrame, run, schema: str, blocks: int | None = None, rows: int = 1000) -> DataFrame:
+    """run(key (p, q), table (p, q, id, x, block)) for every pair p <= q of hashed blocks of about `rows` points."""
     b = blocks or max(1, math.ceil(points.count() / rows))
     p = points.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int").alias("block"))
     every = F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
     meet = p.withColumn("other", every).select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "x", "block")
-    return meet.groupBy("p", "q").applyInArrow(_block, PAIRS)
+    return meet.groupBy("p", "q").applyInArrow(run, schema)
 
 
 def squared(pairs: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dissimap.model import both_ways
+from dissimap.model import PAIRS, both_ways
+from dissimap.operators.distance import block_pairs, matrix_of
 from dissimap.operators.force import nearest_k
 from dissimap.session import cut
 
-#: Edges that every task may hold (16 bytes each); larger graphs are relaxed by joins.
+#: Edges that every task may hold (24 bytes each); larger graphs are relaxed by joins.
 HELD = 5_000_000
 
 
@@ -23,65 +23,119 @@ def knn_edges(pairs: DataFrame, k: int) -> DataFrame:
     return nearest_k(both_ways(pairs.select("i", "j", "r")), k).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("r").alias("weight"), "rank")
 
 
+def knn_points(points: DataFrame, k: int, rows: int = 1000) -> DataFrame:
+    """knn_edges() of the Euclidean distances of points: each tile of two blocks of points keeps k of each point, and the pairs themselves are never written."""
+    return nearest_k(block_pairs(points, _tile_nearest(k), PAIRS, rows=rows), k).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("r").alias("weight"), "rank")
+
+
+def _tile_nearest(k: int):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        ids, x, block = np.asarray(t["id"], np.int64), matrix_of(t["x"]), np.asarray(t["block"])
+        p, q = (np.flatnonzero(block == key[c].as_py()) for c in (0, 1))
+        out = []
+        for a, b in ((p, q), (q, p)) if key[0].as_py() != key[1].as_py() else ((p, p),):
+            for s in range(0, len(a), 256):
+                rows = a[s : s + 256]
+                d = np.zeros((len(rows), len(b)))
+                for c in range(x.shape[1]):
+                    d += (x[rows, c][:, None] - x[b, c][None]) ** 2
+                d = np.sqrt(d)
+                d[ids[rows][:, None] == ids[b][None]] = np.inf
+                order = np.lexsort((np.broadcast_to(ids[b], d.shape), d), axis=1)[:, :k]
+                i, j, r = np.repeat(ids[rows], order.shape[1]), ids[b][order].ravel(), np.take_along_axis(d, order, axis=1).ravel()
+                ok = i != j
+                out.append((i[ok], j[ok], r[ok]))
+        i, j, r = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"i": i, "j": j, "r": r})
+
+    return run
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """(src, dst, weight): edges in both directions, each once."""
+    e = edges.select("src", "dst", "weight")
+    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).distinct()
+
+
+def directed(edges: DataFrame, m: float = 2.0) -> DataFrame:
+    """(src, dst, weight, flow): edges with weights r^m and no flow yet."""
+    return edges.select("src", "dst", F.pow("weight", F.lit(m)).alias("weight"), F.lit(0).cast("bigint").alias("flow"))
+
+
 def knn_undirected(pairs: DataFrame, k: int) -> DataFrame:
     """(src, dst, weight): knn_edges() in both directions, each once."""
-    e = knn_edges(pairs, k).select("src", "dst", "weight")
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).distinct()
+    return undirected(knn_edges(pairs, k))
 
 
 def knn_directed(pairs: DataFrame, k: int, m: float = 2.0) -> DataFrame:
     """(src, dst, weight, flow): knn_edges() with weights r^m and no flow yet."""
-    return knn_edges(pairs, k).select("src", "dst", F.pow("weight", F.lit(m)).alias("weight"), F.lit(0).cast("bigint").alias("flow"))
-
-
-def _dijkstra(source: int, start: np.ndarray, to: np.ndarray, w: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and the edges by which points are reached (-1: none); of equal paths, that over the predecessor of the least id."""
-    n = len(start) - 1
-    dist, via, done = [np.inf] * n, [-1] * n, [False] * n
-    dist[source] = 0.0
-    from_ = [-1] * n
-    heap = [(0.0, source)]
-    while heap:
-        d, u = heapq.heappop(heap)
-        if done[u]:
-            continue
-        done[u] = True
-        for e in range(start[u], start[u + 1]):
-            v, nd = to[e], d + w[e]
-            if not done[v] and (nd < dist[v] or nd == dist[v] and from_[v] >= 0 and ids[u] < ids[from_[v]]):
-                if nd < dist[v]:
-                    heapq.heappush(heap, (nd, v))
-                dist[v], via[v], from_[v] = nd, e, u
-    return np.array(dist), np.array(via)
+    return directed(knn_edges(pairs, k), m)
+
+
+#: Distances and edge ends of a block of sources that a task relaxes together.
+RELAXED = 4_000_000
+
+
+def _shortest(sources: np.ndarray, n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Distances from a block of sources (positions) to all n points: all edges, ordered by dst, relaxed together until nothing changes."""
+    dist = np.full((len(sources), n), np.inf)
+    dist[np.arange(len(sources)), sources] = 0.0
+    if not len(src):
+        return dist
+    start = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
+    ends, open_ = dst[start], np.arange(len(sources))
+    while len(open_):
+        old = dist[open_]
+        new = np.minimum(np.minimum.reduceat(old[:, src] + w, start, axis=1), old[:, ends])
+        changed = (new < old[:, ends]).any(1)
+        old[:, ends] = new
+        dist[open_] = old
+        open_ = open_[changed]
+    return dist
+
+
+def _last_edges(sources: np.ndarray, dist: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """How many of the shortest paths from the sources each edge is the last of; of equal paths, that over the least predecessor. Edges by (dst, src, w)."""
+    count = np.zeros(len(src), np.int64)
+    if not len(src):
+        return count
+    start = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
+    own = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(dst)]))
+    for s, row in zip(sources, dist):
+        on = np.flatnonzero((row[src] + w == row[dst]) & np.isfinite(row[dst]) & (dst != s))
+        first = np.unique(own[on], return_index=True)[1]
+        count[on[first]] += 1
+    return count
 
 
 def _held(edges: DataFrame, nodes: DataFrame | None = None) -> tuple:
-    """The graph as arrays: ids, start, to, weight by position, edges ordered by (src, dst, weight). HELD edges at most."""
+    """The graph as arrays: ids, and the edges' ends by position and weights, ordered by (dst, src, weight). HELD edges at most."""
     t = edges.select("src", "dst", "weight").toArrow()  # counted before
     src, dst, w = (np.asarray(t[c]) for c in ("src", "dst", "weight"))
-    order = np.lexsort((w, dst, src))
+    order = np.lexsort((w, src, dst))
     src, dst, w = src[order], dst[order], w[order]
     own = np.asarray(nodes.select("src").toArrow()["src"]) if nodes is not None else np.empty(0, np.int64)
     ids = np.unique(np.concatenate([src, dst, own]))
-    start = np.searchsorted(src, np.append(ids, np.iinfo(np.int64).max))
-    return ids, start, np.searchsorted(ids, dst), w, src, dst
+    return ids, np.searchsorted(ids, src), np.searchsorted(ids, dst), w
 
 
 def _paths(shared, flows: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, start, to, w, src, dst = shared.value
-        s_, t_, w_, ids_ = start.tolist(), to.tolist(), w.tolist(), ids.tolist()
-        count = np.zeros(len(to), np.int64)
+        ids, src, dst, w = shared.value
+        count = np.zeros(len(src), np.int64)
+        block = max(1, RELAXED // max(1, len(src), len(ids)))
         for b in batches:
-            for source in np.asarray(b.column(0), np.int64):
-                dist, via = _dijkstra(int(np.searchsorted(ids, source)), s_, t_, w_, ids_)
+            sources = np.searchsorted(ids, np.asarray(b.column(0), np.int64))
+            for k in range(0, len(sources), block):
+                part = sources[k : k + block]
+                dist = _shortest(part, len(ids), src, dst, w)
                 if flows:
-                    np.add.at(count, via[via >= 0], 1)
+                    count += _last_edges(part, dist, src, dst, w)
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), source)), pa.array(ids), pa.array(dist)], ["src", "dst", "distance"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part], len(ids))), pa.array(np.tile(ids, len(part))), pa.array(dist.ravel())], ["src", "dst", "distance"])
         if flows:
             e = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(src[e]), pa.array(dst[e]), pa.array(count[e])], ["src", "dst", "flow"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[src[e]]), pa.array(ids[dst[e]]), pa.array(count[e])], ["src", "dst", "flow"])
 
     return run
 
@@ -96,7 +150,7 @@ def geodesics(edges: DataFrame, held: int = HELD, nodes: DataFrame | None = None
     """(src, dst, distance) of all ordered pairs of an edge table's nodes, and of nodes (src) without edges: the shortest directed path, infinite if there is none, 0 to
     itself. Weights are not negative.
 
-    Up to `held` edges every task holds the graph and runs Dijkstra for its share of the sources; a larger graph is relaxed by joins until
+    Up to `held` edges every task holds the graph as arrays (24 bytes an edge) and relaxes it for blocks of its share of the sources; a larger graph is relaxed by joins until
     nothing changes, the distances staying distributed.
     """
     edges = edges.select("src", "dst", "weight")

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from dissimap.operators.ratings import shrunk_distance
 from dissimap.operators.views import placed_items
+from dissimap.session import cut
+
+#: Powers of two that a double may have.
+MOST_LEVELS = 2100
 
 
 def located_relations(item: DataFrame, relations: DataFrame) -> DataFrame:
@@ -23,20 +27,24 @@ def box_neighbours(boxes: DataFrame, item: DataFrame, most: int) -> DataFrame:
     """(id, other): of the placed items in the square of half-size `half` about each of boxes (id, x, y, half), sides included and itself not, the `most`
     nearest, equal ones by id.
 
-    An equi-join on grid cells as wide as the mean half-size; a box meets the cells it covers. At most `most` of each id are ranked
-    after the exchange.
+    An equi-join on grid cells. A box belongs to the level of the power of two at or above its half-size, whose cells are that wide, so it covers nine cells
+    at most; an item is in one cell of each level that any box has (a few dozen at most, for sizes of one scale). The `most` nearest of each box and cell are
+    picked before those of the whole box.
     """
     boxes = boxes.where("half > 0 and half < double('inf')")
-    width = boxes.agg(F.avg("half")).first()[0] or 1.0
-    cell = lambda c: F.floor(c / F.lit(float(width)))
-    b = boxes.select("id", "x", "y", "half", F.explode(F.sequence(cell(F.col("x") - F.col("half")), cell(F.col("x") + F.col("half")))).alias("cx"))
-    b = b.withColumn("cy", F.explode(F.sequence(cell(F.col("y") - F.col("half")), cell(F.col("y") + F.col("half")))))
-    p = placed_items(item).select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    boxes = boxes.withColumn("level", F.ceil(F.log2("half")).cast("int"))
+    levels = [r[0] for r in boxes.select("level").distinct().limit(MOST_LEVELS).collect()]  # doubles have no more
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level")))
+    span = lambda c: F.explode(F.sequence(cell(F.col(c) - F.col("half")), cell(F.col(c) + F.col("half"))))
+    b = boxes.select("id", "x", "y", "half", "level", span("x").alias("cx")).withColumn("cy", span("y"))
+    p = placed_items(item).select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
     p = p.withColumns({"cx": cell(F.col("ox")), "cy": cell(F.col("oy"))})
-    j = b.join(p, ["cx", "cy"]).where((F.col("id") != F.col("other")) & (F.abs(F.col("ox") - F.col("x")) <= F.col("half")) & (F.abs(F.col("oy") - F.col("y")) <= F.col("half")))
+    j = b.join(p, ["level", "cx", "cy"]).where((F.col("id") != F.col("other")) & (F.abs(F.col("ox") - F.col("x")) <= F.col("half")) & (F.abs(F.col("oy") - F.col("y")) <= F.col("half")))
     far = (F.col("ox") - F.col("x")) * (F.col("ox") - F.col("x")) + (F.col("oy") - F.col("y")) * (F.col("oy") - F.col("y"))
+    inner = F.row_number().over(Window.partitionBy("id", "level", "cx", "cy").orderBy("far", "other"))
+    j = j.withColumn("far", far).withColumn("inner", inner).where(F.col("inner") <= most)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("far", "other"))
-    return j.withColumn("far", far).withColumn("rank", rank).where(F.col("rank") <= most).select("id", "other")
+    return j.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "other")
 
 
 def comparison_set(item: DataFrame, relations: DataFrame, ids: DataFrame | None = None, closest: int = 10, furthest: int = 10, local: int = 10, boundary: float = 2.0) -> DataFrame:
@@ -107,6 +115,7 @@ def locate_unplaced(item: DataFrame, relations: DataFrame, depth: int = 5) -> Da
     at = placed.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     aim = F.coalesce(shrunk_distance(F.col("sample_count"), F.col("distance"), F.col("mean")), F.col("distance"))
     r = rel.join(todo, "id").join(at, "other").select("id", "other", "ox", "oy", aim.alias("r"))
+    r = cut(r)  # used in every step
     near = r.groupBy("id").agg(F.min(F.struct("r", "other", "ox", "oy")).alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= placement_threshold(n))
     p = near.select("id", F.col("m.r").alias("radius"), F.col("m.ox").alias("cx"), F.col("m.oy").alias("cy"), F.lit(0.0).alias("angle"))
     # The loss is a sum over a plain join at each step, so an item of very many relations is combined on the map side.

@@ -46,6 +46,13 @@ def item_statistics(ratings: DataFrame) -> DataFrame:
     return m.select(F.col("key_id").alias("item_id"), F.col("n_values").alias("sample_count"), "value_mean", "value_variance")
 
 
+def item_distances(relations: DataFrame) -> DataFrame:
+    """(item_id, relation_count, distance_mean): an item's relations (a, b, distance) and their mean distance, as part of its running statistics. Summed on the map side, so a
+    heavy item delays nothing."""
+    e = relations.select(F.explode(F.array("a", "b")).alias("item_id"), "distance").where(F.col("distance").isNotNull() & ~F.isnan("distance"))
+    return e.groupBy("item_id").agg(F.count(F.lit(1)).alias("relation_count"), F.avg("distance").alias("distance_mean"))
+
+
 def co_ratings(ratings: DataFrame, tile: int = 2048, fresh: bool = False) -> DataFrame:
     """Pairs of ratings of different items by the same user: (first_item_id < second_item_id, va, vb, n), n counting equal ones. fresh: only pairs of
     which at least one rating's column `fresh` is true.

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from dissimap.session import cut
 
+#: The most vertices of a map, each of which every item is compared with by the meaning of the stage.
+MOST_VERTICES = 10_000
+
 
 def face_edges(faces: DataFrame) -> DataFrame:
     """(src, dst): the sides of faces (a, b, c), in both directions, each once."""
@@ -37,8 +40,11 @@ def sparse_distances(items: DataFrame, weights: DataFrame) -> DataFrame:
     """
     own = items.groupBy("item").agg(F.sum(F.col("value") * F.col("value")).alias("own"))
     both = items.alias("x").join(weights.alias("w"), F.col("x.prop") == F.col("w.prop")).groupBy("x.item", "w.vertex").agg(F.sum(F.col("x.value") * F.col("w.value")).alias("s"))
-    vertices = weights.groupBy().agg(F.sort_array(F.collect_set("vertex")).alias("v"))  # one row: the map's vertices
-    every = own.join(F.broadcast(vertices), F.lit(True)).select("item", "own", F.explode("v").alias("vertex"))
+    vertices = weights.select("vertex").distinct().orderBy("vertex").limit(MOST_VERTICES + 1)
+    names = [r[0] for r in vertices.collect()]
+    if len(names) > MOST_VERTICES:
+        raise ValueError(f"a map of more than {MOST_VERTICES} vertices")
+    every = own.withColumn("vertex", F.explode(F.array(*map(F.lit, names)).cast("array<bigint>")))
     return every.join(both, ["item", "vertex"], "left").select("item", "vertex", (F.col("own") - 2 * F.coalesce("s", F.lit(0.0))).alias("distance"))
 
 

@@ -42,6 +42,15 @@ def chain(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     order = order[np.r_[True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)]] if len(order) else order
     if len(order) < 3:
         return order
+    if len(order) > 64:  # points well inside the polygon of the extremes in eight directions are no corners
+        px, py = x[order], y[order]
+        ends = [int(np.argmax(a * px + b * py)) for a, b in ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))]
+        slack = 1e-9 * (np.ptp(px) + np.ptp(py)) ** 2
+        inside = np.ones(len(order), bool)
+        for u, v in zip(ends, ends[1:] + ends[:1]):
+            if u != v:
+                inside &= (px[v] - px[u]) * (py - py[u]) - (py[v] - py[u]) * (px - px[u]) > slack
+        order = order[~inside]
 
     def half(seq: np.ndarray) -> list[int]:
         h: list[int] = []

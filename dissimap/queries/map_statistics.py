@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -20,7 +21,10 @@ def _usable(spark, d):
 
 
 def rating_queue_depth(spark, d):
-    return table(spark, d, "rating").agg(F.count(F.lit(1)).alias("depth"))
+    """The rating table queued: how many ratings wait."""
+    m = _map(spark)
+    m.queue_ratings(table(spark, d, "rating").withColumnRenamed("item_value", "value"))
+    return spark.createDataFrame([(m.queue_depth(),)], "depth bigint")
 
 
 def item_stats(spark, d):
@@ -90,36 +94,46 @@ def adjust_items(spark, d):
     """Every placed item queued for adjustment, through the queue."""
     item = table(spark, d, "item")
     folder = f"{shared_dir(spark)}/map/{uuid.uuid4().hex}"
-    item.select("id").write.parquet(f"{folder}/adjustments")
-    AdjustmentQueue(spark, folder).process_adjustment_queue(item, cut(relations(spark, d)), f"{folder}/moved")
-    return rounded(spark.read.schema("id bigint, x double, y double, vx double, vy double").parquet(f"{folder}/moved").drop("batch").select("id", "x", "y", "vx", "vy"), "x", "y", "vx", "vy")
+    q = AdjustmentQueue(spark, folder)
+    q.queue_adjustments(item)
+    q.process_adjustment_queue(item, cut(relations(spark, d)), f"{folder}/moved")
+    return rounded(q.moved(f"{folder}/moved"), "x", "y", "vx", "vy")
 
 
 def locate_items(spark, d):
     return rounded(layout.locate_unplaced(table(spark, d, "item"), relations(spark, d)), "x", "y")
 
 
-def _stream(spark, d):
-    m = RatingMap(spark, f"{shared_dir(spark)}/map/{uuid.uuid4().hex}")
-    r = _usable(spark, d)
+def _map(spark, **kw):
+    return RatingMap(spark, f"{shared_dir(spark)}/map/{uuid.uuid4().hex}", **kw)
+
+
+def _stream(spark, d, **kw):
+    """The rating table through the queue in at least two batches."""
+    m, r = _map(spark, **kw), _usable(spark, d)
     m.queue_ratings(r.repartition(2, "user_id"))
-    m.process_rating_queue(files_per_batch=1)
+    m.process_rating_queue(batch_size=m.file_rows)
     return m
 
 
 def process_ratings_items(spark, d):
-    """The rating table through the queue in two batches: the items' running statistics."""
-    return rounded(_stream(spark, d).items(), "value_mean", "value_variance")
+    """The items' running statistics."""
+    return rounded(_stream(spark, d, relations=False, file_rows=1_000_000).items(), "value_mean", "value_variance")
 
 
 def process_ratings_relations(spark, d):
-    return rounded(_stream(spark, d).relations(), *ratings.RELATION[1:])
+    """The relations' running statistics, besides the items'."""
+    return rounded(_stream(spark, d, file_rows=1_000_000).relations(), *ratings.RELATION[1:])
+
+
+def item_distances(spark, d):
+    return rounded(ratings.item_distances(relations(spark, d).withColumnRenamed("distance_mean", "distance")), "distance_mean")
 
 
 QUERIES = {
     **{f.__name__: f for f in (rating_queue_depth, item_stats, item_validation, relation_stats, relation_validation, shrunk_distance, get_items, get_items_viewport, item_locations, convex_hull, get_hull)},
     "distance_model_abs": _model("abs_difference"), "distance_model_correlation": _model("correlation"),
-    **{f.__name__: f for f in (comparison_set, adjust_step, adjust_items, locate_items, process_ratings_items, process_ratings_relations)},
+    **{f.__name__: f for f in (comparison_set, adjust_step, adjust_items, locate_items, item_distances, process_ratings_items, process_ratings_relations)},
 }
 
 _ITEM_STATS = f"{USABLE}, st AS (SELECT item_id, count(*) AS sample_count, avg(v) AS value_mean, var_pop(v) AS value_variance FROM ur GROUP BY 1)"
@@ -134,6 +148,15 @@ def _off(s: str, t: str) -> str:
     return f"(s.{s} IS NULL OR isnan(s.{s}) OR abs(s.{s} - t.{t}) > 0.001 * abs(t.{t}))"
 
 
+def _own(c: str) -> str:
+    """A stored column as seen from the smaller id."""
+    other = c.replace("first_", "second_") if c.startswith("first_") else c.replace("second_", "first_")
+    return f"CASE WHEN first_item_id < second_item_id THEN {c} ELSE {other} END AS {c}"
+
+
+#: Of the stored rows of a pair, in either order, the latest one, whole.
+_STORED = f"""sr AS (SELECT least(first_item_id, second_item_id) AS a, greatest(first_item_id, second_item_id) AS b, {', '.join(_own(c) for c in ratings.RELATION)} FROM relation WHERE first_item_id <> second_item_id
+    QUALIFY row_number() OVER (PARTITION BY least(first_item_id, second_item_id), greatest(first_item_id, second_item_id) ORDER BY updated_at DESC, distance_mean, sample_count) = 1)"""
 _COMPARE = f"""{PLACED}, {RELATIONS}, rd AS (SELECT a AS id, b AS other, distance_mean AS distance, sample_count FROM rl UNION ALL SELECT b, a, distance_mean, sample_count FROM rl),
   lr AS (SELECT rd.* FROM rd JOIN it x ON rd.id = x.id JOIN it y ON rd.other = y.id),
   rk2 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS n, row_number() OVER (PARTITION BY id ORDER BY distance DESC, other) AS f FROM lr),
@@ -152,6 +175,21 @@ def _compare(closest: int, furthest: int, local: int) -> str:
       mv AS (SELECT id, x AS px, y AS py, avg(CASE WHEN d = 0 THEN pull ELSE pull * dx / d END) AS fx, avg(CASE WHEN d = 0 THEN 0 ELSE pull * dy / d END) AS fy FROM ff GROUP BY ALL)"""
 
 
+def _locate(depth: int) -> str:
+    """Items not placed, of enough placed relations: bisected angles on the circle about the closest."""
+    parts = [f"""{PLACED}, {RELATIONS}, rd AS (SELECT a AS id, b AS other, distance_mean AS distance, sample_count FROM rl UNION ALL SELECT b, a, distance_mean, sample_count FROM rl),
+      lr AS (SELECT rd.*, it.x AS ox, it.y AS oy FROM rd JOIN it ON rd.other = it.id), nn AS (SELECT sqrt(count(*)) AS q FROM lr),
+      td AS (SELECT id, CASE WHEN NOT isnan(distance_mean) THEN distance_mean END AS mean FROM item WHERE id NOT IN (SELECT id FROM it)),
+      wr AS (SELECT id, other, ox, oy, coalesce(mean / (1 + sample_count) + (1 - 1 / (1 + sample_count)) * distance, mean, distance) AS want FROM lr JOIN td USING (id)),
+      g0 AS (SELECT id, arg_min(struct_pack(x := ox, y := oy), struct_pack(r := want, o := other)) AS c, min(want) AS radius, CAST(0 AS DOUBLE) AS angle FROM wr GROUP BY id
+        HAVING count(*) >= (SELECT greatest(1, least(floor(q), floor(log10(q) + 1))) FROM nn))"""]
+    for k in range(depth):
+        step = repr(math.pi / 2 / 2**k)
+        loss = lambda s: f"sum(power(sqrt(power(c.x + radius * cos(angle {s} {step}) - ox, 2) + power(c.y + radius * sin(angle {s} {step}) - oy, 2)) - want, 2))"  # noqa: E731, B023
+        parts.append(f"g{k + 1} AS (SELECT id, c, radius, CASE WHEN {loss('-')} < {loss('+')} THEN angle - {step} ELSE angle + {step} END AS angle FROM g{k} JOIN wr USING (id) GROUP BY id, c, radius, angle)")
+    return f"WITH {', '.join(parts)} SELECT id, {near_sql('c.x + radius * cos(angle)')} AS x, {near_sql('c.y + radius * sin(angle)')} AS y FROM g{depth}"
+
+
 _HULL = f"""WITH RECURSIVE {PLACED}, pt AS (SELECT min(id) AS id, x, y FROM it GROUP BY x, y), s AS (SELECT id, x, y FROM pt ORDER BY x, y LIMIT 1),
   h(id, x, y, k, t) AS (SELECT id, x, y, 0, -pi() / 2 FROM s UNION ALL
     SELECT q.n.id, q.n.x, q.n.y, k + 1, q.n.a FROM (SELECT k, arg_min(struct_pack(id := p.id, x := p.x, y := p.y, a := atan2(p.y - h.y, p.x - h.x)),
@@ -165,8 +203,8 @@ SQL = {
     "item_validation": f"""WITH {_ITEM_STATS} SELECT t.item_id FROM st t LEFT JOIN item s ON s.id = t.item_id
         WHERE s.sample_count IS NULL OR s.sample_count <> t.sample_count OR {_off('value_mean', 'value_mean')} OR {_off('value_variance', 'value_variance')}""",
     "relation_stats": f"WITH {_RELATION_STATS} SELECT first_item_id, second_item_id, sample_count, {_REL_COLS} FROM rs",
-    "relation_validation": f"""WITH {_RELATION_STATS}, sr AS (SELECT first_item_id, second_item_id, {', '.join(f'max({c}) AS {c}' for c in ratings.RELATION)} FROM relation WHERE first_item_id < second_item_id GROUP BY 1, 2)
-        SELECT t.first_item_id, t.second_item_id FROM rs t LEFT JOIN sr s ON s.first_item_id = t.first_item_id AND s.second_item_id = t.second_item_id
+    "relation_validation": f"""WITH {_RELATION_STATS}, {_STORED}
+        SELECT t.first_item_id, t.second_item_id FROM rs t LEFT JOIN sr s ON s.a = t.first_item_id AND s.b = t.second_item_id
         WHERE s.sample_count IS NULL OR s.sample_count <> t.sample_count OR {' OR '.join(_off(c, c) for c in ratings.RELATION[1:])}""",
     "distance_model_abs": f"WITH {_RELATION_STATS} SELECT first_item_id, second_item_id, {near_sql('value_abs_diff_mean')} AS distance FROM rs",
     "distance_model_correlation": f"""WITH {_RELATION_STATS} SELECT first_item_id, second_item_id,
@@ -181,6 +219,9 @@ SQL = {
     "comparison_set": f"WITH {_compare(10, 10, 10)} SELECT id, other, distance, sample_count FROM cs",
     "adjust_step": f"WITH {_compare(10, 10, 10)} SELECT id, {near_sql('px + fx')} AS x, {near_sql('py + fy')} AS y FROM mv",
     "adjust_items": f"WITH {_compare(10, 5, 5)} SELECT id, {near_sql('px + fx')} AS x, {near_sql('py + fy')} AS y, {near_sql('fx')} AS vx, {near_sql('fy')} AS vy FROM mv",
+    "item_distances": f"""WITH {RELATIONS} SELECT id AS item_id, count(*) AS relation_count, {near_sql('avg(distance_mean)')} AS distance_mean
+        FROM (SELECT a AS id, distance_mean FROM rl UNION ALL SELECT b, distance_mean FROM rl) GROUP BY 1""",
+    "locate_items": _locate(5),
     "process_ratings_items": f"WITH {_ITEM_STATS} SELECT item_id, sample_count, {near_sql('value_mean')} AS value_mean, {near_sql('value_variance')} AS value_variance FROM st",
     "process_ratings_relations": f"WITH {_RELATION_STATS} SELECT first_item_id, second_item_id, sample_count, {_REL_COLS} FROM rs",
 }

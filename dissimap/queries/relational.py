@@ -95,9 +95,9 @@ QUERIES = {
 }
 
 _SAMPLE = f"sm AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT id FROM pl ORDER BY {mixed_sql('id', seed=1)}, id LIMIT (SELECT 10 + CAST(floor(sqrt(count(*))) AS BIGINT) FROM pl)))"
-_N = "(SELECT count(*) FROM embeddings)"
-_G = "w - CASE WHEN d <> 0 THEN r * w / d ELSE 0 END"
-_B = "CASE WHEN d <> 0 THEN -r / d ELSE 0 END"
+N = "(SELECT count(*) FROM embeddings)"
+G = "w - CASE WHEN d <> 0 THEN r * w / d ELSE 0 END"
+B = "CASE WHEN d <> 0 THEN -r / d ELSE 0 END"
 
 
 def _diagonal(value: str, name: str) -> str:
@@ -114,16 +114,16 @@ SQL = {
         AND j >= (SELECT max(id) // 4 FROM pl) AND j < (SELECT max(id) // 2 FROM pl)""",
     "sampled_submatrix": f"WITH {PLANE_PAIRS}, {_SAMPLE} SELECT a.k AS i, b.k AS j, {near_sql('r')} AS r FROM pr JOIN sm a ON i = a.id JOIN sm b ON j = b.id",
     "distinct_sample": f"WITH {PLANE_PAIRS}, {_SAMPLE} SELECT id FROM sm",
-    "double_center": f"""WITH {PLANE_WAYS}, m AS (SELECT i, sum(r * r) / {_N} AS m FROM sp GROUP BY i), g AS (SELECT sum(m) / {_N} AS g FROM m)
+    "double_center": f"""WITH {PLANE_WAYS}, m AS (SELECT i, sum(r * r) / {N} AS m FROM sp GROUP BY i), g AS (SELECT sum(m) / {N} AS g FROM m)
         SELECT i, j, {near_sql('-0.5 * (r * r - a.m - b.m + g)')} AS b FROM pr JOIN m a USING (i) JOIN m b ON j = b.i, g UNION ALL SELECT i, i, {near_sql('m - g / 2')} FROM m, g""",
     "stress_raw": f"WITH {BOTH} SELECT {near_sql('sum((d - r) * (d - r))')} AS stress FROM wd",
     "stress_normalised": f"WITH {BOTH} SELECT {near_sql('sum((d - r) * (d - r)) / sum(r * r)')} AS stress FROM wd",
     "stress_kruskal": f"WITH {BOTH} SELECT {near_sql('sqrt(sum((d - r) * (d - r)) / sum(d * d))')} AS stress FROM wd",
     "stress_weighted": f"WITH {BOTH} SELECT {near_sql('sum(w * (d - r) * (d - r)) / sum(w * r * r)')} AS stress FROM wd",
-    "guttman_transform": _diagonal(_G, "g"),
-    "smacof_b_matrix": _diagonal(_B, "b"),
+    "guttman_transform": _diagonal(G, "g"),
+    "smacof_b_matrix": _diagonal(B, "b"),
     "weight_row_sums": f"WITH {BOTH_WAYS} SELECT i, {near_sql('sum(w)')} AS v FROM sy GROUP BY i",
-    "smacof_step": f"""WITH {BOTH_WAYS} SELECT i AS id, {near_sql(f'sum(-({_B}) * (xi - xj)) / {_N}')} AS x, {near_sql(f'sum(-({_B}) * (yi - yj)) / {_N}')} AS y FROM sy GROUP BY i""",
-    "wmds_step": f"""WITH {BOTH_WAYS} SELECT i AS id, {near_sql(f'any_value(xi) - sum(({_G}) * (xi - xj)) / (2 * sum(w))')} AS x,
-        {near_sql(f'any_value(yi) - sum(({_G}) * (yi - yj)) / (2 * sum(w))')} AS y FROM sy GROUP BY i""",
+    "smacof_step": f"""WITH {BOTH_WAYS} SELECT i AS id, {near_sql(f'sum(-({B}) * (xi - xj)) / {N}')} AS x, {near_sql(f'sum(-({B}) * (yi - yj)) / {N}')} AS y FROM sy GROUP BY i""",
+    "wmds_step": f"""WITH {BOTH_WAYS} SELECT i AS id, {near_sql(f'any_value(xi) - sum(({G}) * (xi - xj)) / (2 * sum(w))')} AS x,
+        {near_sql(f'any_value(yi) - sum(({G}) * (yi - yj)) / (2 * sum(w))')} AS y FROM sy GROUP BY i""",
 }

@@ -1,13 +1,16 @@
-"""Whole solvers on planar input: the layout's distances must be the input's."""
+"""Whole solvers: on planar input the layout's distances must be the input's, or its stress be low; majorization step by step."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dissimap.operators import align, graph, majorize, spectral
+from dissimap.model import dense_index
+from dissimap.operators import align, majorize, spectral
 from dissimap.operators.distance import euclidean_distance
 from dissimap.plans import layouts
-from dissimap.queries.inputs import PLANE_PAIRS, full, plane, plane_pairs
+from dissimap.queries.graphs import LARGEST, K
+from dissimap.queries.inputs import FULL_PAIRS, PLANE, PLANE_PAIRS, full, full_pairs, plane, plane_pairs, weight
+from dissimap.queries.relational import B, G, N, coordinates
 from dissimap.queries.rounding import near, near_sql
 from dissimap.session import cut
 
@@ -36,12 +39,18 @@ def smds_variance_cutoff(spark, d):
     return out.select("component", near(F.col("value")).alias("value"), near(F.col("share_before")).alias("share_before"), "kept")
 
 
+#: Steps of the majorization queries, which their SQL unrolls.
+STEPS = 4
+
+
 def smacof(spark, d):
-    return _distances(majorize.smacof(plane_pairs(spark, d), 2))
+    """Dissimilarities of all dimensions, from the places in the plane."""
+    return coordinates(majorize.smacof(full_pairs(spark, d), 2, stress_tolerance=0.0, max_iterations=STEPS, init=plane(spark, d)))
 
 
 def wmds(spark, d):
-    return _distances(majorize.weighted_scaling(plane_pairs(spark, d), 2, 1.0 / (1.0 + F.col("r"))))
+    """The same by diagonal majorization with weights."""
+    return coordinates(majorize.weighted_scaling(full_pairs(spark, d), 2, weight(), fit_tolerance=0.0, max_iterations=STEPS, init=plane(spark, d)))
 
 
 def lmds(spark, d):
@@ -50,31 +59,35 @@ def lmds(spark, d):
 
 def imds(spark, d):
     """Four batches that share ten points each."""
-    ids = sorted(r.id for r in plane(spark, d).select("id").collect())  # 2 000 points at most
-    step = -(-len(ids) // 4)
-    return _distances(align.incremental_scaling(plane_pairs(spark, d), [ids[max(0, s - 10) : s + step] for s in range(0, len(ids), step)], 2))
+    ids = dense_index(plane(spark, d).select("id"), "id", "k")
+    step = -(-ids.count() // 4)
+    first = F.floor(F.col("k") / step).cast("int")
+    both = F.when((F.col("k") % step >= step - 10) & (first < 3), F.array(first, first + 1)).otherwise(F.array(first))
+    return _distances(align.incremental_scaling(plane_pairs(spark, d), ids.select("id", F.explode(both).alias("batch")), 2))
+
+
+def _good(points, bound):
+    """(id, placed, good): whether a point's place is two finite numbers, and the layout's normalised stress within the bound."""
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return points.select("id", (ok("x") & ok("y")).alias("placed"), (F.col("stress") <= bound).alias("good"))
 
 
-def isomap(spark, d):
-    """With every other point a neighbour, geodesics are the distances."""
-    pairs = cut(plane_pairs(spark, d))
-    n = plane(spark, d).count()
-    return graph.isomap(pairs, n - 1).select("i", "j", near(F.col("r")).alias("r"))
+#: Normalised stress that the layouts of the plane stay under.
+BOUNDS = {"force": 1e-3, "neighbours": 1e-3, "sampled": 0.05, "pivots": 0.05, "isomap": 0.05, "rkisomap": 0.1}
 
 
 def isomap_layout(spark, d):
-    """With every other point a neighbour, the layout of the geodesics has the input's distances."""
-    pairs = cut(plane_pairs(spark, d))
-    return _distances(layouts.unroll(pairs, plane(spark, d).count() - 1).points)
+    """The largest connected part of the plane's neighbourhood graph, unrolled."""
+    return _good(layouts.unroll(cut(full_pairs(spark, d)), K, component="largest").flat(), 1.0)
 
 
 def _scored(method, **options):
-    return lambda spark, d: layouts.lay_out(plane_pairs(spark, d), method, 2, **options).flat()
+    return lambda spark, d: _good(layouts.lay_out(plane_pairs(spark, d), method, 2, **options).flat(), BOUNDS[method])
 
 
 def rkisomap_layout(spark, d):
     """The largest part of the robust neighbourhood graph, with the layout's stress against the geodesics."""
-    return layouts.unroll(cut(plane_pairs(spark, d)), 8, robust=True, component="largest").flat()
+    return layouts.unroll(cut(plane_pairs(spark, d)), K, robust=True, component="largest").flat()
 
 
 def flagship(spark, d):
@@ -82,12 +95,27 @@ def flagship(spark, d):
     return layouts.lay_out_points(full(spark, d)).flat()
 
 
-QUERIES = {f.__name__: f for f in (flagship, cmds, cmds_distributed, smds, smds_variance_cutoff, smacof, wmds, lmds, imds, isomap, isomap_layout, rkisomap_layout)}
+QUERIES = {f.__name__: f for f in (flagship, cmds, cmds_distributed, smds, smds_variance_cutoff, smacof, wmds, lmds, imds, isomap_layout, rkisomap_layout)}
 QUERIES |= {"fdmds": _scored("force"), "cha96mds": _scored("neighbours"), "sqmds": _scored("sampled"), "sqpmds": _scored("pivots")}
 
+
+
+def _steps(x: str, y: str) -> str:
+    """STEPS steps from the plane: new places by sums over a point's pairs."""
+    parts = [f"{PLANE}, {FULL_PAIRS}, sy AS (SELECT i, j, r, 1 / (1 + r) AS w FROM fp UNION ALL SELECT j, i, r, 1 / (1 + r) FROM fp), p0 AS (SELECT id, x, y FROM pl)"]
+    for k in range(STEPS):
+        e = f"SELECT sy.i, sy.r, sy.w, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM sy JOIN p{k} a ON sy.i = a.id JOIN p{k} b ON sy.j = b.id"
+        parts.append(f"p{k + 1} AS (SELECT i AS id, {x} AS x, {y} AS y FROM ({e}) GROUP BY i)")
+    return f"WITH {', '.join(parts)} SELECT id, {near_sql('x')} AS x, {near_sql('y')} AS y FROM p{STEPS}"
+
+
 _SAME = f"WITH {PLANE_PAIRS} SELECT i, j, {near_sql('r')} AS r FROM pr"
 SQL = {
-    **{k: _SAME for k in ("cmds", "cmds_distributed", "smds", "smacof", "wmds", "lmds", "imds", "isomap", "isomap_layout")},
+    **{k: _SAME for k in ("cmds", "cmds_distributed", "smds", "lmds", "imds")},
+    **{k: "SELECT vec_id AS id, TRUE AS placed, TRUE AS good FROM embeddings" for k in ("fdmds", "cha96mds", "sqmds", "sqpmds")},
+    "isomap_layout": f"{LARGEST} SELECT id, TRUE AS placed, TRUE AS good FROM lc",
+    "smacof": _steps(f"sum(-({B}) * (xi - xj)) / {N}", f"sum(-({B}) * (yi - yj)) / {N}"),
+    "wmds": _steps(f"any_value(xi) - sum(({G}) * (xi - xj)) / (2 * sum(w))", f"any_value(yi) - sum(({G}) * (yi - yj)) / (2 * sum(w))"),
     "smds_variance_cutoff": f"""WITH v AS (SELECT CAST(k - 1 AS INT) AS component, var_pop(CAST(embedding[k] AS DOUBLE)) AS value FROM embeddings, range(1, 65) t(k) GROUP BY 1),
         c AS (SELECT *, sum(value) OVER (ORDER BY value DESC, component) AS upto, row_number() OVER (ORDER BY value DESC, component) AS k, sum(value) OVER () AS total FROM v)
         SELECT component, {near_sql('value')} AS value, {near_sql('(upto - value) / total')} AS share_before, (upto - value) / total < 0.5 AND value > 0 AND k <= 40 AS kept FROM c""",

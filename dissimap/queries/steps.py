@@ -157,8 +157,12 @@ def som_affection(spark, d):
     return rounded(som.affection(_items(spark, d), won, som.neighbourhood(som.hops(_faces(spark, d), 3), 1.5)), "value")
 
 
+#: Epochs of som_train and its first radius.
+EPOCHS, RADIUS = 3, 2.0
+
+
 def som_train(spark, d):
-    return som.train(cut(_items(spark, d)), cut(_weights(spark, d)), _faces(spark, d), 3, 2.0)
+    return rounded(som.train(cut(_items(spark, d)), cut(_weights(spark, d)), _faces(spark, d), EPOCHS, RADIUS), "value")
 
 
 QUERIES = {
@@ -225,7 +229,25 @@ _SOM = """sv AS (SELECT vec_id AS item, label, CAST(k - 1 AS INT) AS prop, CAST(
   ho AS (SELECT vertex, other, min(hop) AS hop FROM h3 GROUP BY 1, 2),
   nw AS (SELECT vertex, other, exp(-(hop * hop) / 2.25::DOUBLE) AS weight FROM ho WHERE exp(-(hop * hop) / 2.25::DOUBLE) > 0.01)"""
 
+
+def _trained() -> str:
+    """EPOCHS epochs: winners by full distance, then affections by the neighbourhood of that epoch's radius."""
+    parts = [f"{_SOM}, w0 AS (SELECT vertex, prop, value FROM we)"]
+    for k in range(EPOCHS):
+        r = max(1.0, RADIUS * (1 - k / EPOCHS))
+        near = f"exp(-(hop * hop) / {r * r!r}::DOUBLE)"
+        parts += [
+            f"d{k} AS (SELECT sv.item, w{k}.vertex, sum(power(sv.value - w{k}.value, 2)) AS d FROM sv JOIN w{k} USING (prop) GROUP BY 1, 2)",
+            f"b{k} AS (SELECT item, arg_min(vertex, struct_pack(d := d, v := vertex)) AS vertex FROM d{k} GROUP BY 1)",
+            f"n{k} AS (SELECT vertex, other, {near} AS weight FROM ho WHERE hop <= {int(RADIUS)} AND {near} > 0.01)",
+            f"c{k} AS (SELECT b{k}.item, n{k}.other AS vertex, n{k}.weight FROM b{k} JOIN n{k} ON b{k}.vertex = n{k}.vertex), t{k} AS (SELECT vertex, sum(weight) AS n FROM c{k} GROUP BY 1)",
+            f"w{k + 1} AS (SELECT c{k}.vertex, prop, sum(weight * value) / any_value(n) AS value FROM c{k} JOIN sv USING (item) JOIN t{k} USING (vertex) GROUP BY 1, 2)",
+        ]
+    return f"WITH {', '.join(parts)} SELECT vertex, prop, {near_sql('value')} AS value FROM w{EPOCHS}"
+
+
 SQL = {
+    "som_train": _trained(),
     "random_points": f"SELECT vec_id AS id, {near_sql(uniform_sql('vec_id', '0', seed=1))} AS x, {near_sql(uniform_sql('vec_id', '1', seed=1))} AS y FROM embeddings",
     "force_step": f"WITH {BOTH_WAYS}, {_STATE}, {_force('sy', 0.5)}, {_capped(0.5)}, {_integrated(0.5)}",
     "planar_force": f"WITH {BOTH_WAYS}, {_force('sy', 0.5)} SELECT id, {near_sql('fx')} AS x, {near_sql('fy - pl.y * 0.3')} AS y FROM fo JOIN pl USING (id)",

@@ -2,24 +2,47 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dissimap.operators.ratings import RELATION, co_ratings, item_statistics, merge_statistics, relation_statistics, validate_items, validate_relations
+from dissimap.operators.ratings import RELATION, item_statistics, merge_statistics, relation_statistics, relation_sums, validate_items, validate_relations
 
 QUEUE = "user_id bigint, item_id bigint, value double"
+MOVED = "id bigint, x double, y double, vx double, vy double"
+
+log = logging.getLogger(__name__)
+
+
+def run_stream(writer, recursive: bool) -> None:
+    """Runs a stream over what is there: all of it, or, not recursive, its first batch alone."""
+    if recursive:
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return
+    q = writer.trigger(processingTime="1 day").start()  # the first batch starts at once, the next one never
+    try:
+        while q.isActive and not q.recentProgress:
+            q.awaitTermination(1)
+    finally:
+        q.stop()
+    if q.exception():
+        raise q.exception()
 
 
 class RatingMap:
     """Ratings and statistics as tables in a folder: queue/ (appended files), ratings/, items/ and relations/, the last two in a new folder for each
     batch. A batch that is run again after a failure writes the same folder again, so its ratings count once.
 
+    A batch counts its own ratings and the pairs that they make, with each other and with older ratings of the same users; what older ratings make among
+    themselves is not counted again. relations=False keeps items only. file_rows: the most ratings of a queued file, which is the unit of batches.
+
     A rating never replaces another: re-ratings accumulate. Ratings without user, item or value, or with NaN, are left out. There is no event time and no
     watermark: late ratings count.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, relations: bool = True, file_rows: int = 100_000):
+        self.spark, self.folder, self.with_relations, self.file_rows = spark, folder.rstrip("/"), relations, file_rows
 
     # The folder's state
 
@@ -49,7 +72,7 @@ class RatingMap:
 
     def queue_ratings(self, ratings: DataFrame) -> None:
         """Appends (user_id, item_id, value)."""
-        ratings.select("user_id", "item_id", F.col("value").cast("double").alias("value")).write.mode("append").parquet(f"{self.folder}/queue")
+        ratings.select("user_id", "item_id", F.col("value").cast("double").alias("value")).write.option("maxRecordsPerFile", self.file_rows).mode("append").parquet(f"{self.folder}/queue")
 
     def queue_depth(self) -> int:
         """Ratings queued and not yet processed."""
@@ -59,62 +82,51 @@ class RatingMap:
         done = 0 if taken is None else taken.select("batch", "n").distinct().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         return self.spark.read.schema(QUEUE).parquet(f"{self.folder}/queue").count() - done
 
-    def process_rating_queue(self, files_per_batch: int | None = None, recursive: bool = True, validate: bool = False) -> int:
-        """Processes queued ratings and returns how many are left. recursive: all of them, in batches of so many files; otherwise one batch of all.
-        validate: then compares the statistics with those of all ratings, and raises ValueError if any is off by 0.1 %."""
-        if not self._exists(f"{self.folder}/queue"):
+    def process_rating_queue(self, batch_size: int | None = None, recursive: bool = True, validate: bool = False) -> int:
+        """Processes queued ratings and returns how many are left. batch_size: the most ratings of a batch, in whole files of file_rows at most (one file at
+        least); None, all. recursive: batch after batch until the queue is empty; otherwise one batch. validate: then compares the statistics with
+        those of all ratings, and raises ValueError if any is off by 0.1 %."""
+        if not self.queue_depth():
             return 0
         reader = self.spark.readStream.schema(QUEUE)
-        if files_per_batch and recursive:
-            reader = reader.option("maxFilesPerTrigger", files_per_batch)
-        stream = reader.parquet(f"{self.folder}/queue")
-        w = stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.folder}/checkpoint")
-        (w.trigger(availableNow=True) if recursive else w.trigger(once=True)).start().awaitTermination()
+        if batch_size:
+            reader = reader.option("maxFilesPerTrigger", max(1, batch_size // self.file_rows))
+        w = reader.parquet(f"{self.folder}/queue").writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.folder}/checkpoint")
+        run_stream(w, recursive)
         if validate:
             self.validate()
         return self.queue_depth()
 
     def _batch(self, df: DataFrame, batch: int) -> None:
         n = df.count()
+        log.info("batch %d of %s: %d ratings", batch, self.folder, n)
         new = df.where("user_id is not null and item_id is not null and value is not null and not isnan(value)")
         new.write.mode("overwrite").parquet(f"{self.folder}/ratings/batch={batch}")
         new = self.spark.read.schema(QUEUE).parquet(f"{self.folder}/ratings/batch={batch}")
         last = self._last(batch)
-        fresh = item_statistics(new.withColumnRenamed("item_value", "value"))
+        fresh = item_statistics(new)
         fresh = fresh.select("item_id", F.col("sample_count").alias("n"), F.col("value_mean").alias("m_v"), (F.col("value_variance") * F.col("sample_count")).alias("c_v_v"))
         items = merge_statistics(self._read("items", last, self.ITEMS), fresh, ["item_id"])
-        rel = merge_statistics(self._read("relations", last, self.RELATIONS), self._relations(new, batch), ["first_item_id", "second_item_id"])
-        rel.write.mode("overwrite").parquet(f"{self.folder}/relations/batch={batch}")
+        if self.with_relations:
+            rel = merge_statistics(self._read("relations", last, self.RELATIONS), self._relations(new, batch), ["first_item_id", "second_item_id"])
+            rel.write.mode("overwrite").parquet(f"{self.folder}/relations/batch={batch}")
         self.spark.createDataFrame([(batch, n)], "batch int, n bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/taken/part={batch}")
         items.write.mode("overwrite").parquet(f"{self.folder}/items/batch={batch}")  # last: it completes the batch
 
     def _relations(self, new: DataFrame, batch: int) -> DataFrame:
-        """Statistics of the pairs that a batch adds: new with old and new with new, for the users it names."""
-        users = new.select("user_id").distinct()
-        before = self.ratings(batch)
-        old = before.join(users, "user_id", "left_semi") if before is not None else None
-        marked = new.withColumn("fresh", F.lit(1)) if old is None else new.withColumn("fresh", F.lit(1)).unionByName(old.withColumn("fresh", F.lit(0)))
-        # Statistics of all pairs of these users, less those of old pairs: sums are exact differences of sums about 0.
-        whole = self._sums(marked.select("user_id", "item_id", "value"))
-        if old is not None:
-            gone = self._sums(old)
-            whole = whole.alias("w").join(gone.alias("g"), ["first_item_id", "second_item_id"], "left").select(
-                "first_item_id", "second_item_id", *[(F.col(f"w.{c}") - F.coalesce(F.col(f"g.{c}"), F.lit(0))).alias(c) for c in ("n", "d", "dd", "a", "aa", "b", "bb", "ab")]
-            ).where("n > 0")
-        m = {c: F.col(c) / F.col("n") for c in ("d", "a", "b")}
-        return whole.select(
-            "first_item_id", "second_item_id", "n", m["d"].alias("m_d"), m["a"].alias("m_a"), m["b"].alias("m_b"), (F.col("dd") - m["d"] * F.col("d")).alias("c_d_d"),
+        """Statistics of the pairs that a batch adds: new ratings with new ones, and with the same users' old ones."""
+        marked, before = new.withColumn("fresh", F.lit(True)), self.ratings(batch)
+        if before is not None:
+            old = before.join(new.select("user_id").distinct(), "user_id", "left_semi")
+            marked = marked.unionByName(old.withColumn("fresh", F.lit(False)))
+        shift = 50.0
+        s, n = relation_sums(marked, fresh=True, shift=shift), F.col("n")
+        m = {c: F.col(c) / n for c in ("d", "a", "b")}
+        return s.select(
+            "first_item_id", "second_item_id", "n", m["d"].alias("m_d"), (m["a"] + shift).alias("m_a"), (m["b"] + shift).alias("m_b"), (F.col("dd") - m["d"] * F.col("d")).alias("c_d_d"),
             (F.col("aa") - m["a"] * F.col("a")).alias("c_a_a"), (F.col("bb") - m["b"] * F.col("b")).alias("c_b_b"), (F.col("ab") - m["a"] * F.col("b")).alias("c_a_b"),
         )
 
-    @staticmethod
-    def _sums(ratings: DataFrame) -> DataFrame:
-        n, a, b = F.col("n"), F.col("va"), F.col("vb")
-        d = F.abs(a - b)
-        return co_ratings(ratings).groupBy("first_item_id", "second_item_id").agg(
-            F.sum(n).alias("n"), *[F.sum(n * e).alias(k) for k, e in {"d": d, "dd": d * d, "a": a, "aa": a * a, "b": b, "bb": b * b, "ab": a * b}.items()]
-        )
-
     # Results
 
     def ratings(self, before: int | None = None) -> DataFrame | None:
@@ -142,6 +154,11 @@ class RatingMap:
         r = self.ratings()
         if r is None:
             return
+        if not self.with_relations:
+            bad = validate_items(self.items().withColumnRenamed("item_id", "id"), item_statistics(r), tolerance).count()
+            if bad:
+                raise ValueError(f"{bad} items differ from the ratings")
+            return
         bad = validate_items(self.items().withColumnRenamed("item_id", "id"), item_statistics(r), tolerance).count()
         # A variance that is 0 in truth may be a rounding error in a running sum: it counts as 0.
         tidy = self.relations().select("first_item_id", "second_item_id", *[F.when(F.abs(c) < 1e-9, 0.0).otherwise(F.col(c)).alias(c) if c != "sample_count" else F.col(c) for c in RELATION])
@@ -153,20 +170,41 @@ class RatingMap:
 
 
 class AdjustmentQueue:
-    """Items to be moved: ids appended to a folder and taken once."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    """Items to be moved: ids appended to a folder and taken once. file_rows: the most ids of a queued file, which is the unit of batches."""
+
+    def __init__(self, spark: SparkSession, folder: str, file_rows: int = 100_000):
+        self.spark, self.folder, self.file_rows = spark, folder.rstrip("/"), file_rows
+
+    def queue_adjustments(self, ids: list[int] | DataFrame) -> None:
+        """Appends ids, or a table's column id; none, nothing."""
+        if not isinstance(ids, DataFrame):
+            if not ids:
+                return
+            ids = self.spark.createDataFrame([(int(i),) for i in ids], "id bigint")
+        ids.select("id").write.option("maxRecordsPerFile", self.file_rows).mode("append").parquet(f"{self.folder}/adjustments")
+
+    def moved(self, out: str, before: int | None = None) -> DataFrame:
+        """The last place and velocity of each item moved so far (in batches before another): (id, x, y, vx, vy)."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], MOVED)
+        m = self.spark.read.schema(MOVED + ", batch int").parquet(out)
+        m = m if before is None else m.where(F.col("batch") < before)
+        return m.groupBy("id").agg(F.max_by(F.struct("x", "y", "vx", "vy"), "batch").alias("s")).select("id", "s.x", "s.y", "s.vx", "s.vy")
+
+    def process_adjustment_queue(self, item: DataFrame, relations: DataFrame, out: str, batch_size: int | None = None, **limits) -> None:
+        """Moves the queued items by adjust_items() and writes (id, x, y, vx, vy) to out, a folder for each batch. batch_size: the most ids of a batch, in whole files
+        (one at least). An id queued several times in a batch moves once. A batch starts from the places and velocities that earlier ones left."""
+        from dissimap.operators.layout import adjust_items
 
-    def queue_adjustments(self, ids: list[int]) -> None:
-        """Appends ids; none, nothing."""
-        if ids:
-            self.spark.createDataFrame([(int(i),) for i in ids], "id bigint").write.mode("append").parquet(f"{self.folder}/adjustments")
+        reader = self.spark.readStream.schema("id bigint")
+        if batch_size:
+            reader = reader.option("maxFilesPerTrigger", max(1, batch_size // self.file_rows))
 
-    def process_adjustment_queue(self, item: DataFrame, relations: DataFrame, out: str, **limits) -> None:
-        """Moves the queued items by adjust_items() and writes (id, x, y, vx, vy) to out, a folder for each batch; an id queued several times in a batch moves once."""
-        from dissimap.operators.layout import adjust_items
+        def run(df: DataFrame, batch: int) -> None:
+            before = self.moved(out, batch)
+            place = before.select("id", F.col("x").alias("mx"), F.col("y").alias("my"))
+            at = item.join(place, "id", "left").withColumns({"x": F.coalesce("mx", "x"), "y": F.coalesce("my", "y")}).drop("mx", "my")
+            adjust_items(at, relations, df, velocity=before, **limits).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-        stream = self.spark.readStream.schema("id bigint").parquet(f"{self.folder}/adjustments")
-        run = lambda df, batch: adjust_items(item, relations, df, **limits).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-        stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{self.folder}/adjustment_checkpoint").trigger(availableNow=True).start().awaitTermination()
+        run_stream(reader.parquet(f"{self.folder}/adjustments").writeStream.foreachBatch(run).option("checkpointLocation", f"{self.folder}/adjustment_checkpoint"), True)

@@ -32,7 +32,10 @@ def test_exact_solvers_return_the_input_distances(spark, pairs, plane):
     assert gap(majorize.smacof(pairs, 2), plane) < 1e-9
     assert gap(majorize.weighted_scaling(pairs, 2), plane) < 1e-9
     assert gap(align.block_scaling(pairs, 2, 3), plane) < 1e-9
-    assert gap(align.incremental_scaling(pairs, [list(range(0, 20)), list(range(12, 30)), list(range(22, 40))], 2), plane) < 1e-9
+    batches = spark.createDataFrame([(i, k) for k, (a, b) in enumerate([(0, 20), (12, 30), (22, 40)]) for i in range(a, b)], "id bigint, batch int")
+    assert gap(align.incremental_scaling(pairs, batches, 2), plane) < 1e-9
+    with pytest.raises(ValueError):
+        align.incremental_scaling(pairs, batches.where("batch = 0 and id < 8 or batch = 2 and id > 30"), 2)
 
 
 def test_eigenvalues_of_a_known_matrix():
@@ -139,6 +142,15 @@ def test_geodesics_match_all_pairs_by_brute_force_held_or_joined(spark, pairs):
             assert np.allclose(np.where(np.isinf(got), 99, got), np.where(np.isinf(want), 99, want))
 
 
+def test_nearest_of_tiles_are_those_of_pairs(spark, plane, pairs):
+    at = np.concatenate([plane, plane[:5]])  # with copies
+    p = points_of(spark, at)
+    want = {tuple(r) for r in graph.knn_edges(euclidean_distance(p), 4).collect()}
+    for rows in (1000, 7):
+        assert {tuple(r) for r in graph.knn_points(p, 4, rows).collect()} == want
+    assert graph.knn_points(p.limit(0), 4).count() == 0 and graph.knn_points(p.limit(1), 4).count() == 0
+
+
 def test_knn_ties_go_to_the_smaller_id(spark):
     p = spark.createDataFrame([(1, 0, 1.0), (2, 0, 1.0), (3, 0, 1.0), (2, 1, 5.0), (3, 1, 5.0), (3, 2, 5.0)], "i bigint, j bigint, r double")
     assert {(r.src, r.dst) for r in graph.knn_edges(p, 1).collect()} == {(0, 1), (1, 0), (2, 0), (3, 0)}

@@ -49,18 +49,21 @@ def test_validation_reports_missing_and_off_rows(spark):
 
 
 def test_stream_equals_batch_statistics_over_several_batches(spark, rated, tmp_path):
-    m = RatingMap(spark, f"file://{tmp_path}/map")
+    m = RatingMap(spark, f"file://{tmp_path}/map", file_rows=20)
     assert m.queue_depth() == 0 and m.process_rating_queue() == 0
     schema = "user_id bigint, item_id bigint, value double"
-    for part in (rated[:30], rated[30:45] + [(None, 1, 2.0), (1, 1, math.nan)], rated[45:]):
-        m.queue_ratings(spark.createDataFrame(part, schema).coalesce(1))
+    m.queue_ratings(spark.createDataFrame(rated[:45] + [(None, 1, 2.0), (1, 1, math.nan)] + rated[45:], schema).coalesce(1))
     assert m.queue_depth() == 82
-    assert m.process_rating_queue(files_per_batch=1, validate=True) == 0
+    assert m.process_rating_queue(batch_size=30, recursive=False) == 62  # a file of 20
+    assert m.process_rating_queue(batch_size=40, validate=True) == 0
     same(m.relations().collect(), truth(rated))
     m.queue_ratings(spark.createDataFrame(rated[:5], schema).coalesce(1))
     assert m.process_rating_queue(recursive=False, validate=True) == 0
     same(m.relations().collect(), truth(rated + rated[:5]))
     assert {r.item_id: r.sample_count for r in m.items().collect()} == {i: sum(x[1] == i for x in rated + rated[:5]) for i in {x[1] for x in rated}}
+    few = RatingMap(spark, f"file://{tmp_path}/few", relations=False)
+    few.queue_ratings(spark.createDataFrame(rated, schema))
+    assert few.process_rating_queue(validate=True) == 0 and few.items().count() == len({x[1] for x in rated})
 
 
 def test_model_distance(spark, rated):
@@ -119,6 +122,15 @@ def test_adjustment_queue(spark, items, tmp_path):
     q.queue_adjustments([1, 1, 6])
     q.process_adjustment_queue(items, spark.createDataFrame([(1, 6, 0.5, 1)], RELATION), f"file://{tmp_path}/moved")
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/moved").collect()) == [1, 6]
+    first = {r.id: r for r in q.moved(f"file://{tmp_path}/moved").collect()}
+    q.queue_adjustments(spark.createDataFrame([(6,)], "id bigint"))
+    q.process_adjustment_queue(items, spark.createDataFrame([(1, 6, 0.5, 1)], RELATION), f"file://{tmp_path}/moved", batch_size=1)
+    second = {r.id: r for r in q.moved(f"file://{tmp_path}/moved").collect()}
+    assert second[1] == first[1]
+    # From where the first batch left both, with half of the velocity.
+    at = items.where("id = 1 or id = 6").drop("x", "y").join(spark.createDataFrame(list(first.values())).select("id", "x", "y"), "id")
+    step = {r.id: r for r in layout.adjust_step(at, layout.comparison_set(at, spark.createDataFrame([(1, 6, 0.5, 1)], RELATION))).collect()}
+    assert second[6].x == pytest.approx(step[6].x + first[6].vx / 2) and second[6].vx == pytest.approx(step[6].x - first[6].x + first[6].vx / 2)
 
 
 def test_matrix_csv_round_trip_and_odd_cells(spark, tmp_path):
