@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from dissimap.model import POINTS, both_ways
 from dissimap.operators import local as kernels
 from dissimap.operators.distance import with_points
 from dissimap.operators.local import solve
-from dissimap.operators.spectral import LOCAL
+from dissimap.operators.spectral import LOCAL, square
 from dissimap.session import cut
 
 
@@ -102,6 +104,24 @@ def force_layout(
     return s.select("id", F.slice("x", 1, p).alias("x"))
 
 
+def force_energies(
+    pairs: DataFrame, p: int = 2, iterations: int | None = None, planar: bool = True, dampening: float = 0.5, force_cap: float = 0.5, spring: float = 0.5, seed: int = 1, local: int = LOCAL
+) -> DataFrame:
+    """(iteration, energy): the kinetic energy of force_layout() after each of its steps, for `local` points at most; ValueError beyond."""
+    n = pairs.select(F.explode(F.array("i", "j")).alias("id")).distinct().count()
+    if n > local:
+        raise ValueError(f"the record is for {local} points at most")
+    rounds, dims = n if iterations is None else iterations, p + 1 if planar else p
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, r = square(np.asarray(t["i"]), np.asarray(t["j"]), np.asarray(t["r"]))
+        energies: list[float] = []
+        kernels.force(r, kernels.uniform(ids, dims, seed), rounds, planar, dampening, force_cap, spring, False, energies)
+        return pa.table({"iteration": pa.array(range(1, rounds + 1), pa.int32()), "energy": pa.array(energies, pa.float64())})
+
+    return pairs.select("i", "j", "r").groupBy().applyInArrow(run, "iteration int, energy double")
+
+
 def nearest_k(directed: DataFrame, k: int) -> DataFrame:
     """The k pairs of each i with the least r, equal ones by j: (i, j, r, rank). Spark keeps k of each i before the exchange."""
     w = Window.partitionBy("i").orderBy("r", "j")

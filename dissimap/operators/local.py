@@ -35,8 +35,8 @@ def _capped(f: np.ndarray, most: float) -> np.ndarray:
     return np.where(n > most, f * (most / np.where(n > 0, n, 1)), f)
 
 
-def force(r: np.ndarray, x: np.ndarray, rounds: int, planar: bool, dampening: float, cap: float, spring: float, sequential: bool) -> np.ndarray:
-    """All pairs. sequential: each point moves before the next one's force is taken; otherwise all at once."""
+def force(r: np.ndarray, x: np.ndarray, rounds: int, planar: bool, dampening: float, cap: float, spring: float, sequential: bool, energies: list | None = None) -> np.ndarray:
+    """All pairs. energies: gets the sum of |v|^2 of each round. sequential: each point moves before the next one's force is taken; otherwise all at once."""
     n, v = len(x), np.zeros_like(x)
     x = x.copy()
     for k in range(1, rounds + 1):
@@ -64,6 +64,8 @@ def force(r: np.ndarray, x: np.ndarray, rounds: int, planar: bool, dampening: fl
                 x[b] += v[b]
         if not sequential:
             x += v
+        if energies is not None:
+            energies.append(float((v * v).sum()))
     return x
 
 

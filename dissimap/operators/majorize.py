@@ -40,6 +40,16 @@ def weight_sums(pairs: DataFrame, weight: Column | None = None) -> DataFrame:
     return both_ways(pairs.select("i", "j", w.alias("w"))).groupBy("i").agg(F.sum("w").alias("v"))
 
 
+def product(matrix: DataFrame, points: DataFrame, dims: int) -> DataFrame:
+    """points (id, x): the rows of a symmetric matrix (i >= j, value), diagonal included, times the coordinates of points. An entry meets one point for each of its
+    two places; sums are combined on the map side."""
+    name = next(c for c in matrix.columns if c not in ("i", "j"))
+    off = matrix.where("i <> j").select("i", "j", F.col(name).alias("m"))
+    both = both_ways(off).unionByName(matrix.where("i = j").select("i", "j", F.col(name).alias("m")))
+    e = both.join(points.select(F.col("id").alias("j"), "x"), "j").select("i", times("x", F.col("m")).alias("f"))
+    return e.groupBy("i").agg(sum_of_vectors("f", dims).alias("x")).select(F.col("i").alias("id"), "x")
+
+
 def smacof_step(pairs: DataFrame, points: DataFrame, n: int, dims: int) -> DataFrame:
     """points after X <- B(X) X / n: a point's pairs each add (r/d)(x_i - x_j) / n; the matrix itself is not needed."""
     k = F.when(F.col("d") != 0, F.col("r") / F.nullif(F.col("d"), F.lit(0.0))).otherwise(0.0)
@@ -63,18 +73,21 @@ def _dims(points: DataFrame) -> int:
     return points.agg(F.max(F.size("x"))).first()[0] or 0
 
 
-def smacof(pairs: DataFrame, p: int, stress_tolerance: float = 1e-4, max_iterations: int = 100, init: DataFrame | None = None) -> DataFrame:
+def smacof(pairs: DataFrame, p: int, stress_tolerance: float = 1e-4, max_iterations: int = 100, init: DataFrame | None = None, record: list | None = None) -> DataFrame:
     """points in p dimensions by SMACOF from classical scaling (or init): steps until the normalised stress falls by less than the
-    tolerance, as a share of what it was, or is zero. One table is written, and one action run, for each step."""
+    tolerance, as a share of what it was, or is zero. One table is written, and one action run, for each step. record: gets (step, stress), from step 0."""
+    record = [] if record is None else record
     pairs = cut(pairs.select("i", "j", "r"))
     x = cut(init if init is not None else classical_scaling(pairs, p))
     n, dims = x.count(), _dims(x)
     before = stress(pairs, x).first()[0]
-    for _ in range(max_iterations):
+    record.append((0, before))
+    for k in range(max_iterations):
         if before is None or before <= FLOOR:
             break
         x = cut(smacof_step(pairs, x, n, dims), x)
         now = stress(pairs, x).first()[0]
+        record.append((k + 1, now))
         done, before = abs(before - now) / before < stress_tolerance, now
         if done:
             break

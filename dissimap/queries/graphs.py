@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dissimap.operators import graph
-from dissimap.queries.inputs import FULL_PAIRS, full, full_pairs
+from dissimap.queries.inputs import FULL_PAIRS, PLANE_PAIRS, full, full_pairs
 from dissimap.queries.relational import rounded
 from dissimap.queries.rounding import near, near_sql
 from dissimap.session import cut
@@ -65,13 +65,18 @@ def rkisomap(spark, d):
 
 QUERIES = {f.__name__: f for f in (knn_edges, knn_edges_of_pairs, knn_graph_undirected, knn_graph_directed, geodesic_distance, p_norm_geodesic, edge_flow, flow_gamma_fit, isomap, rkisomap)}
 
-_KNN = f"{FULL_PAIRS}, sp AS (SELECT i, j, r FROM fp UNION ALL SELECT j, i, r FROM fp), kn AS (SELECT i AS src, j AS dst, r AS weight, CAST(row_number() OVER (PARTITION BY i ORDER BY r, j) AS INT) AS rank FROM sp QUALIFY rank <= {K})"
-_UNDIRECTED = f"{_KNN}, ed AS (SELECT src, dst, weight AS w FROM kn UNION SELECT dst, src, weight FROM kn)"
+def _knn(pairs: str, name: str) -> str:
+    return f"{pairs}, sp AS (SELECT i, j, r FROM {name} UNION ALL SELECT j, i, r FROM {name}), kn AS (SELECT i AS src, j AS dst, r AS weight, CAST(row_number() OVER (PARTITION BY i ORDER BY r, j) AS INT) AS rank FROM sp QUALIFY rank <= {K})"
+
+
+_KNN = _knn(FULL_PAIRS, "fp")
+_BOTH_ENDS = "ed AS (SELECT src, dst, weight AS w FROM kn UNION SELECT dst, src, weight FROM kn)"
+_UNDIRECTED = f"{_KNN}, {_BOTH_ENDS}"
 _DIRECTED = f"{_KNN}, ed AS (SELECT src, dst, weight * weight AS w FROM kn)"
 _PATHS = """ge(s, t, d) USING KEY (s, t) AS (SELECT DISTINCT src, src, CAST(0 AS DOUBLE) FROM ed UNION
   SELECT ge.s, ed.dst, min(ge.d + ed.w) FROM ge JOIN ed ON ge.t = ed.src LEFT JOIN recurring.ge AS o ON o.s = ge.s AND o.t = ed.dst WHERE o.d IS NULL OR ge.d + ed.w < o.d GROUP BY 1, 2)"""
-#: The largest part that is connected: of several, that of the least id.
-LARGEST = f"WITH RECURSIVE {_UNDIRECTED}, {_PATHS}, lp AS (SELECT s AS id, min(t) AS part, count(*) AS n FROM ge GROUP BY 1), lc AS (SELECT id FROM lp WHERE part = (SELECT part FROM lp ORDER BY n DESC, part LIMIT 1))"
+#: The largest connected part of the plane's graph: of several, that of the least id.
+LARGEST = f"WITH RECURSIVE {_knn(PLANE_PAIRS, 'pr')}, {_BOTH_ENDS}, {_PATHS}, lp AS (SELECT s AS id, min(t) AS part, count(*) AS n FROM ge GROUP BY 1), lc AS (SELECT id FROM lp WHERE part = (SELECT part FROM lp ORDER BY n DESC, part LIMIT 1))"
 _FLOW = f"""WITH RECURSIVE {_DIRECTED}, {_PATHS}, la AS (SELECT ge.s, ed.dst AS t, arg_min(ed.src, struct_pack(d := ge.d + ed.w, u := ed.src)) AS u FROM ge JOIN ed ON ge.t = ed.src WHERE ed.dst <> ge.s GROUP BY 1, 2),
   fl AS (SELECT src, dst, (SELECT count(*) FROM la WHERE la.u = ed.src AND la.t = ed.dst) AS flow FROM ed)"""
 

@@ -87,11 +87,17 @@ def wmds_step(spark, d):
     return coordinates(majorize.weighted_step(full_pairs(spark, d), plane(spark, d), 2, weight()))
 
 
+def matrix_product(spark, d):
+    """The matrix of SMACOF times the places in the plane."""
+    p = plane(spark, d)
+    return coordinates(majorize.product(majorize.smacof_matrix(full_pairs(spark, d), p), p, 2))
+
+
 QUERIES = {
     "euclidean_distance": euclidean_distance, "squared_dissimilarity": squared_dissimilarity, "coo_to_pairs": coo_to_pairs, "matrix_csv": matrix_csv, "submatrix_range": submatrix_range,
     "sampled_submatrix": sampled_submatrix, "distinct_sample": distinct_sample, "double_center": double_center, "stress_raw": _stress("raw"), "stress_normalised": _stress("normalised"),
     "stress_kruskal": _stress("kruskal"), "stress_weighted": _stress("normalised", True), "guttman_transform": guttman_transform, "smacof_b_matrix": smacof_b_matrix,
-    "weight_row_sums": weight_row_sums, "smacof_step": smacof_step, "wmds_step": wmds_step,
+    "weight_row_sums": weight_row_sums, "smacof_step": smacof_step, "wmds_step": wmds_step, "matrix_product": matrix_product,
 }
 
 _SAMPLE = f"sm AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT id FROM pl ORDER BY {mixed_sql('id', seed=1)}, id LIMIT (SELECT 10 + CAST(floor(sqrt(count(*))) AS BIGINT) FROM pl)))"
@@ -124,6 +130,8 @@ SQL = {
     "smacof_b_matrix": _diagonal(B, "b"),
     "weight_row_sums": f"WITH {BOTH_WAYS} SELECT i, {near_sql('sum(w)')} AS v FROM sy GROUP BY i",
     "smacof_step": f"""WITH {BOTH_WAYS} SELECT i AS id, {near_sql(f'sum(-({B}) * (xi - xj)) / {N}')} AS x, {near_sql(f'sum(-({B}) * (yi - yj)) / {N}')} AS y FROM sy GROUP BY i""",
+    "matrix_product": f"""WITH {BOTH_WAYS}, b AS (SELECT i, j, {B} AS b FROM sy UNION ALL SELECT i, i, -sum({B}) FROM sy GROUP BY i)
+        SELECT i AS id, {near_sql('sum(b * x)')} AS x, {near_sql('sum(b * y)')} AS y FROM b JOIN pl ON j = pl.id GROUP BY i""",
     "wmds_step": f"""WITH {BOTH_WAYS} SELECT i AS id, {near_sql(f'any_value(xi) - sum(({G}) * (xi - xj)) / (2 * sum(w))')} AS x,
         {near_sql(f'any_value(yi) - sum(({G}) * (yi - yj)) / (2 * sum(w))')} AS y FROM sy GROUP BY i""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dissimap.model import dense_index
-from dissimap.operators import align, majorize, spectral
+from dissimap.operators import align, force, majorize, spectral
 from dissimap.operators.distance import euclidean_distance
 from dissimap.plans import layouts
 from dissimap.queries.graphs import LARGEST, K
@@ -73,18 +73,23 @@ def _good(points, bound):
 
 
 #: Normalised stress that the layouts of the plane stay under.
-BOUNDS = {"force": 1e-3, "neighbours": 1e-3, "sampled": 0.05, "pivots": 0.05, "isomap": 0.05, "rkisomap": 0.1}
+BOUNDS = {"force": 1e-3, "neighbours": 1e-3, "sampled": 1e-3, "pivots": 1e-3, "isomap": 5e-3}
 
 
 def isomap_layout(spark, d):
     """The largest connected part of the plane's neighbourhood graph, unrolled."""
-    return _good(layouts.unroll(cut(full_pairs(spark, d)), K, component="largest").flat(), 1.0)
+    return _good(layouts.unroll(cut(plane_pairs(spark, d)), K, component="largest").flat(), BOUNDS["isomap"])
 
 
 def _scored(method, **options):
     return lambda spark, d: _good(layouts.lay_out(plane_pairs(spark, d), method, 2, **options).flat(), BOUNDS[method])
 
 
+def fdmds_energy(spark, d):
+    """The kinetic energy after each step of fdmds."""
+    return force.force_energies(cut(plane_pairs(spark, d)))
+
+
 def rkisomap_layout(spark, d):
     """The largest part of the robust neighbourhood graph, with the layout's stress against the geodesics."""
     return layouts.unroll(cut(plane_pairs(spark, d)), K, robust=True, component="largest").flat()
@@ -95,7 +100,7 @@ def flagship(spark, d):
     return layouts.lay_out_points(full(spark, d)).flat()
 
 
-QUERIES = {f.__name__: f for f in (flagship, cmds, cmds_distributed, smds, smds_variance_cutoff, smacof, wmds, lmds, imds, isomap_layout, rkisomap_layout)}
+QUERIES = {f.__name__: f for f in (flagship, cmds, cmds_distributed, smds, smds_variance_cutoff, smacof, wmds, lmds, imds, isomap_layout, rkisomap_layout, fdmds_energy)}
 QUERIES |= {"fdmds": _scored("force"), "cha96mds": _scored("neighbours"), "sqmds": _scored("sampled"), "sqpmds": _scored("pivots")}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
 import shutil
 import tempfile
@@ -10,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger(__name__)
+
 
 def local_session(cores: int | str = 8, name: str = "dissimap", **conf: str) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
@@ -87,6 +90,15 @@ def clean(spark: SparkSession) -> int:
     return len(paths)
 
 
+def sql(spark: SparkSession, statement: str, **args) -> DataFrame:
+    """spark.sql(), the statement being logged first, and its plan on level debug."""
+    log.info("%s", statement)
+    df = spark.sql(statement, **args)
+    if log.isEnabledFor(logging.DEBUG):
+        log.debug("%s", df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+    return df
+
+
 def input_partitions(df: DataFrame) -> int:
     """Partitions of df: of a scan, known without reading it."""
     return df.rdd.getNumPartitions()

@@ -90,6 +90,19 @@ def test_layouts_run_as_many_rounds_as_points_by_default(spark, monkeypatch):
     assert asked == [{}] * 4
 
 
+def test_records_of_solvers(spark, pairs):
+    got = [r.energy for r in force.force_energies(pairs, iterations=3).orderBy("iteration").collect()]
+    ids = pairs.selectExpr("explode(array(i, j)) AS id").distinct()
+    s = force.random_points(ids, 3).selectExpr("id", "x", "transform(x, e -> 0d) AS v")
+    for k, e in enumerate(got, 1):
+        s = force.force_step(pairs, s, 3, pull=0.5 * k / 3).cache()
+        assert force.kinetic_energy(s).first().energy == pytest.approx(e)
+    record = []
+    start = force.random_points(ids, 2)
+    majorize.smacof(pairs, 2, init=start, max_iterations=4, stress_tolerance=0.0, record=record)
+    assert [k for k, _ in record] == list(range(5)) and all(b < a for (_, a), (_, b) in zip(record, record[1:]))
+
+
 def test_layout_limits(spark, pairs):
     with pytest.raises(ValueError):
         hybrid.sampled_layout(pairs, 3)
