@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dissimap.session import cut, input_partitions
+from dissimap.session import input_partitions
 
 #: Keys that join_hot() may broadcast.
 MOST_HOT = 1000
@@ -87,9 +87,8 @@ def keyed_moments(
 def heavy_keys(df: DataFrame, keys: list[str], value: str, share: float = 0.015, **kw) -> DataFrame:
     """The non-null keys of keyed_moments() that hold at least `share` of all rows of df, with their statistics and
     row_share. Rows count as they are, null keys and values too."""
-    out = cut(keyed_moments(df, keys, value, **kw))
-    total = out.where(F.col("key_kind") == keys[0]).agg(F.sum("n_rows")).first()[0] or 0  # each row has one value of each key
-    out = out.where(F.col("key_id").isNotNull())
+    total = df.count()  # of a Parquet table, from its footers
+    out = keyed_moments(df, keys, value, **kw).where(F.col("key_id").isNotNull())
     return out.withColumn("row_share", F.col("n_rows") / F.lit(float(max(total, 1)))).where(F.col("n_rows") >= F.lit(share * total))
 
 
