@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dissimap.llm.commit_text import words
-from dissimap.session import cut
+from dissimap.session import cut, drop
 
 #: Labelled documents that seed the factors, at most; subjects, at most.
 MOST_LABELLED, MOST_SUBJECTS = 10_000, 256
@@ -55,17 +56,32 @@ def _numbers(shared):
     return run
 
 
-def mixtures(start: np.ndarray, terms: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The mixture of each document (a row of non-negative weights, one for each factor, that sum to its number of words) and each
-    word's share of each factor: multiplicative updates with the factors held. start: where each document's words begin
-    in terms, and their number at the end. factors: words x factors."""
+@dataclass
+class Factors:
+    """The subjects' factors of the words that have any; all other words belong to the rest alone, whatever their number, and say nothing about a mixture's
+    subjects."""
+
+    at: np.ndarray  # each word's row in f, -1 if it belongs to the rest
+    f: np.ndarray  # words x subjects
+
+    def own(self, start: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of documents' words, those with factors, as rows of f."""
+        row = self.at[terms]
+        have = row >= 0
+        return np.r_[0, np.cumsum(have)][start], row[have]
+
+
+def mixtures(start: np.ndarray, rows: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mixture of each document (a row of non-negative weights, one for each subject, that sum to its number of words with factors) and each
+    word's share of each subject: multiplicative updates with the factors held. start: where each document's words begin
+    in rows (of f), and their number at the end."""
     n = len(start) - 1
-    row = np.repeat(np.arange(n), np.diff(start))
-    f = factors[terms]
-    w = np.ones((n, factors.shape[1]))
-    p = np.zeros_like(f)
+    doc = np.repeat(np.arange(n), np.diff(start))
+    g = f[rows]
+    w = np.ones((n, f.shape[1]))
+    p = np.zeros_like(g)
     for _ in range(INNER):
-        p = w[row] * f
+        p = w[doc] * g
         p /= p.sum(1, keepdims=True) + 1e-300
         total = np.vstack([np.zeros(p.shape[1]), np.cumsum(p, 0)])
         w = np.maximum(total[start[1:]] - total[start[:-1]], 0) + 1e-9
@@ -82,40 +98,55 @@ def _batches(batches: Iterator[pa.RecordBatch]):
 
 
 def _update(shared, least: float, grow: bool):
-    """Sums for the words' factors over a partition: the documents' mixtures (grow), or the words' shares."""
+    """Sums for the words' factors over a partition: of all words by the documents' mixtures (grow), or of the words with factors by their shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = shared.value
-        k = factors.shape[1] - 1
-        sums = np.zeros((len(factors), k))
+        factors: Factors = shared.value
+        k = factors.f.shape[1]
+        names = np.arange(len(factors.at)) if grow else np.flatnonzero(factors.at >= 0)
+        sums = np.zeros((len(factors.at) if grow else len(factors.f), k))
         for _, start, terms in _batches(batches):
-            w, p = mixtures(start, terms, factors)
+            own, rows = factors.own(start, terms)
+            w, p = mixtures(own, rows, factors.f)
             if grow:
-                has = np.where(w[:, :k] >= least, w[:, :k], 0)
+                has = np.where(w >= least, w, 0)
                 theta = has / np.maximum(has.sum(1, keepdims=True), 1e-12)
-                p = theta[np.repeat(np.arange(len(theta)), np.diff(start))]
+                some = np.repeat(theta.any(1), np.diff(start))
+                p, rows = theta[np.repeat(np.arange(len(theta)), np.diff(start))[some]], terms[some]
             for s in range(k):
-                sums[:, s] += np.bincount(terms, p[:, s], len(factors))
+                sums[:, s] += np.bincount(rows, p[:, s], len(sums))
         some = np.flatnonzero(sums.sum(1) > 1e-9)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(sums[some, s]) for s in range(k))], ["term", *(f"s{s}" for s in range(k))])
+        yield pa.RecordBatch.from_arrays([pa.array(names[some].astype(np.int32)), *(pa.array(sums[some, s]) for s in range(k))], ["term", *(f"s{s}" for s in range(k))])
 
     return run
 
 
 def _found(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = shared.value
+        factors: Factors = shared.value
         for ids, start, terms in _batches(batches):
-            w, _ = mixtures(start, terms, factors)
-            w = w[:, :-1]
+            w, _ = mixtures(*factors.own(start, terms), factors.f)
             row, s = np.nonzero(w >= least)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(s.astype(np.int32)), pa.array(w[row, s])], ["doc_id", "s", "weight"])
 
     return run
 
 
-def _seed(labelled: list, subjects: list[str], terms: dict[str, int], df: np.ndarray) -> np.ndarray:
-    """words x (subjects, rest): the first factors, which hold the seeding words alone."""
+def _owners(shared, base: np.ndarray):
+    """The words that subjects own, with their sums for these subjects; of sums (term, s0, s1, ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = np.column_stack([np.asarray(c) for c in b.columns[1:]]) if b.num_rows else np.empty((0, b.num_columns - 1))
+            sums = _owned(sums, shared.value[np.asarray(b.column(0))], base)
+            some = np.flatnonzero(sums.any(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), *(pa.array(sums[some, s]) for s in range(sums.shape[1]))], b.schema.names)
+
+    return run
+
+
+def _seed(labelled: list, subjects: list[str], terms: dict[str, int], df: np.ndarray) -> Factors:
+    """The first factors, which hold the seeding words alone."""
     at = {s: i for i, s in enumerate(subjects)}
     c, n = np.zeros((len(df), len(subjects))), np.zeros(len(df))
     for r in labelled:
@@ -125,23 +156,25 @@ def _seed(labelled: list, subjects: list[str], terms: dict[str, int], df: np.nda
         for s in own:
             c[ids, s] += 1 / len(own)
     ok = (n[:, None] >= SEED_DOCUMENTS) & (c >= SEED_SHARE * np.maximum(n, 1)[:, None])
-    own = np.where(ok, df[:, None], 0.0)
-    return _normal(np.column_stack([own, np.where(ok.any(1), 0.0, df)]))
+    some = np.flatnonzero(ok.any(1))
+    return _factors(some, np.where(ok, df[:, None], 0.0)[some], df)
 
 
-def _normal(f: np.ndarray) -> np.ndarray:
-    return f / np.maximum(f.sum(0, keepdims=True), 1e-300)
+def _factors(terms: np.ndarray, sums: np.ndarray, df: np.ndarray) -> Factors:
+    """Factors that sum to 1 for each subject."""
+    at = np.full(len(df), -1, np.int32)
+    at[terms] = np.arange(len(terms))
+    return Factors(at, sums / np.maximum(sums.sum(0, keepdims=True), 1e-300))
 
 
-def _owned(sums: np.ndarray, df: np.ndarray) -> np.ndarray:
+def _owned(sums: np.ndarray, df: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """sums of words for the subjects that own them, 0 elsewhere. base: each subject's part of the corpus."""
     total = sums.sum(1, keepdims=True)
     share = sums / np.maximum(total, 1e-12)
-    base = np.minimum(sums.sum(0) / max(sums.sum(), 1e-12), 1 - 1e-9)
     odds = OWN_ODDS * base / (1 - base)
     own = (share >= np.maximum(OWN_SHARE, odds / (1 + odds))) & (total >= np.maximum(LEAST_DOCUMENTS, SETTLED_SHARE * df[:, None]))
     ok = (np.where(own, share, 0).sum(1) >= OWNED_SHARE) & (own.sum(1) <= OWNERS)
-    own &= ok[:, None]
-    return _normal(np.column_stack([np.where(own, sums, 0.0), np.where(ok, 0.0, df)]))
+    return np.where(own & ok[:, None], sums, 0.0)
 
 
 def subject_areas(
@@ -181,17 +214,20 @@ def subject_areas(
     factors = _seed(sample, names, terms, df)
     k = len(names)
     kind = "term int, " + ", ".join(f"s{s} double" for s in range(k))
+    counts = sc.broadcast(df)
     for i in range(sum(rounds)):
         grow = i < rounds[0]
         got = numbered.mapInArrow(_update(sc.broadcast(factors), least_words, grow), kind)
         got = got.groupBy("term").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)])
-        sums = np.zeros((len(df), k))
-        for r in got.toLocalIterator():  # a row for each word of the vocabulary
-            sums[r[0]] = r[1:]
         if grow:
-            factors = _owned(sums, df)
+            got = cut(got)
+            whole = np.array(got.agg(*[F.coalesce(F.sum(f"s{s}"), F.lit(0.0)) for s in range(k)]).first(), float)
+            base = np.minimum(whole / max(whole.sum(), 1e-12), 1 - 1e-9)
+            found = got.mapInArrow(_owners(counts, base), kind).toArrow()  # a row for each word that a subject owns
+            drop(got)
         else:
-            rest = np.where(factors[:, k] > 0, np.maximum(df - sums.sum(1), 0), 0)
-            factors = _normal(np.column_stack([sums, rest]))
+            found = got.toArrow()  # of such words again
+        order = np.argsort(np.asarray(found["term"]))
+        factors = _factors(np.asarray(found["term"])[order], np.column_stack([np.asarray(found[f"s{s}"])[order] for s in range(k)]), df)
     out = numbered.mapInArrow(_found(sc.broadcast(factors), least_words), "doc_id bigint, s int, weight double")
     return out.select("doc_id", F.get(F.array(*map(F.lit, names)), "s").alias("subject"), "weight")
