@@ -101,6 +101,39 @@ def test_hull_matches_half_planes(spark):
     assert [p.point_id for p in views.get_hull(views.convex_hull(line).select("point_id", "cyclic_order"), line).collect()] == [0, 4]
 
 
+def test_corners_of_many_points():
+    r = np.random.default_rng(8)
+    for x in (r.normal(size=(500, 2)), np.round(r.normal(size=(500, 2)), 1), np.column_stack([np.arange(100.0), np.zeros(100)]), r.integers(0, 4, (200, 2)).astype(float)):
+        h = x[views.chain(np.arange(len(x)), x[:, 0], x[:, 1])]
+        assert len(h) == len(np.unique(h, axis=0)) and (len(h) > 2 or len(np.unique(x[:, 1])) == 1)
+        for a, b in zip(h, np.roll(h, -1, 0)):
+            side = (b[0] - a[0]) * (x[:, 1] - a[1]) - (b[1] - a[1]) * (x[:, 0] - a[0])
+            assert (side >= -1e-12).all()
+        assert set(map(tuple, h)) >= {tuple(x[np.lexsort((x[:, 1], x[:, 0]))[k]]) for k in (0, -1)}
+
+
+def test_boxes_of_any_size_find_their_nearest(spark):
+    r = np.random.default_rng(6)
+    x = r.uniform(-5, 5, size=(80, 2))
+    half = 10 ** r.uniform(-3, 3, size=80)
+    half[:4] = [1.0, 2.0, 0.0, math.inf]
+    items = spark.createDataFrame([(i, float(a), float(b), 1, 1.0, 0.0, 1.0) for i, (a, b) in enumerate(x)] + [(900, None, 1.0, 1, 1.0, 0.0, 1.0)], ITEM)
+    boxes = spark.createDataFrame([(i, float(x[i, 0]), float(x[i, 1]), float(half[i])) for i in range(80)], "id bigint, x double, y double, half double")
+    want = set()
+    for i in range(80):
+        if 0 < half[i] < math.inf:
+            inside = [j for j in range(80) if j != i and (np.abs(x[j] - x[i]) <= half[i]).all()]
+            want |= {(i, j) for j in sorted(inside, key=lambda j: (((x[j] - x[i]) ** 2).sum(), j))[:5]}
+    assert {(r.id, r.other) for r in layout.box_neighbours(boxes, items, 5).collect()} == want
+    assert layout.box_neighbours(boxes.limit(0), items, 5).count() == 0
+
+
+def test_mean_distances_of_items(spark):
+    rel = spark.createDataFrame([(1, 2, 4.0), (1, 3, 2.0), (2, 3, None), (3, 4, math.nan)], "a bigint, b bigint, distance double")
+    got = {r.item_id: (r.relation_count, r.distance_mean) for r in ratings.item_distances(rel).collect()}
+    assert got == {1: (2, 3.0), 2: (1, 4.0), 3: (1, 2.0)}
+
+
 RELATION = "a bigint, b bigint, distance_mean double, sample_count bigint"
 
 
