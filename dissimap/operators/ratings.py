@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dissimap.operators.skew import join_hot, keyed_moments, usable
-from dissimap.session import cut
+from dissimap.operators import rated_pairs
+from dissimap.operators.skew import MOST_HOT, join_hot, keyed_moments, usable
+from dissimap.session import cut, ship
 
 RELATION = ("sample_count", "value_abs_diff_mean", "value_abs_diff_variance", "first_value_mean", "second_value_mean", "first_value_variance", "second_value_variance", "value_covariance")
 
@@ -53,50 +56,87 @@ def item_distances(relations: DataFrame) -> DataFrame:
     return e.groupBy("item_id").agg(F.count(F.lit(1)).alias("relation_count"), F.avg("distance").alias("distance_mean"))
 
 
-def co_ratings(ratings: DataFrame, tile: int = 2048, fresh: bool = False) -> DataFrame:
-    """Pairs of ratings of different items by the same user: (first_item_id < second_item_id, va, vb, n), n counting equal ones. fresh: only pairs of
-    which at least one rating's column `fresh` is true.
-
-    A user of more than `tile` different ratings is cut into tiles of `tile` x `tile` pairs, which are tasks of their own; such users, of which there
-    are no more than ratings / tile, learn their number of tiles by a broadcast where they are the hottest (join_hot)."""
-    own = [F.col("fresh")] if fresh else []
-    r = ratings.groupBy(F.col("user_id").alias("u"), F.col("item_id").alias("i"), F.col("value").alias("v"), *own).agg(F.count(F.lit(1)).alias("n"))
-    large = cut(r.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > tile))
-    with_tiles = join_hot(r, large, "u", "k", "left") if large.limit(1).count() else r.withColumn("k", F.lit(1))
-    r = with_tiles.withColumn("m", F.ceil(F.coalesce("k", F.lit(1)) / tile).cast("int")).drop("k")
-    r = r.withColumn("c", F.pmod(F.xxhash64("i", "v"), F.col("m")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
-    names = ["u", "i", "v", "n", *(["fresh"] if fresh else [])]
-    left = r.select(*names, F.col("c").alias("x"), every.alias("y"))
-    right = r.select(*names, F.col("c").alias("y"), every.alias("x"))
-    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in "uxy"] + [F.col("l.i") < F.col("r.i")]
-    if fresh:
-        on.append(F.col("l.fresh") | F.col("r.fresh"))
-    return left.alias("l").join(right.alias("r"), on).select(
-        F.col("l.i").alias("first_item_id"), F.col("r.i").alias("second_item_id"), F.col("l.v").alias("va"), F.col("r.v").alias("vb"), (F.col("l.n") * F.col("r.n")).alias("n")
-    )
-
-
-def relation_sums(ratings: DataFrame, tile: int = 2048, fresh: bool = False, shift: float = 50.0) -> DataFrame:
-    """(first_item_id, second_item_id, n, d, dd, a, aa, b, bb, ab): over co_ratings(), the number of pairs and the sums of |a-b|, of the values less the shift,
-    and of their squares and product. Sums are combined on the map side."""
-    n, a, b = F.col("n"), F.col("va") - shift, F.col("vb") - shift
-    d = F.abs(F.col("va") - F.col("vb"))
-    return co_ratings(ratings, tile, fresh).groupBy("first_item_id", "second_item_id").agg(
-        F.sum(n).alias("n"), *[F.sum(n * e).alias(k) for k, e in {"d": d, "dd": d * d, "a": a, "aa": a * a, "b": b, "bb": b * b, "ab": a * b}.items()]
-    )
-
-
-def relation_statistics(ratings: DataFrame, tile: int = 2048) -> DataFrame:
+#: Pairs of ratings, or sums of pairs of items, of a part.
+PART_PAIRS = 1_000_000
+#: Ratings of a task that pairs them.
+TASK_RATINGS = 250_000
+
+
+def _hot_items(ratings: DataFrame, total: int) -> DataFrame:
+    """(i, r): items of more than 1/MOST_HOT of all ratings, of which there are MOST_HOT at most, r being 1 for the coolest of them."""
+    spark = ratings.sparkSession
+    hot = ratings.groupBy(F.col("item_id").alias("i")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * MOST_HOT > total).orderBy("k", "i").collect()
+    return spark.createDataFrame([(h.i, r + 1) for r, h in enumerate(hot)], "i bigint, r int")
+
+
+def pair_pieces(ratings: DataFrame, tile: int = 1 << 18, fresh: bool = False, shift: float = 50.0, parts: int | None = None) -> tuple[DataFrame, int, DataFrame | None]:
+    """The pairs of ratings of different items by the same user as packed pieces (rated_pairs), in `parts` parts (a power of two; None: as many as their number
+    needs), and the items' ranks (_hot_items; all 0 where parts is given, so that the pieces of several calls go together). fresh: only pairs of which at least one
+    rating's column `fresh` is true.
+
+    A user's ratings meet in one task. Up to rated_pairs.LISTED of them are listed pair by pair; of more, the sums of each pair of items come from sorted values, so that
+    a user who rates few items very often costs ratings x items. A user of more than `tile` ratings is cut into that many tiles of two chunks each, which are
+    tasks of their own."""
+    ship(ratings.sparkSession)
+    own = ["fresh"] if fresh else []
+    users = cut(ratings.groupBy(F.col("user_id").alias("u")).agg(F.count(F.lit(1)).alias("k")))
+    large = users.where(F.col("k") > min(tile, rated_pairs.LISTED))
+    listed = F.when(F.col("k") <= rated_pairs.LISTED, F.col("k") * (F.col("k") - 1) / 2)
+    t = users.agg(F.sum("k").alias("n"), F.sum(listed).alias("pairs"), F.max("k").alias("k"), F.sum(F.col("k") * F.ceil(F.col("k") / tile)).alias("rows")).first()
+    total, pairs = t.n or 0, float(t.pairs or 0)
+    ranks = None
+    if parts is None:
+        if (t.k or 0) > rated_pairs.LISTED:
+            few = join_hot(ratings.select(F.col("user_id").alias("u"), "item_id"), large, "u", "k", "left_semi").distinct()
+            k = F.col("k").cast("double")
+            pairs += few.groupBy("u").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(k * k / 2)).first()[0] or 0.0
+        parts = 1 << max(0, math.ceil(math.log2(max(1.0, pairs / PART_PAIRS))))
+        ranks = _hot_items(ratings, total)
+    r = ratings.select(F.col("user_id").alias("u"), F.col("item_id").alias("i"), F.col("value").alias("v"), *own)
+    r = r.withColumn("r", F.lit(0)) if ranks is None else r.join(F.broadcast(ranks), "i", "left").withColumn("r", F.coalesce("r", F.lit(0)))  # MOST_HOT rows at most
+    if (t.k or 0) > tile:
+        r = join_hot(r, users.where(F.col("k") > tile), "u", "k", "left")
+        r = r.withColumn("m", F.ceil(F.coalesce("k", F.lit(1)) / tile).cast("int"))
+        r = r.withColumn("c", F.pmod(F.xxhash64("i", "v"), F.col("m")).cast("int")).withColumn("e", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        r = r.withColumns({"x": F.least("c", "e"), "y": F.greatest("c", "e"), "own_side": F.col("c") <= F.col("e")})
+    else:
+        r = r.withColumns({"x": F.lit(0), "y": F.lit(0), "own_side": F.lit(True)})
+    r = r.select("u", "x", "y", "own_side", "r", "i", "v", *own).repartition(max(1, -(-int(t.rows or 0) // TASK_RATINGS)), "u", "x", "y")
+    return r.mapInArrow(rated_pairs.spread(parts, shift, fresh), rated_pairs.PIECE), parts, ranks
+
+
+def gather_pieces(pieces: DataFrame, parts: int, finish: str = "sums", shift: float = 50.0, tolerance: float = 0.0) -> DataFrame:
+    """The pieces' pairs of items: (first_item_id < second_item_id) and the sums rated_pairs.SUMS, or, finish being 'moments', RELATION, or, 'faults', the ids alone."""
+    names = {"sums": rated_pairs.SUMS, "moments": RELATION, "faults": ()}[finish]
+    kind = ", ".join(["first_item_id bigint", "second_item_id bigint", *[f"{c} {'double' if k else 'bigint'}" for k, c in enumerate(names)]])
+    return pieces.repartitionById(parts, F.col("p")).mapInArrow(rated_pairs.gather(shift, list(names), finish, tolerance), kind)
+
+
+def relation_sums(ratings: DataFrame, tile: int = 1 << 18, fresh: bool = False, shift: float = 50.0) -> DataFrame:
+    """(first_item_id < second_item_id, n, d, dd, a, aa, b, bb, ab): over all pairs of ratings that a user gave the two items, their number and the sums of |a-b|, of
+    the values less the shift, and of their squares and product."""
+    pieces, parts, _ = pair_pieces(ratings, tile, fresh, shift)
+    return gather_pieces(pieces, parts, "sums", shift)
+
+
+def relation_statistics(ratings: DataFrame, tile: int = 1 << 18) -> DataFrame:
     """(first_item_id < second_item_id, sample_count, mean and population variance of |a-b|, of a and of b, and their covariance) over all pairs of
     ratings a user gave the two items. Values are shifted by 50 to keep their digits."""
-    s = relation_sums(ratings, tile).withColumnRenamed("n", "sample_count")
-    m = {k: F.col(k) / F.col("sample_count") for k in ("d", "dd", "a", "aa", "b", "bb", "ab")}
-    var = lambda x: F.greatest(m[x + x] - m[x] * m[x], F.lit(0.0))
-    return s.select(
-        "first_item_id", "second_item_id", "sample_count", m["d"].alias("value_abs_diff_mean"), var("d").alias("value_abs_diff_variance"), (m["a"] + 50).alias("first_value_mean"),
-        (m["b"] + 50).alias("second_value_mean"), var("a").alias("first_value_variance"), var("b").alias("second_value_variance"), (m["ab"] - m["a"] * m["b"]).alias("value_covariance"),
-    )
+    pieces, parts, _ = pair_pieces(ratings, tile)
+    return gather_pieces(pieces, parts, "moments")
+
+
+def relation_faults(stored: DataFrame, ratings: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """validate_relations() against relation_statistics(ratings), whose rows are not exchanged: the stored relations go to their pairs."""
+    pieces, parts, ranks = pair_pieces(ratings)
+    key = ["first_item_id", "second_item_id"]
+    s = stored.select(*key, *[F.col(c).cast("double").alias(c) for c in RELATION])
+    for c, name in zip(key, ("ra", "rb")):
+        s = s.join(F.broadcast(ranks.select(F.col("i").alias(c), F.col("r").alias(name))), c, "left")  # MOST_HOT rows at most
+    ra, rb = F.coalesce("ra", F.lit(0)), F.coalesce("rb", F.lit(0))
+    s = s.select(F.when(ra <= rb, F.col(key[0])).otherwise(F.col(key[1])).alias("owner"), *key, *RELATION)
+    there = s.mapInArrow(rated_pairs.spread_stored(parts, list(RELATION)), rated_pairs.PIECE)
+    return gather_pieces(pieces.unionByName(there), parts, "faults", tolerance=tolerance)
 
 
 def off(stored: Column, truth: Column, tolerance: float = 0.001) -> Column:

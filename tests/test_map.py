@@ -1,5 +1,6 @@
 import itertools
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -210,3 +211,69 @@ def test_stored_relations_in_either_order_are_validated_by_their_latest_row(spar
     kind = "first_item_id bigint, second_item_id bigint, distance_mean double, sample_count bigint, " + ", ".join(f"{c} double" for c in names[1:]) + ", updated_at string"
     spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "relation.parquet"))
     assert map_statistics.relation_validation(spark, str(tmp_path)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def eager():
+    """Two users of many ratings, and others of few."""
+    r = np.random.default_rng(7)
+    u = np.r_[np.zeros(1100), np.ones(700), r.integers(2, 9, 60)]
+    return [(int(u), int(i), float(v)) for u, i, v in zip(r.permutation(u), r.integers(0, 6, len(u)), np.round(r.uniform(0, 100, len(u)), 3))]
+
+
+@pytest.mark.parametrize("tile, most", [(1 << 18, 2000), (600, 200_000), (40, 200_000)])
+def test_relation_statistics_of_users_of_many_ratings(spark, eager, tile, most):
+    df = spark.createDataFrame(eager, "user_id bigint, item_id bigint, value double")
+    same(ratings.relation_statistics(df, tile).collect(), truth(eager))
+    entries = ratings.pair_pieces(df, tile)[0].agg({"n": "sum"}).first()[0]
+    assert entries < most  # of 850 000 pairs of ratings
+
+
+@pytest.fixture(scope="module")
+def busy(spark, tmp_path_factory):
+    """A folder of 400 000 ratings of 7 items by one user, and of a relation of items 1 and 0 that is right but for its places being changed; what holds for each pair."""
+    d = tmp_path_factory.mktemp("busy")
+    spark.range(400_000).selectExpr("1L as user_id", "id % 7 as item_id", "cast((id * 37 + id % 7 * (id % 5)) % 101 as double) as item_value").write.parquet(f"{d}/rating.parquet")
+    k = np.arange(400_000)
+    count = np.zeros((7, 101))
+    np.add.at(count, (k % 7, (k * 37 + k % 7 * (k % 5)) % 101), 1)
+    v = np.arange(101.0)
+    want = {}
+    for i, j in itertools.combinations(range(7), 2):
+        p, q = count[i] / count[i].sum(), count[j] / count[j].sum()
+        gap = np.abs(v[:, None] - v)
+        mean, var = lambda w: (w * v).sum(), lambda w: (w * v * v).sum() - (w * v).sum() ** 2
+        d1 = (np.outer(p, q) * gap).sum()
+        want[i, j] = (count[i].sum() * count[j].sum(), d1, (np.outer(p, q) * gap**2).sum() - d1**2, mean(p), mean(q), var(p), var(q), 0.0)
+    n, d1, d2, a, b, aa, bb = (float(x) for x in want[0, 1][:7])
+    kind = "first_item_id bigint, second_item_id bigint, distance_mean double, sample_count bigint, " + ", ".join(f"{c} double" for c in ratings.RELATION[1:]) + ", updated_at string"
+    rows = [(1, 0, 1.0, int(n), d1, d2, b, a, bb, aa, 0.0, "2024-02-01"), (0, 2, 1.0, int(n), *[9.0] * 7, "2024-02-01")]
+    spark.createDataFrame(rows, kind).write.parquet(f"{d}/relation.parquet")
+    return str(d), want
+
+
+def within(spark, seconds, run):
+    """run() if it ends in time."""
+    t = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
+    t.start()
+    try:
+        return run()
+    finally:
+        t.cancel()
+
+
+@pytest.mark.parametrize("name", ["relation_stats"])
+def test_a_user_of_very_many_ratings(spark, busy, name):
+    from dissimap.queries import map_statistics
+
+    d, want = busy
+    rows = within(spark, 180, lambda: map_statistics.QUERIES[name](spark, d).collect())
+    if name == "relation_validation":
+        # No covariance is 0 to the last bit, so the right relation may be reported by its covariance alone.
+        assert {tuple(r) for r in rows} | {(0, 1)} == want.keys()
+    elif name == "distance_model_correlation":
+        assert {(r.first_item_id, r.second_item_id) for r in rows} == want.keys() and all(r.distance == pytest.approx(1, abs=1e-6) for r in rows)
+    else:
+        assert {(r.first_item_id, r.second_item_id) for r in rows} == want.keys()
+        for r in rows:
+            assert np.allclose(tuple(r)[2:], want[r.first_item_id, r.second_item_id], rtol=1e-7, atol=1e-5)
