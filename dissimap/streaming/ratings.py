@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import logging
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dissimap.operators.ratings import RELATION, item_statistics, merge_statistics, relation_statistics, relation_sums, validate_items, validate_relations
+from dissimap.operators.rated_pairs import PIECE
+from dissimap.operators.ratings import PART_PAIRS, RELATION, gather_pieces, item_statistics, merge_statistics, pair_pieces, relation_statistics, validate_items, validate_relations
 
 QUEUE = "user_id bigint, item_id bigint, value double"
 MOVED = "id bigint, x double, y double, vx double, vy double"
+#: Parts of the relations' increments, a power of two; relations() puts parts together while they are small.
+RELATION_PARTS = 1024
 
 log = logging.getLogger(__name__)
 
@@ -31,8 +35,9 @@ def run_stream(writer, recursive: bool) -> None:
 
 
 class RatingMap:
-    """Ratings and statistics as tables in a folder: queue/ (appended files), ratings/, items/ and relations/, the last two in a new folder for each
-    batch. A batch that is run again after a failure writes the same folder again, so its ratings count once.
+    """Ratings and statistics as tables in a folder: queue/ (appended files), ratings/, items/ and relations/, with a new folder for each batch: of items/ all
+    statistics, of relations/ what the batch adds to them (packed pairs, see rated_pairs), which relations() sums. A batch that is run again after a failure
+    writes the same folder again, so its ratings count once.
 
     A batch counts its own ratings and the pairs that they make, with each other and with older ratings of the same users; what older ratings make among
     themselves is not counted again. relations=False keeps items only. file_rows: the most ratings of a queued file, which is the unit of batches.
@@ -66,7 +71,6 @@ class RatingMap:
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{table}/batch={batch}")
 
     ITEMS = "item_id bigint, n bigint, m_v double, c_v_v double"
-    RELATIONS = "first_item_id bigint, second_item_id bigint, n bigint, m_d double, m_a double, m_b double, c_d_d double, c_a_a double, c_b_b double, c_a_b double"
 
     # The queue
 
@@ -108,24 +112,17 @@ class RatingMap:
         fresh = fresh.select("item_id", F.col("sample_count").alias("n"), F.col("value_mean").alias("m_v"), (F.col("value_variance") * F.col("sample_count")).alias("c_v_v"))
         items = merge_statistics(self._read("items", last, self.ITEMS), fresh, ["item_id"])
         if self.with_relations:
-            rel = merge_statistics(self._read("relations", last, self.RELATIONS), self._relations(new, batch), ["first_item_id", "second_item_id"])
-            rel.write.mode("overwrite").parquet(f"{self.folder}/relations/batch={batch}")
+            self._relations(new, batch).write.mode("overwrite").parquet(f"{self.folder}/relations/batch={batch}")
         self.spark.createDataFrame([(batch, n)], "batch int, n bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/taken/part={batch}")
         items.write.mode("overwrite").parquet(f"{self.folder}/items/batch={batch}")  # last: it completes the batch
 
     def _relations(self, new: DataFrame, batch: int) -> DataFrame:
-        """Statistics of the pairs that a batch adds: new ratings with new ones, and with the same users' old ones."""
+        """The pairs that a batch adds: new ratings with new ones, and with the same users' old ones."""
         marked, before = new.withColumn("fresh", F.lit(True)), self.ratings(batch)
         if before is not None:
             old = before.join(new.select("user_id").distinct(), "user_id", "left_semi")
             marked = marked.unionByName(old.withColumn("fresh", F.lit(False)))
-        shift = 50.0
-        s, n = relation_sums(marked, fresh=True, shift=shift), F.col("n")
-        m = {c: F.col(c) / n for c in ("d", "a", "b")}
-        return s.select(
-            "first_item_id", "second_item_id", "n", m["d"].alias("m_d"), (m["a"] + shift).alias("m_a"), (m["b"] + shift).alias("m_b"), (F.col("dd") - m["d"] * F.col("d")).alias("c_d_d"),
-            (F.col("aa") - m["a"] * F.col("a")).alias("c_a_a"), (F.col("bb") - m["b"] * F.col("b")).alias("c_b_b"), (F.col("ab") - m["a"] * F.col("b")).alias("c_a_b"),
-        )
+        return pair_pieces(marked, fresh=True, parts=RELATION_PARTS)[0]
 
     # Results
 
@@ -143,11 +140,13 @@ class RatingMap:
 
     def relations(self) -> DataFrame:
         """As relation_statistics()."""
-        r, n = self._read("relations", self._last(), self.RELATIONS), F.col("n")
-        return r.select(
-            "first_item_id", "second_item_id", n.alias("sample_count"), F.col("m_d").alias("value_abs_diff_mean"), (F.col("c_d_d") / n).alias("value_abs_diff_variance"), F.col("m_a").alias("first_value_mean"),
-            F.col("m_b").alias("second_value_mean"), (F.col("c_a_a") / n).alias("first_value_variance"), (F.col("c_b_b") / n).alias("second_value_variance"), (F.col("c_a_b") / n).alias("value_covariance"),
-        )
+        last = self._last()
+        if last < 0 or not self._exists(f"{self.folder}/relations"):
+            return gather_pieces(self.spark.createDataFrame([], PIECE), 1, "moments")
+        p = self.spark.read.schema(PIECE + ", batch int").parquet(f"{self.folder}/relations").where(F.col("batch") <= last).drop("batch")
+        pairs = p.agg(F.sum("n")).first()[0] or 0
+        parts = min(RELATION_PARTS, 1 << max(0, math.ceil(math.log2(max(1.0, pairs / PART_PAIRS)))))
+        return gather_pieces(p.withColumn("p", F.col("p").bitwiseAND(parts - 1)), parts, "moments")
 
     def validate(self, tolerance: float = 0.001) -> None:
         """Raises ValueError if the statistics are not those of all ratings processed."""

@@ -229,6 +229,15 @@ def test_relation_statistics_of_users_of_many_ratings(spark, eager, tile, most):
     assert entries < most  # of 850 000 pairs of ratings
 
 
+def test_stream_of_users_of_many_ratings(spark, eager, tmp_path):
+    m = RatingMap(spark, f"file://{tmp_path}/map", file_rows=700)
+    m.queue_ratings(spark.createDataFrame(eager, "user_id bigint, item_id bigint, value double").coalesce(1))
+    assert m.process_rating_queue(batch_size=700, validate=True) == 0
+    same(m.relations().collect(), truth(eager))
+    # What a batch adds is kept, not all relations again.
+    assert spark.read.parquet(f"{tmp_path}/map/relations").agg({"n": "sum"}).first()[0] < 200_000
+
+
 @pytest.fixture(scope="module")
 def busy(spark, tmp_path_factory):
     """A folder of 400 000 ratings of 7 items by one user, and of a relation of items 1 and 0 that is right but for its places being changed; what holds for each pair."""
@@ -262,7 +271,7 @@ def within(spark, seconds, run):
         t.cancel()
 
 
-@pytest.mark.parametrize("name", ["relation_stats"])
+@pytest.mark.parametrize("name", ["relation_stats", "process_ratings_relations"])
 def test_a_user_of_very_many_ratings(spark, busy, name):
     from dissimap.queries import map_statistics
 
