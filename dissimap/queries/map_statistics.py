@@ -40,7 +40,7 @@ def relation_stats(spark, d):
 
 
 def relation_validation(spark, d):
-    return ratings.validate_relations(ratings.stored_relations(table(spark, d, "relation")), ratings.relation_statistics(_usable(spark, d)))
+    return ratings.relation_faults(ratings.stored_relations(table(spark, d, "relation")), _usable(spark, d))
 
 
 def _model(model):

@@ -271,7 +271,7 @@ def within(spark, seconds, run):
         t.cancel()
 
 
-@pytest.mark.parametrize("name", ["relation_stats", "process_ratings_relations"])
+@pytest.mark.parametrize("name", ["relation_stats", "process_ratings_relations", "relation_validation"])
 def test_a_user_of_very_many_ratings(spark, busy, name):
     from dissimap.queries import map_statistics
 
@@ -286,3 +286,16 @@ def test_a_user_of_very_many_ratings(spark, busy, name):
         assert {(r.first_item_id, r.second_item_id) for r in rows} == want.keys()
         for r in rows:
             assert np.allclose(tuple(r)[2:], want[r.first_item_id, r.second_item_id], rtol=1e-7, atol=1e-5)
+
+
+def test_stored_relations_go_to_their_pairs(spark):
+    """relation_faults() is validate_relations() against all statistics, hot items or not."""
+    r = np.random.default_rng(3)
+    rows = [(int(u), int(i), float(v)) for u, i, v in zip(r.integers(0, 40, 400), np.minimum(r.geometric(0.2, 400), 12), r.integers(0, 5, 400))]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, value double")
+    rel = ratings.relation_statistics(df).collect()
+    stored = [tuple(x) if k % 3 else (*tuple(x)[:2], None if k % 2 else x.sample_count + 1, *tuple(x)[3:]) for k, x in enumerate(rel) if k % 5]
+    stored += [(*s[:3], *s[3:-1], math.nan) for s in [tuple(rel[0])]] + [(100, 200, 1, *[1.0] * 7)]
+    s = spark.createDataFrame(stored, ", ".join(["first_item_id bigint", "second_item_id bigint", *[f"{c} {'double' if k else 'bigint'}" for k, c in enumerate(ratings.RELATION)]]))
+    got = {tuple(x) for x in ratings.relation_faults(s, df).collect()}
+    assert got == {tuple(x) for x in ratings.validate_relations(s, ratings.relation_statistics(df)).collect()} and 0 < len(got) < len(rel)
