@@ -271,7 +271,7 @@ def within(spark, seconds, run):
         t.cancel()
 
 
-@pytest.mark.parametrize("name", ["relation_stats", "process_ratings_relations", "relation_validation"])
+@pytest.mark.parametrize("name", ["relation_stats", "process_ratings_relations", "distance_model_correlation", "relation_validation"])
 def test_a_user_of_very_many_ratings(spark, busy, name):
     from dissimap.queries import map_statistics
 
