@@ -13,6 +13,8 @@ import pyarrow as pa
 
 PIECE = "p int, kind int, n bigint, raw bigint, data binary"
 SUMS = ("n", "d", "dd", "a", "aa", "b", "bb", "ab")
+#: The sums that a model's distance needs.
+MODEL_SUMS = {"abs_difference": ("n", "d"), "correlation": ("n", "a", "aa", "b", "bb", "ab")}
 #: Pieces of pairs of ratings, of sums of an item pair, of stored relations.
 PAIRS, SUMMED, STORED = 0, 1, 2
 #: Ratings of a group up to which all their pairs are listed; beyond, the sums come from its sorted values.
@@ -127,47 +129,51 @@ def _listed(rank, item, value, fresh, ends, parts) -> Iterator[pa.RecordBatch]:
         yield _pieces(made)
 
 
-def _meet(a: tuple, b: tuple, n_items: int, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray, dict]]:
+def _meet(a: tuple, b: tuple, n_items: int, within: bool, wanted: tuple[str, ...] = SUMS) -> Iterator[tuple[np.ndarray, np.ndarray, dict]]:
     """(owners, others, sums) of the pairs of ratings of a with ratings of b, each (item codes, shifted values); within: a is b, and each pair of items counts once. For
-    sorted values the sum of |x - y| over all x of an item follows from how many of them lie below y and their sum, so the work is ratings x items, not ratings squared."""
+    sorted values the sum of |x - y| over all x of an item follows from how many of them lie below y and their sum, so the work is ratings x items, not ratings squared.
+    Where no sum of |x - y| is wanted, it is ratings + pairs of items."""
     (ca, va), (cb, vb) = a, b
     if not len(va) or not len(vb):
         return
-    o = np.argsort(va, kind="stable")
-    ca, va = ca[o], va[o]
-    o = np.argsort(cb, kind="stable")
-    cb, vb = cb[o], vb[o]
-    from_b = np.flatnonzero(np.diff(cb, prepend=-1))
-    items_b = cb[from_b]
-    below = np.searchsorted(va, vb, "right")
+    gaps = "d" in wanted or "dd" in wanted
+    if gaps:
+        o = np.argsort(va, kind="stable")
+        ca, va = ca[o], va[o]
+        o = np.argsort(cb, kind="stable")
+        cb, vb = cb[o], vb[o]
+        from_b = np.flatnonzero(np.diff(cb, prepend=-1))
+        below = np.searchsorted(va, vb, "right")
+        place = np.full(n_items, -1)
     sums = lambda c, v: [np.bincount(c, w, n_items) for w in (np.ones(len(v)), v, v * v)]
-    (na, sa, qa), (nb, sb, qb) = sums(ca, va), [x[items_b] for x in sums(cb, vb)]
-    items_a = np.flatnonzero(na)
-    place = np.full(n_items, -1)
-    width = max(1, 2 * ENTRIES // max(len(va), len(vb)))
+    (na, sa, qa), of_b = sums(ca, va), sums(cb, vb)
+    items_a, items_b = np.flatnonzero(na), np.flatnonzero(of_b[0])
+    nb, sb, qb = [x[items_b] for x in of_b]
+    width = max(1, 2 * ENTRIES // max(len(va), len(vb)) if gaps else ENTRIES // len(items_b))
     for f in range(0, len(items_a), width):
         own = items_a[f : f + width]
-        place[:] = -1
-        place[own] = np.arange(len(own))
-        rows = np.flatnonzero(place[ca] >= 0)
-        m = np.zeros((len(va) + 1, len(own)))
-        m[rows + 1, place[ca[rows]]] = 1
-        d = vb[:, None] * (2 * np.cumsum(m, 0)[below] - na[own])
-        m[rows + 1, place[ca[rows]]] = va[rows]
-        d += sa[own] - 2 * np.cumsum(m, 0)[below]
-        d = np.maximum(np.add.reduceat(d, from_b, axis=0), 0.0)  # items of b x own
         y, x = np.nonzero(items_b[:, None] > own[None] if within else items_b[:, None] != own[None])
         n1, s1, q1, n2, s2, q2 = na[own[x]], sa[own[x]], qa[own[x]], nb[y], sb[y], qb[y]
-        d = d[y, x]
         n = n1 * n2
-        dd = np.where(n == 1, d * d, np.maximum(n2 * q1 - 2 * s1 * s2 + n1 * q2, 0.0))
         first = own[x] < items_b[y]
         side = lambda p, q: (np.where(first, p, q), np.where(first, q, p))  # noqa: B023, E731
         (i, j), (sum_a, sum_b), (sq_a, sq_b) = side(own[x], items_b[y]), side(s1 * n2, s2 * n1), side(q1 * n2, q2 * n1)
-        yield i, j, {"n": n, "d": d, "dd": dd, "a": sum_a, "aa": sq_a, "b": sum_b, "bb": sq_b, "ab": s1 * s2}
-
-
-def _heavy(rank, item, value, fresh, left, within, parts, shift) -> Iterator[pa.RecordBatch]:
+        got = {"n": n, "a": sum_a, "aa": sq_a, "b": sum_b, "bb": sq_b, "ab": s1 * s2}
+        if gaps:
+            place[:] = -1
+            place[own] = np.arange(len(own))
+            rows = np.flatnonzero(place[ca] >= 0)
+            m = np.zeros((len(va) + 1, len(own)))
+            m[rows + 1, place[ca[rows]]] = 1
+            d = vb[:, None] * (2 * np.cumsum(m, 0)[below] - na[own])
+            m[rows + 1, place[ca[rows]]] = va[rows]
+            d += sa[own] - 2 * np.cumsum(m, 0)[below]
+            d = np.maximum(np.add.reduceat(d, from_b, axis=0), 0.0)[y, x]  # of items of b x own
+            got |= {"d": d, "dd": np.where(n == 1, d * d, np.maximum(n2 * q1 - 2 * s1 * s2 + n1 * q2, 0.0))}
+        yield i, j, got
+
+
+def _heavy(rank, item, value, fresh, left, within, parts, shift, wanted) -> Iterator[pa.RecordBatch]:
     """Pieces of the sums of one large group: of the ratings with each other, or, not within, of those of the left with the others."""
     o = np.lexsort((item, rank))
     code = np.empty(len(o), np.int64)
@@ -182,13 +188,13 @@ def _heavy(rank, item, value, fresh, left, within, parts, shift) -> Iterator[pa.
     else:
         meets = [(left, ~left, False)] if fresh is None else [(left & fresh, ~left, False), (left & ~fresh, ~left & fresh, False)]
     for a, b, same in meets:
-        for i, j, s in _meet(of(a), of(b), len(ids), same):
-            yield from _pack_rows(SUMMED, part_of(ids[i], parts), [ids[i], ids[j], *(s[k] for k in SUMS)])
+        for i, j, s in _meet(of(a), of(b), len(ids), same, wanted):
+            yield from _pack_rows(SUMMED, part_of(ids[i], parts), [ids[i], ids[j], *(s[k] for k in wanted)])
 
 
-def spread(parts: int, shift: float, with_fresh: bool) -> Callable:
+def spread(parts: int, shift: float, with_fresh: bool, wanted: tuple[str, ...] = SUMS) -> Callable:
     """For mapInArrow over (u, x, y, own_side, r, i, v[, fresh]), all rows of a group (u, x, y) in one partition: pieces of the group's pairs, of rows of the own side with the
-    others where x is not y."""
+    others where x is not y. wanted: the sums in pieces of sums, those of both sides or of none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -209,7 +215,7 @@ def spread(parts: int, shift: float, with_fresh: bool) -> Callable:
         yield from _listed(rank[rows], item[rows], value[rows], None if fresh is None else fresh[rows], ends, parts)
         for g in np.flatnonzero((size > LISTED) | (x[new[:-1]] != y[new[:-1]])).tolist():
             s = slice(new[g], new[g + 1])
-            yield from _heavy(rank[s], item[s], value[s], None if fresh is None else fresh[s], left[s], x[new[g]] == y[new[g]], parts, shift)
+            yield from _heavy(rank[s], item[s], value[s], None if fresh is None else fresh[s], left[s], x[new[g]] == y[new[g]], parts, shift, wanted)
 
     return run
 
@@ -244,20 +250,30 @@ def _grouped(first: np.ndarray, second: np.ndarray, sums: list[np.ndarray]) -> t
     return first[o[at]], second[o[at]], [np.add.reduceat(c[o], at) for c in sums]
 
 
-def _summed(pieces: list[tuple[int, list[np.ndarray]]], shift: float, state: tuple | None) -> tuple:
+#: The sums that change places with the items.
+_SIDES = {"a": "b", "aa": "bb", "b": "a", "bb": "aa"}
+
+
+def _one(a: np.ndarray, b: np.ndarray, wanted: tuple[str, ...]) -> list[np.ndarray]:
+    """The sums of each pair of ratings alone."""
+    d = np.abs(a - b) if "d" in wanted or "dd" in wanted else None
+    of = {"n": lambda: np.ones(len(a)), "d": lambda: d, "dd": lambda: d * d, "a": lambda: a, "aa": lambda: a * a, "b": lambda: b, "bb": lambda: b * b, "ab": lambda: a * b}
+    return [of[k]() for k in wanted]
+
+
+def _summed(pieces: list[tuple[int, list[np.ndarray]]], shift: float, state: tuple | None, wanted: tuple[str, ...] = SUMS) -> tuple:
     """state with the sums of pieces."""
-    firsts, seconds, sums = ([state[0]], [state[1]], [[c] for c in state[2]]) if state else ([], [], [[] for _ in SUMS])
+    firsts, seconds, sums = ([state[0]], [state[1]], [[c] for c in state[2]]) if state else ([], [], [[] for _ in wanted])
     for kind, c in pieces:
         if kind == PAIRS:
             i, a, j, b = np.repeat(c[0], c[2]), np.repeat(c[1] - shift, c[2]), c[3], c[4] - shift
             swap = i > j
             a, b = np.where(swap, b, a), np.where(swap, a, b)
-            d = np.abs(a - b)
-            one = [np.ones(len(i)), d, d * d, a, a * a, b, b * b, a * b]
+            one = _one(a, b, wanted)
         else:
-            i, j, n, d, dd, a, aa, b, bb, ab = c
+            i, j, of = *c[:2], {k: x.astype(float) for k, x in zip(wanted, c[2:])}
             swap = i > j
-            one = [n.astype(float), d, dd, np.where(swap, b, a), np.where(swap, bb, aa), np.where(swap, a, b), np.where(swap, aa, bb), ab]
+            one = [np.where(swap, of[_SIDES[k]], x) if k in _SIDES else x for k, x in of.items()]
         firsts.append(np.minimum(i, j))
         seconds.append(np.maximum(i, j))
         for s, x in zip(sums, one):
@@ -265,14 +281,31 @@ def _summed(pieces: list[tuple[int, list[np.ndarray]]], shift: float, state: tup
     return _grouped(np.concatenate(firsts), np.concatenate(seconds), [np.concatenate(s) for s in sums])
 
 
+def _variances(a: np.ndarray, aa: np.ndarray, b: np.ndarray, bb: np.ndarray) -> tuple[Callable, np.ndarray, np.ndarray]:
+    """From means and means of squares of both sides: the variance of a mean of squares and a mean, and those of the sides. A variance within the rounding of the squares it
+    is the difference of is 0."""
+    noise = 1e-13 * (aa + bb)
+    var = lambda q, m: np.where(q - m * m > noise, q - m * m, 0.0)
+    return var, var(aa, a), var(bb, b)
+
+
 def moments(sums: list[np.ndarray], shift: float) -> list[np.ndarray]:
-    """Sums as count, mean and population variance of |a-b|, means and variances of a and of b, covariance. A variance within the rounding of the squares it is the
-    difference of is 0."""
+    """Sums as count, mean and population variance of |a-b|, means and variances of a and of b, covariance."""
     n, d, dd, a, aa, b, bb, ab = sums
     d, a, b, dd, aa, bb = d / n, a / n, b / n, dd / n, aa / n, bb / n
-    noise = 1e-13 * (aa + bb)
-    var = lambda q, m: np.where(q - m * m > noise, q - m * m, 0.0)
-    return [n.astype(np.int64), d, var(dd, d), a + shift, b + shift, var(aa, a), var(bb, b), ab / n - a * b]
+    var, var_a, var_b = _variances(a, aa, b, bb)
+    return [n.astype(np.int64), d, var(dd, d), a + shift, b + shift, var_a, var_b, ab / n - a * b]
+
+
+def distances(sums: list[np.ndarray], model: str, least: float = 0.0) -> np.ndarray:
+    """The sums MODEL_SUMS[model] as distances: the mean of |a-b|, or 1 - correlation, NaN where the variance of a side is 0 or below `least`."""
+    n, *rest = sums
+    if model == "abs_difference":
+        return rest[0] / n
+    a, aa, b, bb, ab = (x / n for x in rest)
+    _, var_a, var_b = _variances(a, aa, b, bb)
+    both = np.where((var_a >= least) & (var_b >= least), np.sqrt(var_a * var_b), 0.0)
+    return 1 - np.divide(ab - a * b, both, out=np.full(len(n), np.nan), where=both > 0)
 
 
 def _off(stored: np.ndarray, truth: np.ndarray, tolerance: float) -> np.ndarray:
@@ -296,8 +329,10 @@ def _faults(first, second, truth: list[np.ndarray], stored: list[list[np.ndarray
     return bad
 
 
-def gather(shift: float, names: list[str], finish: str, tolerance: float = 0.0, rows: int = 100_000) -> Callable:
-    """For mapInArrow over pieces, all of a part in one partition: (first_item_id, second_item_id, names). finish: 'sums', 'moments', or 'faults' (ids alone)."""
+def gather(shift: float, names: list[str], finish: str, tolerance: float = 0.0, rows: int = 100_000, least: float = 0.0) -> Callable:
+    """For mapInArrow over pieces, all of a part in one partition: (first_item_id, second_item_id, names). finish: 'sums', 'moments', 'faults' (ids alone), or a model of
+    MODEL_SUMS, whose sums alone the pieces then have: its distances(), null where NaN."""
+    wanted = MODEL_SUMS.get(finish, SUMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, waiting, held, stored = None, [], 0, []
@@ -310,18 +345,21 @@ def gather(shift: float, names: list[str], finish: str, tolerance: float = 0.0,
                 waiting.append((kind, c))
                 held += n
                 if held >= max(ENTRIES, len(state[0]) if state else 0):
-                    state, waiting, held = _summed(waiting, shift, state), [], 0
+                    state, waiting, held = _summed(waiting, shift, state, wanted), [], 0
         if waiting:
-            state, waiting = _summed(waiting, shift, state), []
+            state, waiting = _summed(waiting, shift, state, wanted), []
         if state is None:
             return
         first, second, sums = state
-        out = [sums[0].astype(np.int64), *sums[1:]] if finish == "sums" else moments(sums, shift)
+        if finish in MODEL_SUMS:
+            out = [distances(sums, finish, least)]
+        else:
+            out = [sums[0].astype(np.int64), *sums[1:]] if finish == "sums" else moments(sums, shift)
         if finish == "faults":
             bad = _faults(first, second, out, stored, tolerance)
             first, second, out = first[bad], second[bad], []
         columns = [first, second, *out]
         for f in range(0, len(first), rows):
-            yield pa.RecordBatch.from_arrays([pa.array(c[f : f + rows]) for c in columns], ["first_item_id", "second_item_id", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(c[f : f + rows], from_pandas=finish in MODEL_SUMS) for c in columns], ["first_item_id", "second_item_id", *names])
 
     return run

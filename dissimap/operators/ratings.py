@@ -69,10 +69,10 @@ def _hot_items(ratings: DataFrame, total: int) -> DataFrame:
     return spark.createDataFrame([(h.i, r + 1) for r, h in enumerate(hot)], "i bigint, r int")
 
 
-def pair_pieces(ratings: DataFrame, tile: int = 1 << 18, fresh: bool = False, shift: float = 50.0, parts: int | None = None) -> tuple[DataFrame, int, DataFrame | None]:
+def pair_pieces(ratings: DataFrame, tile: int = 1 << 18, fresh: bool = False, shift: float = 50.0, parts: int | None = None, wanted: tuple[str, ...] = rated_pairs.SUMS) -> tuple[DataFrame, int, DataFrame | None]:
     """The pairs of ratings of different items by the same user as packed pieces (rated_pairs), in `parts` parts (a power of two; None: as many as their number
     needs), and the items' ranks (_hot_items; all 0 where parts is given, so that the pieces of several calls go together). fresh: only pairs of which at least one
-    rating's column `fresh` is true.
+    rating's column `fresh` is true. wanted: the sums that the pieces of sums have.
 
     A user's ratings meet in one task. Up to rated_pairs.LISTED of them are listed pair by pair; of more, the sums of each pair of items come from sorted values, so that
     a user who rates few items very often costs ratings x items. A user of more than `tile` ratings is cut into that many tiles of two chunks each, which are
@@ -95,21 +95,22 @@ def pair_pieces(ratings: DataFrame, tile: int = 1 << 18, fresh: bool = False, sh
     r = ratings.select(F.col("user_id").alias("u"), F.col("item_id").alias("i"), F.col("value").alias("v"), *own)
     r = r.withColumn("r", F.lit(0)) if ranks is None else r.join(F.broadcast(ranks), "i", "left").withColumn("r", F.coalesce("r", F.lit(0)))  # MOST_HOT rows at most
     if (t.k or 0) > tile:
-        r = join_hot(r, users.where(F.col("k") > tile), "u", "k", "left")
+        r = r.join(F.broadcast(users.where(F.col("k") > tile)), "u", "left")  # a row for `tile` ratings at most, and the ratings are read once
         r = r.withColumn("m", F.ceil(F.coalesce("k", F.lit(1)) / tile).cast("int"))
         r = r.withColumn("c", F.pmod(F.xxhash64("i", "v"), F.col("m")).cast("int")).withColumn("e", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         r = r.withColumns({"x": F.least("c", "e"), "y": F.greatest("c", "e"), "own_side": F.col("c") <= F.col("e")})
     else:
         r = r.withColumns({"x": F.lit(0), "y": F.lit(0), "own_side": F.lit(True)})
     r = r.select("u", "x", "y", "own_side", "r", "i", "v", *own).repartition(max(1, -(-int(t.rows or 0) // TASK_RATINGS)), "u", "x", "y")
-    return r.mapInArrow(rated_pairs.spread(parts, shift, fresh), rated_pairs.PIECE), parts, ranks
+    return r.mapInArrow(rated_pairs.spread(parts, shift, fresh, wanted), rated_pairs.PIECE), parts, ranks
 
 
-def gather_pieces(pieces: DataFrame, parts: int, finish: str = "sums", shift: float = 50.0, tolerance: float = 0.0) -> DataFrame:
-    """The pieces' pairs of items: (first_item_id < second_item_id) and the sums rated_pairs.SUMS, or, finish being 'moments', RELATION, or, 'faults', the ids alone."""
-    names = {"sums": rated_pairs.SUMS, "moments": RELATION, "faults": ()}[finish]
-    kind = ", ".join(["first_item_id bigint", "second_item_id bigint", *[f"{c} {'double' if k else 'bigint'}" for k, c in enumerate(names)]])
-    return pieces.repartitionById(parts, F.col("p")).mapInArrow(rated_pairs.gather(shift, list(names), finish, tolerance), kind)
+def gather_pieces(pieces: DataFrame, parts: int, finish: str = "sums", shift: float = 50.0, tolerance: float = 0.0, least: float = 0.0) -> DataFrame:
+    """The pieces' pairs of items: (first_item_id < second_item_id) and the sums rated_pairs.SUMS, or, finish being 'moments', RELATION, or, 'faults', the ids alone, or, a
+    model of rated_pairs.MODEL_SUMS, the distance."""
+    names = {"sums": rated_pairs.SUMS, "moments": RELATION, "faults": (), **{m: ("distance",) for m in rated_pairs.MODEL_SUMS}}[finish]
+    kind = ", ".join(["first_item_id bigint", "second_item_id bigint", *[f"{c} {'bigint' if c in ('n', 'sample_count') else 'double'}" for c in names]])
+    return pieces.repartitionById(parts, F.col("p")).mapInArrow(rated_pairs.gather(shift, list(names), finish, tolerance, least=least), kind)
 
 
 def relation_sums(ratings: DataFrame, tile: int = 1 << 18, fresh: bool = False, shift: float = 50.0) -> DataFrame:
@@ -172,6 +173,15 @@ def model_distance(relations: DataFrame, model: str = "abs_difference") -> DataF
     return relations.select("first_item_id", "second_item_id", d.alias("distance"))
 
 
+def relation_distances(ratings: DataFrame, model: str = "abs_difference", tile: int = 1 << 18, least_variance: float = 0.0) -> DataFrame:
+    """model_distance() of relation_statistics(ratings), from the sums that the model needs alone. least_variance: a relation one of whose variances is smaller has no
+    correlation."""
+    if model not in rated_pairs.MODEL_SUMS:
+        raise ValueError("model is 'abs_difference' or 'correlation'")
+    pieces, parts, _ = pair_pieces(ratings, tile, wanted=rated_pairs.MODEL_SUMS[model])
+    return gather_pieces(pieces, parts, model, least=least_variance)
+
+
 def shrunk_distance(count: Column, distance: Column, item_mean: Column) -> Column:
     """A relation's distance drawn to the item's mean distance by 1 / (1 + count); the item's mean alone without a relation."""
     k = 1.0 / (1 + count)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dissimap.operators import layout, ratings, views
 from dissimap.queries.inputs import PLACED, RELATIONS, USABLE, relations
 from dissimap.queries.relational import rounded
-from dissimap.queries.rounding import near_sql
+from dissimap.queries.rounding import near_binary, near_sql
 from dissimap.session import cut, shared_dir
 from dissimap.sources.tables import table
 from dissimap.streaming.ratings import AdjustmentQueue, RatingMap
@@ -46,9 +46,8 @@ def relation_validation(spark, d):
 def _model(model):
     def run(spark, d):
         # A relation whose values hardly vary has no correlation: the variances are compared with 0 at six digits.
-        s = ratings.relation_statistics(_usable(spark, d))
-        s = s.withColumns({c: F.when(F.col(c) < 1e-6, 0.0).otherwise(F.col(c)) for c in ("first_value_variance", "second_value_variance")})
-        return rounded(ratings.model_distance(s, model), "distance")
+        s = ratings.relation_distances(_usable(spark, d), model, least_variance=1e-6)
+        return s.withColumn("distance", near_binary(F.col("distance")))
 
     return run
 

@@ -1,11 +1,13 @@
 import itertools
 import math
 import threading
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from dissimap.operators import layout, ratings, som, views
+from dissimap.operators import layout, rated_pairs, ratings, som, views
 from dissimap.sources.matrix_csv import read_matrix, write_matrix
 from dissimap.streaming.ratings import AdjustmentQueue, RatingMap
 from tests.test_distance import points_of
@@ -288,6 +290,48 @@ def test_a_user_of_very_many_ratings(spark, busy, name):
             assert np.allclose(tuple(r)[2:], want[r.first_item_id, r.second_item_id], rtol=1e-7, atol=1e-5)
 
 
+@pytest.mark.parametrize("model", ["abs_difference", "correlation"])
+@pytest.mark.parametrize("tile", [1 << 18, 600, 40])
+def test_distances_are_those_of_all_statistics(spark, eager, model, tile):
+    rows = eager + [(20, 7, 5.0), (20, 8, 5.0), (20, 9, 6.0), (21, 7, 5.0), (21, 9, 9.0)]  # 7 and 8 do not vary
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, value double")
+    got = {tuple(r)[:2]: r.distance for r in ratings.relation_distances(df, model, tile).collect()}
+    want = {tuple(r)[:2]: r.distance for r in ratings.model_distance(ratings.relation_statistics(df, tile), model).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and got.keys() == truth(rows).keys() and (got[7, 8] is None) == (model == "correlation")
+    with pytest.raises(ValueError, match="model"):
+        ratings.relation_distances(df, "other")
+
+
+def test_little_variance_has_no_correlation(spark):
+    df = spark.createDataFrame([(u, i, v) for u, v in ((1, 3.0), (2, 3.001)) for i in (1, 2)], "user_id bigint, item_id bigint, value double")
+    distance = lambda least: ratings.relation_distances(df, "correlation", least_variance=least).collect()[0].distance
+    assert distance(1e-6) is None and distance(0.0) == pytest.approx(0, abs=1e-3)
+
+
+def test_correlations_of_a_user_of_many_ratings_take_no_work_of_ratings_by_items():
+    n = 260_000
+    zero, v = np.zeros(n, np.int32), np.random.default_rng(1).integers(0, 10_000, n) / 100
+    group = pa.RecordBatch.from_pydict({"u": zero, "x": zero, "y": zero, "own_side": np.ones(n, bool), "r": zero, "i": np.arange(n) % 400, "v": v})
+    took, got = {}, {}
+    for name, wanted in {"correlation": rated_pairs.MODEL_SUMS["correlation"], "all": rated_pairs.SUMS}.items():
+        began = time.process_time()
+        made = pa.Table.from_batches(rated_pairs.spread(1, 50.0, False, wanted)(iter([group])))
+        took[name] = time.process_time() - began
+        c = [np.concatenate(x) for x in zip(*(rated_pairs.unpack(raw.as_py(), data.as_py()) for raw, data in zip(made["raw"], made["data"])))]
+        o = np.lexsort(c[1::-1])
+        got[name] = dict(zip(("i", "j", *wanted), [x[o] for x in c]))
+    assert took["correlation"] < took["all"] / 5
+    assert len(got["all"]["i"]) == 400 * 399 // 2 and all(np.allclose(x, got["all"][k], rtol=1e-12, atol=1e-6) for k, x in got["correlation"].items())
+
+
+def test_rounding_is_that_of_near(spark):
+    from dissimap.queries.rounding import near, near_binary
+
+    df = spark.range(1000).selectExpr("case when id > 0 then (id - 500) / 7.0D end as v").selectExpr("v", "v * 1e-4 as w")
+    for c in ("v", "w"):
+        assert df.where(~near(df[c]).eqNullSafe(near_binary(df[c]))).count() == 0
+
+
 def test_stored_relations_go_to_their_pairs(spark):
     """relation_faults() is validate_relations() against all statistics, hot items or not."""
     r = np.random.default_rng(3)
